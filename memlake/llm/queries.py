@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .sharding import hilbert_shards
+from .url_filter import filter_urls, host_of, parent_domains
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,5 +33,118 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
 FROM d JOIN g ON d.h = g.h
 """
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANG_WEIGHTS = {"en": 5, "fr": 2, "de": 2, "es": 1}
+BUDGET_SHARE = 0.6
+MAX_EPOCHS = 2
+MIX_SEED = 17
+
+
+def source_domain() -> Column:
+    """Domain of a source: its number mod 4."""
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4).cast("string"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, budget_share=BUDGET_SHARE, max_epochs=MAX_EPOCHS, seed=MIX_SEED)
+
+
+def _weights(column: str, table: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in table.items()) + " ELSE 1 END"
+
+
+def _fill(src: str, parent: str, name: str, budget: str, cap: str, weight: str) -> str:
+    """SQL of one level of water-filling, by its definition: the level is the largest at which the shares fit the budget."""
+    return f"""
+SELECT *, CAST(CASE WHEN share IS NULL THEN {cap} ELSE greatest(0, least({cap}, floor(share * w))) END AS BIGINT) AS got FROM (
+  SELECT *, min(CASE WHEN level < ratio THEN pos END) OVER (PARTITION BY {parent}) AS first_open,
+         max(CASE WHEN pos = open_pos THEN level END) OVER (PARTITION BY {parent}) AS share FROM (
+    SELECT *, min(CASE WHEN level < ratio THEN pos END) OVER (PARTITION BY {parent}) AS open_pos FROM (
+      SELECT *, ({budget} - CAST(cap_before AS DOUBLE)) / CAST(weight_left AS DOUBLE) AS level FROM (
+        SELECT *, row_number() OVER o AS pos,
+               coalesce(sum({cap}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+               sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+        FROM (SELECT *, {weight} AS w, CAST({cap} AS DOUBLE) / ({weight}) AS ratio FROM {src})
+        WINDOW o AS (PARTITION BY {parent} ORDER BY ratio, {name})))))"""
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '([0-9]+)', 1), '') AS INT) % 4 AS VARCHAR), '(none)') AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+         md5('{MIX_SEED}|' || doc_id) AS k
+  FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {MAX_EPOCHS} AS cap FROM d GROUP BY ALL),
+lng AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL),
+dom AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, 0 AS root, (SELECT floor(sum(tokens) * CAST({BUDGET_SHARE} AS DOUBLE)) FROM leaf) AS total FROM lng GROUP BY ALL),
+dom_b AS ({_fill("dom", "root", "domain", "total", "cap", _weights("domain", DOMAIN_WEIGHTS))}),
+lng_in AS (SELECT lng.*, dom_b.got AS budget FROM lng JOIN dom_b USING (domain)),
+lng_b AS ({_fill("lng_in", "domain", "lang", "budget", "cap", _weights("lang", LANG_WEIGHTS))}),
+leaf_in AS (SELECT leaf.*, lng_b.got AS budget FROM leaf JOIN lng_b USING (domain, lang)),
+leaf_b AS ({_fill("leaf_in", "domain, lang", "source", "budget", "cap", "1")}),
+run AS (SELECT d.*, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+plan AS (SELECT domain, lang, source, got, tokens, CASE WHEN tokens > 0 THEN CAST(floor(got / tokens) AS BIGINT) ELSE 0 END AS epochs FROM leaf_b)
+SELECT doc_id, domain, lang, source, n_tokens, got AS leaf_budget,
+       CAST(epochs + CASE WHEN before < got - epochs * tokens THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM run JOIN plan USING (domain, lang, source)
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+#: The lists of the query: (name, hex digits of md5(list:key) that put a key on it).
+LISTS = {"malware": "01", "spam": "0123", "adult": "4"}
+FIRST_DAY = "2024-01-01"
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the hosts of the pages and their parents, by hashes of list and key.
+
+    A key whose hash begins with one of the list's digits is added on a day of
+    2024, removed 30 to 285 days later and, for every other key, added again
+    60 days after that.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    keys = hosts.select(F.explode(parent_domains(F.col("host"))).alias("key")).distinct()
+    names = F.array(*[F.struct(F.lit(k).alias("list"), F.lit(v).alias("digits")) for k, v in LISTS.items()])
+    rows = keys.select("key", F.explode(names).alias("l")).select("key", "l.list", "l.digits")
+    rows = rows.withColumn("h", F.md5(F.concat_ws(":", "list", "key"))).where(F.expr("contains(digits, substr(h, 1, 1))"))
+
+    def number(at: int, digits: int) -> Column:
+        return F.conv(F.substring("h", at, digits), 16, 10).cast("int")
+
+    start = F.date_add(F.lit(FIRST_DAY).cast("date"), number(2, 4) % 300)
+    end = F.date_add(start, 30 + number(6, 2))
+    again = F.when(number(8, 1) % 2 == 0, F.date_add(end, 60))
+    made = F.array(F.struct(F.lit("add").alias("action"), start.alias("day")), F.struct(F.lit("remove").alias("action"), end.alias("day")), F.struct(F.lit("add").alias("action"), again.alias("day")))
+    return rows.select("list", "key", F.explode(made).alias("e")).select("list", "key", "e.action", "e.day").where("day is not null")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")))
+    return filter_urls(captures, list_entries(pages)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
+
+
+OP9_SQL = rf"""
+WITH cap AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+                    DATE '{FIRST_DAY}' + CAST((page_id * 37) % 365 AS INT) AS fetch_day FROM pages),
+hosts AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM cap WHERE host <> ''),
+suffixes AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(range(1, greatest(1, len(parts) - 1) + 1)) AS i FROM hosts)),
+named AS (SELECT DISTINCT key, list, digits FROM suffixes, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in LISTS.items())}) AS l(list, digits)),
+hashed AS (SELECT key, list, md5(list || ':' || key) AS h FROM named WHERE contains(digits, substr(md5(list || ':' || key), 1, 1))),
+days AS (SELECT key, list, h, DATE '{FIRST_DAY}' + CAST(CAST('0x' || substr(h, 2, 4) AS INT) % 300 AS INT) AS d1 FROM hashed),
+ends AS (SELECT *, d1 + CAST(30 + CAST('0x' || substr(h, 6, 2) AS INT) AS INT) AS d2 FROM days),
+spans AS (SELECT list, key, d1 AS a, d2 AS b FROM ends UNION ALL
+          SELECT list, key, d2 + 60, DATE '9999-12-31' FROM ends WHERE CAST('0x' || substr(h, 8, 1) AS INT) % 2 = 0),
+hits AS (SELECT DISTINCT c.host, c.fetch_day, s.key, p.list FROM cap c JOIN suffixes s ON c.host = s.host JOIN spans p ON p.key = s.key AND c.fetch_day >= p.a AND c.fetch_day < p.b),
+v AS (SELECT host, fetch_day, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, arg_max(key, lpad(CAST(length(key) AS VARCHAR), 6, '0') || key) AS matched FROM hits GROUP BY ALL)
+SELECT page_id, host, CAST(fetch_day AS VARCHAR) AS fetch_day, coalesce(n, 0) > 0 AS blocked, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(lists, '') AS lists, matched
+FROM cap LEFT JOIN v USING (host, fetch_day)
+"""
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op6_sharding": op6_sharding, "op9_url_filter": op9_url_filter}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_url_filter": OP9_SQL}
