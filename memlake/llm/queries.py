@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .packing import pack_documents
 from .sharding import hilbert_shards
 from .url_filter import filter_urls, host_of, parent_domains
 
@@ -146,5 +147,16 @@ SELECT page_id, host, CAST(fetch_day AS VARCHAR) AS fetch_day, coalesce(n, 0) >
 FROM cap LEFT JOIN v USING (host, fetch_day)
 """
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op6_sharding": op6_sharding, "op9_url_filter": op9_url_filter}
+def tokenizer_path() -> str:
+    """The tokenizer of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_url_filter": OP9_SQL}
