@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix
 from .packing import pack_documents
 from .sharding import hilbert_shards
@@ -158,5 +159,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: declared is the column lang, the host is the source; there is no address."""
+    return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_url_filter": OP9_SQL}
