@@ -1,8 +1,74 @@
-"""The corpus pipeline: STAGES are added as their operators are."""
+"""The corpus pipeline over ``documents``: filter, deduplicate, mix and pack.
 
+STAGES lists (name, function) in order. Each function takes
+``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of
+documents. Each stage decides on all rows that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.llm.common import written
+from memlake.llm.exact_dedup import without_copies
+from memlake.llm.language_id import identify
+from memlake.llm.mixing import mix
+from memlake.llm.near_dedup import without_near_copies
+from memlake.llm.packing import pack_documents
+from memlake.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS, source_domain, tokenizer_path
+
+#: Share of the tokens that the mixture keeps; no document is taken twice.
+MIX_SHARE = 0.8
+MIX_SEED = 23
+
+#: No stage but exact dedup can be said in SQL as it decides; see tests/llm.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; ``lang`` becomes the language identified."""
+    found = identify(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    odd = found.where(F.col("rejected") | ~F.col("language").eqNullSafe(F.col("declared"))).select(F.col("doc_id").alias("_id"), F.col("language").alias("_language"), F.col("rejected").alias("_rejected")).distinct()
+    joined = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("_id")), "left").where(~F.coalesce("_rejected", F.lit(False)))
+    return joined.select(*[F.coalesce("_language", "lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the target weights take."""
+    mixed = mix(docs, source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1, seed=MIX_SEED)
+    gone = mixed.where("copies = 0").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left, in sequences of 1024 tokens."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
