@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_near_duplicates
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
@@ -153,6 +154,27 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Brute force over all pairs of a label; sums of 64 products in double precision.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+             WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a WHERE r.c < l.b),
+c AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.a AS vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.a = component_id AS kept
+FROM c LEFT JOIN k ON c.a = k.a
+"""
+
+
 def tokenizer_path() -> str:
     """The tokenizer of the queries; the operators take any path."""
     import public_tokenizers
@@ -169,5 +191,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_url_filter": OP9_SQL}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
