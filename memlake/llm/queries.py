@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_near_duplicates
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .lm_score import score
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -38,6 +39,10 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
 FROM d JOIN g ON d.h = g.h
 """
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 5, "fr": 2, "de": 2, "es": 1}
 BUDGET_SHARE = 0.6
@@ -196,5 +201,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_lm_score": op2_lm_score, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -302,10 +302,12 @@ def _cut_ranges(limit: int, width: int):
             for k, (cover, left, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cover", "left", "lo", "hi")), strict=True)):
                 # ranges lie on a grid that is the same in all covers of the anchor
                 for cell in range(a // width, b // width + 1):
-                    x, y = max(a, cell * width), min(b, cell * width + width - 1)
+                    first, last = cell * width, cell * width + width - 1
+                    x, y = max(a, first), min(b, last)
                     take.append(k), lo.append(x), hi.append(y)
-                    core.append(digest(b"%d %d " % (x, y) + cover[left + y : left + x + limit]))
-                    whole.append(digest(cover[left + x : left + y + limit]))
+                    # the core is of the whole cell, also where a document's edge cuts it, and lies in each of its windows
+                    core.append(digest(b"%d %d " % (width, cell) + cover[left + last : left + first + limit]))
+                    whole.append(digest(b"%d %d " % (x, y) + cover[left + x : left + y + limit]))
             kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("h", "fp", "left", "cover", "copies", "first_doc", "first_place")]
             more = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(core, pa.int64()), pa.array(whole, pa.int64())]
             yield pa.RecordBatch.from_arrays([*kept, *more], names=["h", "fp", "left", "cover", "copies", "first_doc", "first_place", "lo", "hi", "core", "whole"])
