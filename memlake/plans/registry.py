@@ -1,2 +1,11 @@
+"""All registered queries of the library and their oracles, by name."""
+
+from __future__ import annotations
+
+from memlake.plans import store
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (store,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
