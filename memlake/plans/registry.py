@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memlake.plans import store
+from memlake.plans import graph, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (store,):
+for _part in (store, graph):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -11,7 +11,12 @@ from memlake.sources import fixtures as X
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-NOW = F.lit(X.NOW_E).cast("timestamp_ntz")
+
+
+def NOW():  # noqa: N802  a constant that needs a session
+    return F.lit(X.NOW_E).cast("timestamp_ntz")
+
+
 SQL_NOW = f"TIMESTAMP '{X.NOW_E}'"
 # formulas of the oracle
 DAYS = f"(epoch_us({SQL_NOW}) - epoch_us({{}})) / 86400000000.0"
@@ -128,7 +133,7 @@ simple(
 )
 simple("p13_tier_exclusion", lambda m: O.active(m).where(~F.col("doc_tier").eqNullSafe("TX")).groupBy("doc_tier").agg(F.count("*").alias("n")), "SELECT doc_tier, count(*) AS n FROM mem WHERE status = 'active' AND doc_tier IS DISTINCT FROM 'TX' GROUP BY doc_tier")
 simple("p14_locality", lambda m: O.active(m).groupBy(O.is_local("r1").alias("local")).agg(F.count("*").alias("n")), "SELECT repo_id IS NULL OR repo_id = 'r1' OR lower(trim(subject)) = 'user' AS local, count(*) AS n FROM mem WHERE status = 'active' GROUP BY ALL")
-simple("p15_recent_window", lambda m: O.active(m).where(S.days_between(NOW, F.col("created_at")).between(0, 7)).groupBy("memory_type").agg(F.count("*").alias("n")), f"SELECT memory_type, count(*) AS n FROM mem WHERE status = 'active' AND {DAYS.format('created_at')} BETWEEN 0 AND 7 GROUP BY ALL")
+simple("p15_recent_window", lambda m: O.active(m).where(S.days_between(NOW(), F.col("created_at")).between(0, 7)).groupBy("memory_type").agg(F.count("*").alias("n")), f"SELECT memory_type, count(*) AS n FROM mem WHERE status = 'active' AND {DAYS.format('created_at')} BETWEEN 0 AND 7 GROUP BY ALL")
 simple("p16_low_confidence", lambda m: O.active(m, "belief").where("confidence < 0.25").orderBy("confidence", "updated_at", "memory_id").limit(100).select("memory_id", "confidence"), "SELECT memory_id, confidence FROM mem WHERE status = 'active' AND memory_type = 'belief' AND confidence < 0.25 ORDER BY confidence, updated_at, memory_id LIMIT 100")
 simple("p17_superseded_report", lambda m: m.where("status = 'superseded'").orderBy(F.desc("updated_at"), "memory_id").limit(100).select("memory_id", "subject", "relation"), "SELECT memory_id, subject, relation FROM mem WHERE status = 'superseded' ORDER BY updated_at DESC, memory_id LIMIT 100")
 simple("p19_search_text", lambda m: O.active(m).select("memory_id", F.lower(F.concat_ws(" ", "subject", "relation", "object", "domain", "doc_tier")).alias("search_text")), "SELECT memory_id, lower(concat_ws(' ', subject, relation, object, domain, doc_tier)) AS search_text FROM mem WHERE status = 'active'")
@@ -164,7 +169,7 @@ simple(
 simple("a05_usage_peak", lambda m: O.active(m).agg(F.max("access_count").cast("long").alias("most")), "SELECT CAST(max(access_count) AS BIGINT) AS most FROM mem WHERE status = 'active'")
 simple(
     "a08_patterns",
-    lambda m: O.patterns(m, NOW),
+    lambda m: O.patterns(m, NOW()),
     f""", r AS (SELECT *, lower(subject) AS s, lower(relation) AS r, lower(object) AS o FROM mem WHERE status = 'active' AND {DAYS.format("created_at")} BETWEEN 0 AND 7)
     SELECT 'recurring_subject' AS pattern, s AS pattern_key, arg_min(subject, (created_at, memory_id)) AS subject, count(*) AS n FROM r WHERE memory_type = 'belief' GROUP BY s HAVING count(*) >= 3
     UNION ALL SELECT 'repeated_event', s || '|' || r || '|' || o, arg_min(subject, (created_at, memory_id)), count(*) FROM r WHERE memory_type = 'event' GROUP BY s, r, o HAVING count(*) >= 3
@@ -178,14 +183,19 @@ simple(
     "SELECT memory_id, max(sim) AS sim FROM (SELECT memory_id, confidence AS sim FROM mem UNION ALL SELECT memory_id, round((event_id % 10) / 10.0, 1) FROM mem WHERE event_id % 2 = 0) GROUP BY memory_id",
 )
 
-_feed = ("memory_id", "memory_type", F.round("score", 6).alias("score"))
-simple("q01_recent_feed", lambda m: O.recent_feed(m, NOW, 12).select(*_feed), f", {NEWEST}, {SCORED} SELECT memory_id, memory_type, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, updated_at DESC, memory_id LIMIT 12")
-simple("k11_feed_by_type", lambda m: O.ranked_by_type(O.recent_feed(m, NOW, 40)).select(*_feed, F.col("type_rank").cast("long").alias("type_rank")), f""", {NEWEST}, {SCORED}, f AS (SELECT * FROM scored ORDER BY score DESC, updated_at DESC, memory_id LIMIT 40)
+
+
+def _feed():
+    return ["memory_id", "memory_type", F.round("score", 6).alias("score")]
+
+
+simple("q01_recent_feed", lambda m: O.recent_feed(m, NOW(), 12).select(*_feed()), f", {NEWEST}, {SCORED} SELECT memory_id, memory_type, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, updated_at DESC, memory_id LIMIT 12")
+simple("k11_feed_by_type", lambda m: O.ranked_by_type(O.recent_feed(m, NOW(), 40)).select(*_feed(), F.col("type_rank").cast("long").alias("type_rank")), f""", {NEWEST}, {SCORED}, f AS (SELECT * FROM scored ORDER BY score DESC, updated_at DESC, memory_id LIMIT 40)
     SELECT memory_id, memory_type, round(score, 6) AS score, row_number() OVER (PARTITION BY memory_type ORDER BY f.score DESC, updated_at DESC, memory_id) AS type_rank FROM f""")
 _context = f""", {NEWEST}, {SCORED}, l AS (SELECT *, CASE WHEN repo_id IS NULL OR repo_id = 'r2' OR lower(trim(subject)) = 'user' THEN 0 ELSE 1 END AS is_foreign FROM scored),
     p AS (SELECT *, row_number() OVER (PARTITION BY is_foreign ORDER BY score DESC, memory_id) AS place FROM l)
     SELECT memory_id, is_foreign, round(score, 6) AS score FROM p WHERE is_foreign = 0 OR place <= 3 ORDER BY is_foreign, p.score DESC, memory_id LIMIT 12"""
-simple("q02_session_context", lambda m: O.context_rows(m, NOW, "r2").select("memory_id", "is_foreign", F.round("score", 6).alias("score")), _context)
+simple("q02_session_context", lambda m: O.context_rows(m, NOW(), "r2").select("memory_id", "is_foreign", F.round("score", 6).alias("score")), _context)
 QUERIES["w04_foreign_cap"], ORACLES["w04_foreign_cap"] = QUERIES["q02_session_context"], ORACLES["q02_session_context"]
 simple(
     "q31_store_health",
@@ -195,8 +205,8 @@ simple(
 
 _l10 = f"""SELECT memory_id, round(nc, 6) AS new_confidence, CASE WHEN nc < 0.15 AND memory_type <> 'skill' THEN 'archived' ELSE status END AS new_status
     FROM (SELECT *, greatest(0.0, least(1.0, confidence * exp(-decay_rate * {DAYS.format("updated_at")}))) AS nc FROM mem WHERE status = 'active' AND decay_rate > 0 AND {DAYS.format("updated_at")} > 0)"""
-simple("l10_daily_decay", lambda m: O.decay_pass(m, NOW).select("memory_id", F.round("new_confidence", 6).alias("new_confidence"), "new_status"), _l10)
-simple("l10_decay_counts", lambda m: O.decay_pass(m, NOW).agg(F.count("*").alias("decayed"), F.count_if(F.col("new_status") == "archived").alias("archived")), f"SELECT count(*) AS decayed, count(*) FILTER (new_status = 'archived') AS archived FROM ({_l10})")
+simple("l10_daily_decay", lambda m: O.decay_pass(m, NOW()).select("memory_id", F.round("new_confidence", 6).alias("new_confidence"), "new_status"), _l10)
+simple("l10_decay_counts", lambda m: O.decay_pass(m, NOW()).agg(F.count("*").alias("decayed"), F.count_if(F.col("new_status") == "archived").alias("archived")), f"SELECT count(*) AS decayed, count(*) FILTER (new_status = 'archived') AS archived FROM ({_l10})")
 _late = f"TIMESTAMP '2024-05-15 00:00:00'"
 simple(
     "l11_prune",
@@ -208,11 +218,11 @@ simple(
     "f01_f05_scores",
     lambda m: m.select(
         "memory_id",
-        F.round(S.recency(NOW, F.col("updated_at")), 6).alias("recency"),
+        F.round(S.recency(NOW(), F.col("updated_at")), 6).alias("recency"),
         F.round(S.usage(F.col("access_count"), F.lit(12)), 6).alias("used"),
         S.tier_factor(F.col("doc_tier")).alias("tier"),
         F.round(S.bm25_similarity(-F.col("confidence") * 4), 6).alias("sim"),
-        F.round(S.decayed(F.col("confidence"), F.col("decay_rate"), S.days_between(NOW, F.col("created_at"))), 6).alias("decayed"),
+        F.round(S.decayed(F.col("confidence"), F.col("decay_rate"), S.days_between(NOW(), F.col("created_at"))), 6).alias("decayed"),
         F.round(S.bayes_update(F.col("confidence"), F.lit(2.0), F.col("decay_rate"), F.lit(3.0), F.lit(0.7), F.lit(0.9)), 6).alias("bayes"),
         F.round(S.skill_outcome(F.col("confidence"), F.col("event_id") % 2 == 0), 6).alias("skill"),
         S.approx_tokens(F.concat("subject", "object")).alias("tokens"),
