@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Number of parts over which the rows of one join key are spread.
 SALTS = 32
+#: Most 8-byte ids that are broadcast: 16 MB.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,5 +63,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """rows whose ``column`` is among ids (``left_semi``) or isn't (``left_anti``); ids has one column of that name.
+
+    Up to BROADCAST_IDS ids, counted first, go to all tasks, and the rows stay
+    where they are; more are joined by a shuffle.
+    """
+    ids = written(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

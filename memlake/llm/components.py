@@ -1,19 +1,51 @@
 """Connected components by alternating large-star and small-star steps.
 
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
-Each step is a grouped minimum and a salted join back, so a node with very
+A block of at most BLOCK_EDGES edges is contracted first by union-find within
+one task, to a star for each component of the block; if all edges are one
+block, that is the result. Each star step is a grouped minimum and a salted join back, so a node with very
 many edges is never gathered in one task; each round is written to the shared
 folder, so no lineage grows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import salted_join, written
 
 
+BLOCK_EDGES = 1 << 19
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, least node of its component) of the edges of this task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    pairs = [(n, find(n)) for n in root]
+    stars = [(n, r) for n, r in pairs if n != r]
+    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) after one step; u > v in the result.
 
@@ -34,22 +66,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", block_edges: int = BLOCK_EDGES) -> DataFrame:
     """``node, component`` for every node of edges ``a, b``: the least node it can reach.
 
     Self-loops, repeated edges and edges with a null end count for nothing.
     No edges, no rows.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current = written(pairs, f"{name}-0")
-    state, turn = _digest(current), 0
-    while state[0]:
-        turn += 1
-        current = written(_star(written(_star(current, True), f"{name}-large"), False), f"{name}-{turn}")
-        now = _digest(current)
-        if now == state:
-            break
-        state = now
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    pairs = written(pairs, f"{name}-edges")
+    blocks = -(-pairs.count() // block_edges)
+    parts = pairs.coalesce(1) if blocks <= 1 else pairs.distinct().repartition(blocks)
+    current = written(parts.mapInArrow(_contract, "u long, v long"), f"{name}-0")
+    if blocks > 1:
+        state, turn = _digest(current), 0
+        while state[0]:
+            turn += 1
+            current = written(_star(written(_star(current, True), f"{name}-large"), False), f"{name}-{turn}")
+            now = _digest(current)
+            if now == state:
+                break
+            state = now
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

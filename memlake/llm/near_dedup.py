@@ -5,8 +5,8 @@
    Documents with the same set fall together first, so a group of copies is
    one representative from here on.
 2. Signatures are cut into BANDS bands of ROWS minima; documents that share a
-   band's key are candidates. A pair of similarity 0.75 shares none of the 64
-   bands of 6 with probability 4e-6.
+   band's key are candidates. A pair of similarity 0.75 shares none of the 40
+   bands of 5 with probability 2e-5.
 3. Candidates of a key are not paired with each other but with one member, the
    pivot. Pairs are checked by their signatures (8 bits a minimum), then by
    the full shingle sets, and the links found are joined into components by
@@ -14,7 +14,8 @@
    one component yet go on with other pivots; at last every member outside
    its key's largest component meets all members of other components. So no
    link between different components is missed, and the members that are
-   linked already, however many, are never paired among themselves.
+   linked already, however many, are never paired among themselves. Members
+   of large keys meet in blocks that give back links only.
 """
 
 from __future__ import annotations
@@ -27,21 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import by_ids, salted_join, written
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-BANDS = 64
-ROWS = 6
+BANDS = 40
+ROWS = 5
 PERMUTATIONS = BANDS * ROWS
 #: Least share of equal 8-bit minima of a pair that goes to the full check: six standard deviations under 0.75.
-SIGNATURE_SHARE = 0.61
-PIVOT_TURNS = 3
+SIGNATURE_SHARE = 0.57
+PIVOT_TURNS = 2
 #: Texts are hashed in blocks of about this many bytes, cut at white space.
 BLOCK = 1 << 20
-#: From so many members outside the largest component on, a key is refined by a second band before members meet.
-LARGE_KEY = 64
+#: Members of larger keys meet in blocks of BLOCK_DOCS by BLOCK_DOCS, not by a join.
+SMALL_KEY = 16
+BLOCK_DOCS = 256
 
 _SEED = 0x6D656D6C
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -151,6 +153,27 @@ def _shingles(size: int):
     return run
 
 
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and id those whose key has several, with the key's first row; holds one row back."""
+    names = ["key", "doc_id", "n", "p_id", "p_n"]
+    held = None  # (key, id, n, whether it begins its key, the key's first id and n)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, n = (batch.column(i).to_numpy() for i in range(3))
+        if held is not None:
+            key, doc, n = (np.concatenate(([h], x)) for h, x in zip(held[:3], (key, doc, n), strict=True))
+        new = np.concatenate(([held is None or held[3]], key[1:] != key[:-1]))
+        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        before = held[4:] if held else (0, 0)
+        p_id, p_n = np.where(start >= 0, doc[start], before[0]), np.where(start >= 0, n[start], before[1])
+        wanted = ~new[:-1] | (key[1:] == key[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][wanted], pa.int64()) for x in (key, doc, n, p_id, p_n)], names=names)
+        held = (key[-1], doc[-1], n[-1], bool(new[-1]), p_id[-1], p_n[-1])
+    if held is not None and not held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*held[:3], *held[4:])], names=names)
+
+
 def _close(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,50 +228,59 @@ def near_duplicates(
     sketches = written(plain.mapInArrow(_sketch(bands, rows, shingle), schema), "near-sketch")
     able = sketches.where("doc_id is not null and n_shingles > 0")
     first = written(able.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "near-first")
-    reps = written(able.join(first.select("fp", "doc_id"), ["fp", "doc_id"], "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "keys", "sig"), "near-reps")
+    copies = able.select("doc_id", "fp").join(first.where("copies > 1").withColumnRenamed("doc_id", "first"), "fp").where("doc_id <> first").select("doc_id")
+    reps = by_ids(able.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sig"), copies, "doc_id", "left_anti")
 
     placed = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
-    shared = placed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1")
-    members = written(salted_join(placed, written(shared, "near-keys"), ["key"], "doc_id", "inner", 8), "near-members")
+    # one shuffle: a key's rows pass through a task as a sorted stream
+    members = written(placed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared_keys, "key long, doc_id long, n long, p_id long, p_n long"), "near-members")
+    kept_sets: list[DataFrame] = []
+
+    def all_sets() -> DataFrame:
+        """Full shingle sets of the documents that share a key."""
+        if not kept_sets:
+            texts = by_ids(plain.where("doc_id is not null"), members.select("doc_id"), "doc_id", "left_semi")
+            kept_sets.append(written(texts.mapInArrow(_shingles(shingle), "doc_id long, shingles binary"), "near-sets").dropDuplicates(["doc_id"]))
+        return kept_sets[0]
 
     def verified(pairs: DataFrame, turn: str) -> DataFrame:
         pairs = written(pairs, f"near-pairs-{turn}")
         sig = reps.select("doc_id", "sig")
         near = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         near = written(near.mapInArrow(_close(signature_share), "a long, b long"), f"near-close-{turn}")
-        needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = plain.join(needed, "doc_id", "left_semi")
-        sets = written(texts.mapInArrow(_shingles(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"near-sets-{turn}")
+        sets = all_sets()
         full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         return written(full.mapInArrow(_linked(percent), "a long, b long"), f"near-links-{turn}")
 
-    pairs = _sized(members.select(F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
-    links, tested, labels = None, None, None
+    pairs = _sized(members.select(F.col("p_id").alias("a"), F.col("p_n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
+    links, tested, labels, rest = None, None, None, None
     for turn in range(PIVOT_TURNS + 1):
-        if turn:
+        if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, f"near-turn-{turn}")
-        if pairs.isEmpty():
-            if turn != 0 and turn < PIVOT_TURNS:
-                pass
-            else:
-                break
-        else:
+        found = []
+        if not pairs.isEmpty():
             tested = pairs if tested is None else tested.unionByName(pairs)
-            found = verified(pairs, str(turn))
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, f"near-cc-{turn}")
+            found.append(verified(pairs, str(turn)))
+        if turn == PIVOT_TURNS and rest.where(F.col("m") > SMALL_KEY).limit(1).count():
+            found.append(written(_blocks(rest, all_sets(), reps.select("doc_id", "sig"), percent, signature_share), "near-blocks"))
+        for more in found:
+            links = more if links is None else links.unionByName(more)
+        if found:
+            labels = written(components(links, f"near-cc-{turn}"), f"near-labels-{turn}")
         if turn == PIVOT_TURNS:
             break
-        current = members.select("key", "doc_id", "n", "m")
+        current = members.select("key", "doc_id", "n")
         if labels is not None:
             current = current.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
         else:
             current = current.withColumn("label", F.col("doc_id"))
         current = current.select("key", "doc_id", "n", "label")
-        by_label = current.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(turn), "key", "doc_id")).alias("p"), F.min(F.xxhash64(F.lit(turn), "key", "doc_id")).alias("h"))
+        by_label = current.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(turn), "doc_id")).alias("p"), F.min(F.xxhash64(F.lit(turn), "doc_id")).alias("h"))
         open_keys = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("most"), F.min_by("p", "h").alias("p"), F.min_by("label", "h").alias("p_label")).where("labels > 1")
         open_keys = written(open_keys.select("key", "m", "p", "p_label", F.col("most.label").alias("main"), (F.col("m") - F.col("most.c")).alias("outside")), f"near-open-{turn}")
+        if open_keys.isEmpty():
+            break
         rest = written(salted_join(current, open_keys, ["key"], "doc_id", "inner", 8), f"near-rest-{turn}")
         if turn < PIVOT_TURNS - 1:
             pairs = _sized(rest.where("label <> p_label").select(F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
@@ -266,23 +298,74 @@ def near_duplicates(
 
 
 def _meetings(rest: DataFrame) -> DataFrame:
-    """Pairs of one key and different labels of which one at least is outside the key's main label.
+    """Pairs of one small key and different labels of which one at least is outside the key's main label."""
+    few = rest.where(F.col("m") <= SMALL_KEY)
+    left = few.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    right = few.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "label")
+    return left.join(right, "key").where("label_a <> label").select("a", "n_a", "b", "n_b")
+
+
+def _blocks(rest: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int, share: float) -> DataFrame:
+    """Links ``a, b`` between the documents of large keys, found in blocks.
 
-    Keys with more than LARGE_KEY members outside are refined first: their
-    members meet only where they share a second band's key too, which a pair
-    of similarity 0.75 fails to do with probability 5e-5.
+    Keys with the same main label are taken together. Their documents outside
+    the label meet all their documents, BLOCK_DOCS of either side at a time;
+    a block gives back one link for each two labels that it joins, not its
+    pairs.
     """
-    few = rest.where(F.col("outside") <= LARGE_KEY).select(F.struct("key", F.lit(None).cast("long").alias("second")).alias("key"), "doc_id", "n", "label", "main")
-    many = rest.where(F.col("outside") > LARGE_KEY)
-    second = many.select("doc_id", F.col("key").alias("second"))
-    both = many.join(second, "doc_id").where("key < second").select(F.struct("key", "second").alias("key"), "doc_id", "n", "label", "main")
-    groups = few.unionByName(both)
-    left = groups.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = groups.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "label")
-    return left.join(right, "key").where("label_a <> label").select("a", "n_a", "b", "n_b")
+    many = rest.where(F.col("m") > SMALL_KEY)
+    right = many.select("main", "doc_id", "label").distinct()
+    sizes = right.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("n_right"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK_DOCS).alias("n_left"))
+    right = written(right.join(sizes, "main").join(sets, "doc_id").join(sigs, "doc_id"), "near-large")
+
+    def dealt(side: DataFrame, own: str, other: str, mark: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("doc_id"), F.col(f"n_{own}")).cast("int").alias(own)
+        spread = F.explode(F.sequence(F.lit(0), (F.col(f"n_{other}") - 1).cast("int"))).alias(other)
+        return side.select("main", part, spread, F.struct("doc_id", "label", "shingles", "sig").alias(mark))
+
+    left = dealt(right.where("label <> main"), "left", "right", "l").select("main", "left", "right", "l.*")
+    right = dealt(right, "right", "left", "r").select("main", "left", "right", F.col("r.doc_id").alias("r_id"), F.col("r.label").alias("r_label"), F.col("r.shingles").alias("r_shingles"), F.col("r.sig").alias("r_sig"))
+
+    def run(key, left_table, right_table):
+        links = ([], [])
+        if left_table.num_rows and right_table.num_rows:
+            l_id, l_root, l_raw = (left_table.column(c).to_pylist() for c in ("doc_id", "label", "shingles"))
+            r_id, r_root, r_raw = (right_table.column(c).to_pylist() for c in ("r_id", "r_label", "r_shingles"))
+            l_set, r_set = [np.frombuffer(x, np.uint64) for x in l_raw], [np.frombuffer(x, np.uint64) for x in r_raw]
+            l_sig = np.frombuffer(b"".join(left_table.column("sig").to_pylist()), np.uint8).reshape(len(l_id), -1)
+            r_sig = np.frombuffer(b"".join(right_table.column("r_sig").to_pylist()), np.uint8).reshape(len(r_id), -1)
+            n_right = np.array([len(x) for x in r_set])
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, own in enumerate(l_set):
+                fits = 100 * np.minimum(len(own), n_right) >= percent * np.maximum(len(own), n_right)
+                for j in np.flatnonzero(fits & ((l_sig[i] == r_sig).mean(axis=1) >= share)).tolist():
+                    x, y = find(l_root[i]), find(r_root[j])
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(own, r_set[j], assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(r_set[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        links[0].append(l_id[i]), links[1].append(r_id[j])
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    keys = ["main", "left", "right"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_keyed(run), "a long, b long")
+
+
+def _keyed(f):
+    def run(key, left, right):
+        return f(key, left, right)
+
+    return run
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the least id; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    return by_ids(docs, gone, id_col, "left_anti")
