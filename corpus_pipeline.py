@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import written
+from memlake.llm.common import by_ids, written
 from memlake.llm.exact_dedup import without_copies
 from memlake.llm.language_id import identify
 from memlake.llm.mixing import mix
@@ -28,11 +28,9 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; ``lang`` becomes the language identified."""
+    """Documents whose language is found."""
     found = identify(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang")
-    odd = found.where(F.col("rejected") | ~F.col("language").eqNullSafe(F.col("declared"))).select(F.col("doc_id").alias("_id"), F.col("language").alias("_language"), F.col("rejected").alias("_rejected")).distinct()
-    joined = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("_id")), "left").where(~F.coalesce("_rejected", F.lit(False)))
-    return joined.select(*[F.coalesce("_language", "lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+    return by_ids(docs, found.where("rejected").select("doc_id"), "doc_id", "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the target weights take."""
     mixed = mix(docs, source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1, seed=MIX_SEED)
-    gone = mixed.where("copies = 0").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return by_ids(docs, mixed.where("copies = 0").select("doc_id"), "doc_id", "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_join, written
+from .common import ascii_lower, by_ids, salted_join, written
 
 PREFIX_CHARS = 64
 
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         thin = written(docs.select(ident, size, prefix), "exact")
 
     by_len = thin.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    step1 = thin.join(by_len, "_len", "left_semi")
+    step1 = salted_join(thin, by_len, ["_len"], "doc_id", "left_semi")
     by_prefix = step1.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix")
     if fingerprint_all:
         step2 = thin.join(by_prefix, ["_len", "_prefix"], "left_semi")
@@ -77,5 +77,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col, fingerprint_all=True).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, fingerprint_all=True).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    return by_ids(docs, gone, id_col, "left_anti")

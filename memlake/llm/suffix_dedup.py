@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import by_ids, salted_join, written
 
 LIMIT = 400
 GRAM = 200
@@ -382,7 +382,9 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
     wanted = salted_join(each, twice, ["h"], "place", "left_semi", 8)
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("found"))
     # a document is read here once more, with the anchors that it has itself
-    texts = written(plain.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "repeat-texts")
+    wanted = written(wanted, "repeat-wanted")
+    mine = by_ids(plain, wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(mine.join(wanted, "doc_id"), "repeat-texts")
     covers = written(texts.mapInArrow(_cut_covers(gram, limit), "doc_id long, h long, fp binary, places array<int>, place int, left int, cover binary"), "repeat-covers")
 
     distinct = covers.groupBy("h", "fp").agg(
