@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memlake.plans import graph, store
+from memlake.plans import docs, graph, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (store, graph):
+for _part in (store, graph, docs):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
