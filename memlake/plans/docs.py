@@ -215,3 +215,24 @@ add("u09_dirty_paths", lambda s, d: X.journal(s, d).where("seq % 2 = 0").select(
 _BASH = ["npm install left-pad", "git commit -m x", "git status", "uv add ruff", "go get x", "ls -la", "pip3 uninstall y; git pull"]
 add("t28_r07_shell_changes", lambda s, d: X.read(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, _BASH))).alias("command")).select("command", F.coalesce(T.shell_change(F.col("command")), F.lit("none")).alias("change")),
     "SELECT * FROM (VALUES ('npm install left-pad', 'manifest'), ('git commit -m x', 'git'), ('git status', 'none'), ('uv add ruff', 'manifest'), ('go get x', 'manifest'), ('ls -la', 'none'), ('pip3 uninstall y; git pull', 'manifest')) AS t(command, change)")
+
+
+def _windows(s, d, width, slide=None):
+    from memlake.streaming.journal import window_counts
+
+    events = X.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return window_counts(events, width, slide).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+add("ext_tumbling_windows", lambda s, d: _windows(s, d, "1 hour"), "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+add("ext_sliding_windows", lambda s, d: _windows(s, d, "1 hour", "30 minutes").select("start", "event_type", "n"), "SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 - k * 1800 AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) AS t(k) GROUP BY ALL")
+
+
+def _sessions(s, d):
+    from memlake.streaming.journal import session_counts
+
+    return session_counts(X.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+add("ext_session_windows", _sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(DISTINCT k) AS sessions, max(n) AS longest FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id""")
