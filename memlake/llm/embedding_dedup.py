@@ -36,7 +36,7 @@ COSINE = 0.93
 #: Rows of the sample on which codebooks are fitted, at most twice as many.
 FIT_ROWS = 20_000
 #: Entries a list is meant to have; the number of lists follows the number of vectors up to MAX_LISTS.
-LIST_ROWS = 256
+LIST_ROWS = 4096
 MAX_LISTS = 256
 SUBSPACES = 16
 CODES = 64
@@ -161,7 +161,7 @@ def embedding_near_duplicates(
     looked at.
     """
     spark = vectors.sparkSession
-    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     usable = finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = written(plain.select("vec_id", F.when(usable, F.xxhash64("v", "label")).alias("h"), F.when(usable, F.col("v")).alias("v"), F.when(usable, F.col("label")).alias("label")), "pq-rows")
@@ -213,7 +213,8 @@ def _links(own: DataFrame, width: int, n: int, cosine: float, fit_rows: int, lis
             )
 
     kind = own.schema["label"].dataType.simpleString()
-    indexed = written(own.select("rep", "copies", "label", "v").mapInArrow(index, f"rep long, copies long, label {kind}, v array<double>, list int, far double, codes binary, error double"), "pq-index")
+    numbers = own.schema["v"].dataType.simpleString()
+    indexed = written(own.select("rep", "copies", "label", "v").mapInArrow(index, f"rep long, copies long, label {kind}, v {numbers}, list int, far double, codes binary, error double"), "pq-index")
     # label x list: the number of entries and the radius; lists are bounded, labels are few
     shape = indexed.groupBy("list").agg(F.max("far").alias("r")).collect()
     radius = np.full(lists, -1.0)
