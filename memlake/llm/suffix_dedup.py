@@ -36,7 +36,7 @@ from .common import by_ids, salted_join, written
 LIMIT = 400
 GRAM = 200
 #: Covers of one anchor hash that a suffix array takes in.
-GROUP_COVERS = 128
+GROUP_COVERS = 1024
 #: Covers in a block of the suffix array.
 BLOCK_COVERS = 2048
 #: Widths of the ranges into which the windows of larger groups are cut.
@@ -291,7 +291,7 @@ def _block(limit: int, gram: int):
 
 
 def _cut_ranges(limit: int, width: int):
-    """Rows (h, fp, lo, hi, core, whole) of the ranges of ``width`` windows within each row's lo..hi."""
+    """Rows (h, fp, lo, hi, core, whole) of the ranges of ``width`` windows within each of a cover's open ranges."""
 
     def digest(x: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
@@ -299,33 +299,38 @@ def _cut_ranges(limit: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, lo, hi, core, whole = [], [], [], [], []
-            for k, (cover, left, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cover", "left", "lo", "hi")), strict=True)):
-                # ranges lie on a grid that is the same in all covers of the anchor
-                for cell in range(a // width, b // width + 1):
-                    first, last = cell * width, cell * width + width - 1
-                    x, y = max(a, first), min(b, last)
-                    take.append(k), lo.append(x), hi.append(y)
-                    # the core is of the whole cell, also where a document's edge cuts it, and lies in each of its windows
-                    core.append(digest(b"%d %d " % (width, cell) + cover[left + last : left + first + limit]))
-                    whole.append(digest(b"%d %d " % (x, y) + cover[left + x : left + y + limit]))
-            kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("h", "fp", "left", "cover", "copies", "first_doc", "first_place")]
+            for k, (cover, left, ranges) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cover", "left", "ranges")), strict=True)):
+                for a, b in ((r["lo"], r["hi"]) for r in ranges):
+                    # cells lie on a grid that is the same in all covers of the anchor
+                    for cell in range(a // width, b // width + 1):
+                        first, last = cell * width, cell * width + width - 1
+                        x, y = max(a, first), min(b, last)
+                        take.append(k), lo.append(x), hi.append(y)
+                        # the core is of the whole cell, also where a document's edge cuts it, and lies in each of its windows
+                        core.append(digest(b"%d %d " % (width, cell) + cover[left + last : left + first + limit]))
+                        whole.append(digest(b"%d %d " % (x, y) + cover[left + x : left + y + limit]))
+            kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("h", "fp", "copies", "first_doc", "first_place")]
             more = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(core, pa.int64()), pa.array(whole, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, *more], names=["h", "fp", "left", "cover", "copies", "first_doc", "first_place", "lo", "hi", "core", "whole"])
+            yield pa.RecordBatch.from_arrays([*kept, *more], names=["h", "fp", "copies", "first_doc", "first_place", "lo", "hi", "core", "whole"])
 
     return run
 
 
-def _large_groups(rows: DataFrame, limit: int) -> DataFrame:
+def _large_groups(covers: DataFrame, limit: int) -> DataFrame:
     """``h, fp, early, either`` for covers of large groups, by counts of ever shorter ranges of windows."""
-    schema = "h long, fp binary, left int, cover binary, copies long, first_doc long, first_place int, lo int, hi int, core long, whole long"
+    schema = "h long, fp binary, copies long, first_doc long, first_place int, lo int, hi int, core long, whole long"
+    covers = written(covers, "repeat-large")
+    last = F.least(F.lit(0), F.col("size") - F.lit(limit) - F.col("left")).cast("int")
+    rows = covers.withColumn("ranges", F.array(F.struct((-F.col("left")).alias("lo"), last.alias("hi")))).where("ranges[0].lo <= ranges[0].hi")
     found = []
-    rows = rows.withColumn("lo", -F.col("left")).withColumn("hi", F.least(F.lit(0), F.octet_length("cover") - F.lit(limit) - F.col("left")).cast("int")).where("lo <= hi")
     for width in RANGES:
-        cut = written(rows.select("h", "fp", "left", "cover", "copies", "first_doc", "first_place", "lo", "hi").mapInArrow(_cut_ranges(limit, width), schema), f"repeat-ranges-{width}")
+        # cells are as wide as the step before divides into; a narrower grid begins anew
+        cut = written(rows.select("h", "fp", "copies", "first_doc", "first_place", "left", "cover", "ranges").mapInArrow(_cut_ranges(limit, width), schema), f"repeat-ranges-{width}")
         counts = cut.groupBy("h", "core").agg(F.sum("copies").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.min(F.struct("first_doc", "first_place")).alias("origin")).where("n > 1")
-        joined = written(salted_join(cut, counts, ["h", "core"], "fp", "inner"), f"repeat-counted-{width}")
+        joined = written(salted_join(cut.drop("whole", "copies"), counts, ["h", "core"], "fp", "inner", 8), f"repeat-counted-{width}")
         found.append(joined.where("a = b").select("h", "fp", F.struct("lo", "hi").alias("run"), (F.struct("first_doc", "first_place") != F.col("origin")).alias("is_early")))
-        rows = joined.where("a <> b")
+        open_ranges = joined.where("a <> b").groupBy("h", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        rows = covers.join(open_ranges, ["h", "fp"])
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -388,24 +393,30 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
     covers = written(texts.mapInArrow(_cut_covers(gram, limit), "doc_id long, h long, fp binary, places array<int>, place int, left int, cover binary"), "repeat-covers")
 
     distinct = covers.groupBy("h", "fp").agg(
-        F.sum(F.size("places")).cast("long").alias("copies"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("place").alias("p"))).alias("first"), F.first("left").alias("left"), F.first("cover").alias("cover")
+        F.sum(F.size("places")).cast("long").alias("copies"),
+        F.min(F.struct(F.col("doc_id").alias("d"), F.col("place").alias("p"))).alias("first"),
+        F.min("left").alias("left"),
+        F.min(F.octet_length("cover")).alias("size"),
     )
-    distinct = written(distinct.select("h", "fp", "copies", F.col("first.d").alias("first_doc"), F.col("first.p").alias("first_place"), "left", "cover"), "repeat-distinct")
+    distinct = written(distinct.select("h", "fp", "copies", F.col("first.d").alias("first_doc"), F.col("first.p").alias("first_place"), "left", "size"), "repeat-distinct")
     kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
     distinct = written(salted_join(distinct, kinds, ["h"], "fp", "inner", 8), "repeat-kinds")
 
     # one cover only: all its windows are in each of its copies
-    last = F.least(F.lit(0), F.octet_length("cover") - F.lit(limit) - F.col("left")).cast("int")
+    last = F.least(F.lit(0), F.col("size") - F.lit(limit) - F.col("left")).cast("int")
     single = distinct.where("kinds = 1 and copies > 1").select("h", "fp", F.array().cast(RUN).alias("early"), F.array(F.struct((-F.col("left")).cast("int").alias("lo"), last.alias("hi"))).alias("either"))
     single = single.where("either[0].lo <= either[0].hi")
-    middle = distinct.where((F.col("kinds") > 1) & (F.col("kinds") <= group_covers))
-    n = middle.count()
-    blocks = max(1, -(-n // BLOCK_COVERS))
-    sorted_ = middle.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("block").applyInArrow(_block(limit, gram), f"h long, fp binary, early {RUN}, either {RUN}")
+    texts_of = covers.select("h", "fp", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"), "cover")
+    several = distinct.where("kinds > 1")
+    middle = several.where(F.col("kinds") <= group_covers)
+    blocks = max(1, -(-middle.count() // BLOCK_COVERS))
+    block = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")
+    at = ["h", "fp", "first_doc", "first_place"]
+    sorted_ = middle.join(texts_of, at).select("*", block).groupBy("block").applyInArrow(_block(limit, gram), f"h long, fp binary, early {RUN}, either {RUN}")
     results = single.unionByName(written(sorted_, "repeat-sorted"))
-    large = distinct.where(F.col("kinds") > group_covers)
+    large = several.where(F.col("kinds") > group_covers)
     if not large.isEmpty():
-        results = results.unionByName(_large_groups(large, limit))
+        results = results.unionByName(_large_groups(large.join(texts_of, at), limit))
     results = written(results.where("size(either) > 0"), "repeat-results")
 
     here = salted_join(covers.select("doc_id", "h", "fp", "places"), results, ["h", "fp"], "doc_id", "inner", 8)
