@@ -174,7 +174,7 @@ def _imports(s, d):
 
 
 def _code_seeds(s, d):
-    return _imports(s, d).select(F.col("src_id").alias("node_id")).distinct().orderBy("node_id").limit(20)
+    return _imports(s, d).select(F.col("src_id").alias("node_id")).distinct()
 
 
 def _reach_sql(reverse: bool, depth: int = 3) -> str:

@@ -144,7 +144,7 @@ CODE_NODES = "code_nodes AS (SELECT 'P' || p_partkey AS node_id, 'module' AS kin
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    line = read(spark, sf_dir, "lineitem")
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     return (
         line.select("l_partkey", nxt.alias("next"))
