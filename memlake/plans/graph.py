@@ -200,7 +200,7 @@ QUERIES["j11_never_imported"], ORACLES["j11_never_imported"] = QUERIES["q18_unus
 add("j12_both_ways", lambda s, d: _imports(s, d).select(F.col("src_id").alias("node_id")).intersect(_imports(s, d).select(F.col("dst_id").alias("node_id"))), f"WITH {CODE} SELECT src_id AS node_id FROM imports INTERSECT SELECT dst_id FROM imports")
 add(
     "q19_import_cycles",
-    lambda s, d: G.import_cycles(X.code_edges(s, d), 4),
+    lambda s, d: G.import_cycles(X.code_edges(s, d), 6),
     f"""WITH RECURSIVE {CODE}, links AS (SELECT DISTINCT src_id, dst_id FROM code_edges), p(first, last, path) AS (SELECT src_id, dst_id, [src_id, dst_id] FROM links WHERE src_id <= dst_id UNION ALL
       SELECT p.first, l.dst_id, list_append(p.path, l.dst_id) FROM p JOIN links l ON l.src_id = p.last WHERE len(p.path) < 4 AND l.dst_id > p.first AND NOT list_contains(p.path, l.dst_id))
     SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INT) AS length FROM p JOIN links l ON l.src_id = p.last AND l.dst_id = p.first""",

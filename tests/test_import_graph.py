@@ -52,3 +52,23 @@ def test_reached_from_all_seeds(spark, tables, names, reverse):
     for name in names:
         got = P.QUERIES[name](spark, d).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_cycles_of_six(spark, tables):
+    d, links, _ = tables
+    steps: dict[str, list[str]] = {}
+    for a, b in links:
+        steps.setdefault(f"P{a}", []).append(f"P{b}")
+    want = []
+
+    def walk(path):
+        for b in steps.get(path[-1], ()):
+            if b == path[0]:
+                want.append((">".join(path), len(path)))
+            elif b > path[0] and b not in path and len(path) < 6:
+                walk([*path, b])
+
+    for a in steps:
+        walk([a])
+    got = sorted(tuple(r) for r in P.QUERIES["q19_import_cycles"](spark, d).collect())
+    assert got == sorted(want) and {n for _, n in want} >= {5, 6}
