@@ -96,9 +96,9 @@ _PAIRS = f"WITH RECURSIVE {PRINTS}, pr AS (SELECT a.doc_id AS a, b.doc_id AS b F
 doc("j17_a12_simhash_clusters", lambda t: D.clusters(D.near_pairs(_prints(t))), _PAIRS + ", r(a, c) AS (SELECT DISTINCT a, a FROM pr UNION SELECT pr.b, r.c FROM r JOIN pr ON r.a = pr.a WHERE r.c < pr.b) SELECT a AS id, min(c) AS cluster FROM r GROUP BY a")
 
 # ---- text functions
-doc("t02_tokenize", lambda t: t.where("lang = 'en'").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 5), " ").alias("first_tokens")), f"SELECT doc_id, len({TOKENS}) AS n, array_to_string(({TOKENS})[1:5], ' ') AS first_tokens FROM documents WHERE lang = 'en'")
+doc("t02_tokenize", lambda t: t.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({TOKENS}) AS n, array_to_string(({TOKENS})[1:5], ' ') AS first_tokens FROM documents WHERE lang = 'en'")
 doc("a07_document_frequency", lambda t: t.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
-doc("t07_normal_name", lambda t: t.select("doc_id", T.normal_name(F.substring("text", 1, 80)).alias("name")), "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}+#]+', ' ', 'g')) AS name FROM documents")
+doc("t07_normal_name", lambda t: t.select("doc_id", F.md5(T.normal_name(F.col("text"))).alias("digest")), "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}+#]+', ' ', 'g')) AS name FROM documents")
 _T13 = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in T.SECRETS) + " END"
 doc("t13_secrets", lambda t: t.select("doc_id", T.secret_name(F.col("text")).alias("secret")).where("secret is not null"), f"SELECT * FROM (SELECT doc_id, {_T13} AS secret FROM documents) WHERE secret IS NOT NULL")
 doc("t13_redact", lambda t: t.where(T.secret_name(F.col("text")).isNotNull()).select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest")), f"SELECT doc_id, md5(regexp_replace(text, '{T.SECRETS[-1][1]}', '[REDACTED:credential-assignment]', 'g')) AS digest FROM documents WHERE {_T13} = 'credential-assignment'")
