@@ -191,7 +191,7 @@ def _vectors(s, d):
 
 
 add("q05_vector_search", lambda s, d: V.nearest(_vectors(s, d), _vectors(s, d).where("vec_id = 0"), 32, F.expr("vec_id % 11 > 2")).select("vec_id", F.round("similarity", 6).alias("similarity")), f"SELECT b.vec_id, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id % 11 > 2 ORDER BY round({COS}, 9) DESC, b.vec_id LIMIT 32")
-add("k02_oversampled", lambda s, d: V.nearest(_vectors(s, d), _vectors(s, d).where("vec_id < 5"), 8).select("query_id", "vec_id", F.col("place").cast("long").alias("place")), f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id < 5) WHERE place <= 8")
+add("k02_oversampled", lambda s, d: V.nearest_blocks(_vectors(s, d), _vectors(s, d).where("vec_id % 20 = 0"), 8).select("query_id", "vec_id", F.col("place").cast("long").alias("place")), f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id < 5) WHERE place <= 8")
 
 
 def _upserted(s, d):
