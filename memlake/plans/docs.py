@@ -68,7 +68,7 @@ add("a06_link_indegree", lambda s, d: X.doc_refs(s, d).groupBy("ref_value").agg(
 QUERIES["j15_refs_by_value"], ORACLES["j15_refs_by_value"] = QUERIES["a06_link_indegree"], ORACLES["a06_link_indegree"]
 add("q24_dead_refs", lambda s, d: X.doc_refs(s, d).join(X.read(s, d, "pages").where("page_id % 2 = 0").select(F.regexp_extract("url", "(/[^?#]*)", 1).alias("ref_value")), "ref_value", "left_anti").groupBy("page_id").agg(F.count("*").alias("dead")),
     f"WITH {X.REFS} SELECT page_id, count(*) AS dead FROM refs WHERE ref_value NOT IN (SELECT regexp_extract(url, '(/[^?#]*)', 1) FROM pages WHERE page_id % 2 = 0) GROUP BY page_id")
-add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("doc_id % 3 <> 0 or length(ref_value) % 2 = 0"), X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("length(ref_value) % 3 <> 0"), 5),
+add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("doc_id % 3 <> 0 or length(ref_value) % 2 = 0"), X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("length(ref_value) % 3 <> 0"), 50),
     f"""WITH {X.REFS}, k AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE page_id % 3 <> 0 OR length(ref_value) % 2 = 0), c AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE length(ref_value) % 3 <> 0)
     SELECT doc_id, ref_value, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL
     SELECT doc_id, ref_value, 'add' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_value) AS rn FROM (SELECT * FROM c EXCEPT SELECT * FROM k)) WHERE rn <= 5""")
