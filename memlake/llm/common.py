@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Number of parts over which the rows of one join key are spread.
 SALTS = 32
@@ -19,13 +21,12 @@ BROADCAST_IDS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session doesn't set it (tests, one machine) a temporary
-    folder is made and set, so that later calls use the same one.
+    It has to be set: a folder of one machine would lose what other executors
+    write. Tests and benches set their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
     return path.rstrip("/")
 
 
@@ -33,12 +34,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read from there.
 
     This cuts the lineage: what an executor lost is read again, not computed
-    again.
+    again. Python workers get at most BATCH_BYTES at a time meanwhile.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
+        else:
+            spark.conf.set(BATCH_CONF, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memlake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote; only for tables that nothing unwritten depends on any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._memlake_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
