@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import reduce
 
@@ -53,10 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what ``written`` wrote; only for tables that nothing unwritten depends on any more."""
+    """Deletes what ``written`` wrote; only for tables that nothing unwritten depends on any more.
+
+    The driver's collector runs as well: Spark's cleaner then deletes the
+    shuffle files of plans that are done.
+    """
+    spark = SparkSession.active()
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._memlake_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import written
 
 LANGUAGES = ("en", "fr", "de", "es")
 #: Buckets of the hashed byte trigrams.
 BUCKETS = 1 << 16
-#: The text model is fitted on about this many labelled documents a language, taken by the hash of their id, and never on more than twice as many.
+#: Bytes of a text that are looked at together.
+BLOCK = 1 << 16
+#: The text model is fitted on about this many labelled documents a language, taken by the hash of their id.
 FIT_DOCS = 500
 #: A text counts as at most this many independent trigrams.
 EVIDENCE = 60.0
@@ -46,31 +48,33 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
 
 
-def fit_text_model(texts: dict[str, list[str]], languages: tuple[str, ...]) -> np.ndarray:
-    """log P(bucket | language), BUCKETS x languages; add-ADD smoothing. Languages without texts get a uniform model."""
-    out = np.empty((BUCKETS, len(languages)), np.float32)
-    for k, lang in enumerate(languages):
-        counts = np.full(BUCKETS, ADD)
-        for text in texts.get(lang, []):
-            data = np.frombuffer(text.encode("utf-8"), np.uint8)
-            if len(data) > 2:
-                counts += np.bincount(trigram_buckets(data), minlength=BUCKETS)
-        out[:, k] = np.log(counts / counts.sum())
-    return out
+def fit_text_model(docs: DataFrame, id_col: str, text_col: str, label_col: str, languages: tuple[str, ...] = LANGUAGES, fit_docs: int = FIT_DOCS) -> np.ndarray:
+    """log P(bucket | language), BUCKETS x languages, of a bounded sample of labelled rows; add-ADD smoothing.
 
-
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, languages: tuple[str, ...], per_language: int) -> dict[str, list[str]]:
-    """Whole texts of labelled documents, about per_language and at most twice as many a language."""
+    A language's rows are taken by the hash of their id, whole texts, about
+    ``fit_docs`` of them. Only sums by bucket come to the driver. A language
+    without texts gets a uniform model.
+    """
     rows = docs.where(F.col(label_col).isin(*languages) & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    # the hash is uniform on 2**32 values: a row is taken with probability per_language / n
-    place = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    share = reduce(lambda c, k: c.when(F.col(label_col) == k, F.lit(min(1.0, per_language / n[k]) * 2.0**32)), n, F.when(F.lit(False), F.lit(0.0)))
-    out: dict[str, list[str]] = {k: [] for k in n}
+    n = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}  # one row a language
+    place = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    share = reduce(lambda c, k: c.when(F.col(label_col) == k, F.lit(min(1.0, fit_docs / n[k]) * 2.0**32)), n, F.when(F.lit(False), F.lit(0.0)))
     taken = rows.where(place < share).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    for r in taken.limit(2 * per_language * len(languages)).toLocalIterator():
-        out[r["label"]].append(r["text"])
-    return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(languages), BUCKETS), np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(text.as_py().encode("utf-8"), np.uint8)
+                for at in range(0, max(0, len(data) - 2), BLOCK):
+                    seen[languages.index(label)] += np.bincount(trigram_buckets(data[at : at + BLOCK + 2]), minlength=BUCKETS)
+        which, bucket = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[which, bucket])], names=["which", "bucket", "n"])
+
+    sums = taken.mapInArrow(count, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS x languages at most
+    counts = np.full((BUCKETS, len(languages)), ADD)
+    counts[sums.column("bucket").to_numpy(), sums.column("which").to_numpy()] += sums.column("n").to_numpy()
+    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
 def text_likelihoods(docs: DataFrame, columns: dict[str, Column], text_col: str, model: np.ndarray, evidence: float) -> DataFrame:
@@ -87,8 +91,8 @@ def text_likelihoods(docs: DataFrame, columns: dict[str, Column], text_col: str,
             for text in texts:
                 data = np.frombuffer((text.as_py() or "").encode("utf-8"), np.uint8)
                 total, n = np.zeros(width), max(0, len(data) - 2)
-                for at in range(0, n, 1 << 18):  # blocks bound the memory of very long texts
-                    total += table[trigram_buckets(data[at : min(len(data), at + (1 << 18) + 2)])].sum(axis=0, dtype=np.float64)
+                for at in range(0, n, BLOCK):
+                    total += table[trigram_buckets(data[at : at + BLOCK + 2])].sum(axis=0, dtype=np.float64)
                 weight = min(1.0, evidence / n) if n else 0.0
                 ll.append((total * weight).tolist())
                 noise.append(-np.log(BUCKETS) * n * weight)
@@ -121,18 +125,19 @@ def identify(
     ``declared``, ``suffix`` and ``host`` are columns over docs; one that is
     None, or null or empty in a row, is no evidence there. The text model is
     ``model``, or is fitted on a bounded sample of rows labelled by
-    ``label_col`` (see FIT_DOCS); all counts for the other evidence cover all
-    rows. ``text_language`` is the language by text alone, of equal ones the
+    ``label_col`` (see FIT_DOCS), which then shouldn't be evidence as well;
+    all counts for the other evidence cover all rows. ``text_language`` is the language by text alone, of equal ones the
     first in ``languages``; ``language`` the one with the largest posterior.
 
-    A document is rejected if its text is null or empty, if a uniform model
+    Null and empty values of host, suffix and declaration are one value, no
+    evidence. A document is rejected if its text is null or empty, if a uniform model
     explains its bytes better than every language does, or if no language
     reaches ``least_posterior``; its ``language`` is then 'und'. A text of one
     or two bytes has no trigram and goes by the other evidence. Whole texts are read. Repeated rows each get
     their row; an empty table gives no rows; other columns are not looked at.
     """
     if model is None:
-        model = fit_text_model(labelled_sample(docs, id_col, text_col, label_col, languages, fit_docs), languages)
+        model = fit_text_model(docs, id_col, text_col, label_col, languages, fit_docs)
 
     def or_empty(c: Column | None) -> Column:
         return F.coalesce((c if c is not None else F.lit("")).cast("string"), F.lit(""))
@@ -161,9 +166,10 @@ def identify(
     says = counts_by("declared")
     likes = says.select("declared", F.array(*[(F.get("_c", F.lit(k)) + F.lit(ADD)) / F.lit(of_all[k] + ADD) for k in width]).alias("_declared_like"))
 
-    out = salted_join(rows, hosts, ["suffix", "host"], "doc_id")
-    out = salted_join(out, suffixes.select("suffix", "_suffix_prior"), ["suffix"], "doc_id")
-    out = salted_join(out, likes, ["declared"], "doc_id")
+    # joins of rows with sums that have one row a key; a hot host's or suffix's partition is split when it is read
+    out = rows.join(hosts, ["suffix", "host"], "left")
+    out = out.join(suffixes.select("suffix", "_suffix_prior"), ["suffix"], "left")
+    out = out.join(likes, ["declared"], "left")
     even = F.array(*[F.lit(1.0) for _ in width])
     prior = F.when(F.col("host") != "", F.col("_host_prior")).otherwise(F.col("_suffix_prior"))
     prior = F.coalesce(prior, F.col("_suffix_prior"), everywhere)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_near_duplicates
 from .exact_dedup import exact_dedup
-from .language_id import identify
+from .language_id import address_suffix, fit_text_model, identify, page_declared, page_text
 from .lm_score import score
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -197,8 +197,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: declared is the column lang, the host is the source; there is no address."""
-    return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    """All pages, by text, html lang attribute, address suffix and host, and all documents, by text and source.
+
+    The text model learns from the labels of documents (their column lang),
+    which therefore is no evidence about them. A row has either a doc_id or a
+    page_id.
+    """
+    documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit_text_model(documents, "doc_id", "text", "lang")
+    of_documents = identify(documents, host=F.col("source"), model=model).withColumn("page_id", F.lit(None).cast("long"))
+    host = host_of(F.col("url"))
+    read = pages.select("page_id", page_text(F.col("html")).alias("text"), page_declared(F.col("html")).alias("declared"), host.alias("host"))
+    of_pages = identify(read, id_col="page_id", declared=F.col("declared"), suffix=address_suffix(F.col("host")), host=F.col("host"), model=model)
+    of_pages = of_pages.withColumn("page_id", F.col("doc_id")).withColumn("doc_id", F.lit(None).cast("long"))
+    return of_documents.unionByName(of_pages)
 
 
 QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_lm_score": op2_lm_score, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}

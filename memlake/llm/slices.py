@@ -40,11 +40,14 @@ def unsqueeze(blob: bytes, kind: type) -> np.ndarray:
 
 
 def squeeze_sorted(keys: np.ndarray) -> bytes:
-    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys by their differences, without the low bits that none of them uses."""
+    used = int(np.bitwise_or.reduce(keys, initial=np.uint64(0)))
+    low = (used & -used).bit_length() - 1 if used else 0
+    return bytes([low]) + squeeze(np.diff(keys >> np.uint64(low), prepend=np.uint64(0)))
 
 
 def unsqueeze_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unsqueeze(blob, np.uint64), dtype=np.uint64)
+    return np.cumsum(unsqueeze(blob[1:], np.uint64), dtype=np.uint64) << np.uint64(blob[0])
 
 
 def sliced(docs: DataFrame, doc_id: Column, text: Column, flag: Column, name: str, most: int = SLICE_BYTES) -> DataFrame:

@@ -11,8 +11,8 @@ from memlake.llm import packing as P
 from memlake.llm import suffix_dedup as S
 from memlake.llm.embedding_dedup import embedding_near_duplicates
 from memlake.llm.exact_dedup import exact_dedup
-from memlake.llm.language_id import identify
-from memlake.llm.lm_score import Code, score
+from memlake.llm import language_id as LI
+from memlake.llm.lm_score import score
 from memlake.llm.mixing import mix
 from memlake.llm.sharding import hilbert_shards
 from memlake.llm.url_filter import filter_urls
@@ -209,22 +209,79 @@ def test_url_filter(spark):
     assert filter_urls(captures.limit(0), entries).count() == 0 and filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
 
 
-def test_language(spark, empty):
+LANGUAGE_TEXTS = {"en": "the cat and the dog went to the house of the man ", "de": "der hund und die katze gingen in das haus des mannes ", "fr": "le chat et le chien sont dans la maison de la dame "}
+
+
+def pages_table(spark):
+    """Languages that agree or not with the markup, the suffix and the host; nulls, ties, repeated ids, a long text, clashing columns."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        lang = ["en", "de", "fr"][i % 3]
+        words_ = LANGUAGE_TEXTS[lang].split()
+        n = 1 if i % 10 == 0 else 30
+        rows.append((i, " ".join(rng.choice(words_) for _ in range(n)), lang if i % 4 else None, ["com", "de", "fr"][i % 3] if i % 5 else "com", f"h{i % 9}" if i % 7 else "", "x"))
+    rows += [(None, LANGUAGE_TEXTS["en"], "en", None, None, "x"), (5, LANGUAGE_TEXTS["de"], "", "", "", "x"), (5, LANGUAGE_TEXTS["de"], "", "", "", "x"), (200, None, "en", "com", "h1", "x"), (201, "", "en", "com", "h1", "x"), (202, "ab", "de", "de", "h1", "x"), (203, LANGUAGE_TEXTS["fr"] * 20_000, "fr", "fr", "h2", "x"), (204, "\x01\x02" * 500, "en", "com", "h1", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, best string")
+
+
+def test_language_posterior(spark):
+    """Against Bayes by hand: likelihoods from the model, shares and priors from plain counts."""
     from pyspark.sql import functions as F
 
-    en, de = "the cat and the dog went to the house of the man ", "der hund und die katze gingen in das haus des mannes "
-    rows = [(i, (en if i % 2 else de) * 3, "en" if i % 2 else "de", "h" + str(i % 2)) for i in range(40)] + [(90, en * 4, "de", "h1"), (91, None, "en", "h1"), (92, "", None, None)]
+    table = pages_table(spark)
+    labels = spark.createDataFrame([(i, t * 3, k) for i, (k, t) in enumerate(LANGUAGE_TEXTS.items())], "doc_id long, text string, lang string")
+    langs = ("en", "de", "fr")
+    model = LI.fit_text_model(labels, "doc_id", "text", "lang", langs)
+    rows = table.collect()
+    grams = [LI.trigram_buckets(np.frombuffer((r.text or "").encode(), np.uint8)) if len((r.text or "").encode()) > 2 else np.zeros(0, np.int64) for r in rows]
+    ll = [model[g].sum(axis=0, dtype=float) * min(1, LI.EVIDENCE / max(1, len(g))) for g in grams]
+    noise = [-np.log(LI.BUCKETS) * len(g) * min(1, LI.EVIDENCE / max(1, len(g))) for g in grams]
+    sure = [k for k in range(len(rows)) if len(grams[k]) and ll[k].max() > noise[k]]
+    best = [int(v.argmax()) for v in ll]
+
+    def counts(same):
+        return np.bincount([best[k] for k in sure if same(rows[k])], minlength=3).astype(float)
+
+    everywhere = counts(lambda r: True) + 1
+    base = everywhere / everywhere.sum()
+
+    def smoothed(c, prior):
+        return (c + LI.SMOOTH * prior) / (c.sum() + LI.SMOOTH)
+
+    got = LI.identify(table, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), model=model, languages=langs).collect()
+    assert len(got) == len(rows)
+    left = [(r.doc_id, r.declared, r.host, r.n_grams, round(r.posterior, 9), r.language, r.rejected) for r in got]
+    for k, r in enumerate(rows):
+        suffix, host, declared = r.suffix or "", r.host or "", r.declared or ""
+        by_suffix = smoothed(counts(lambda x: (x.suffix or "") == suffix), base)
+        own = counts(lambda x: (x.suffix or "", x.host or "") == (suffix, host))
+        prior = smoothed(own, by_suffix) if host and own.sum() else by_suffix
+        said = (counts(lambda x: (x.declared or "") == declared) + LI.ADD) / (everywhere + LI.ADD) if declared else np.ones(3)
+        joint = np.exp(ll[k] - ll[k].max()) * prior * said
+        posterior = joint.max() / joint.sum()
+        rejected = not r.text or (len(grams[k]) > 0 and ll[k].max() <= noise[k]) or posterior < 0.5
+        left.remove((r.doc_id, declared, host, len(grams[k]), round(posterior, 9), "und" if rejected else langs[int(joint.argmax())], rejected))
+    assert not left
+
+
+def test_language_tables(spark, empty):
+    from pyspark.sql import functions as F
+
+    rows = [(i, LANGUAGE_TEXTS["en" if i % 2 else "de"] * 3, "en" if i % 2 else "de", "h" + str(i % 2)) for i in range(40)] + [(90, LANGUAGE_TEXTS["en"] * 4, "de", "h1"), (91, None, "en", "h1")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in identify(table, declared=F.col("lang"), host=F.col("source"), label_col="lang").collect()}
-    assert len(got) == len(rows) and got[90].language == "en" and got[91].rejected and got[92].rejected
-    assert all(got[i].language == ("en" if i % 2 else "de") and not got[i].rejected for i in range(40))
-    assert identify(empty, declared=F.col("lang"), host=F.col("source"), label_col="lang").count() == 0
+    got = {r.doc_id: r for r in LI.identify(table, host=F.col("source"), label_col="lang").collect()}
+    assert got[90].language == "en" and got[91].rejected and all(got[i].language == ("en" if i % 2 else "de") for i in range(40))
+    assert LI.identify(empty, host=F.col("source"), label_col="lang").count() == 0
 
 
-def test_huffman_prefix_code():
-    code = Code.huffman([5, 1, 1, 3, 9])
-    paths = [tuple(zip(code.nodes[a:b].tolist(), code.bits[a:b].tolist(), strict=True)) for a, b in zip(code.start[:-1], code.start[1:], strict=True)]
-    assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-12 and len(set(paths)) == 5
+def test_page_evidence(spark):
+    from pyspark.sql import functions as F
+
+    html = ['<html  LANG="de-AT"><body><script>var the="en";</script><p>Der <b>Hund</b></p></body>', "<html><p>x", None]
+    rows = spark.createDataFrame([(h, u) for h, u in zip(html, ["www.a.de", "localhost", None], strict=True)], "html string, host string")
+    got = rows.select(LI.page_declared(F.col("html")), F.trim(LI.page_text(F.col("html"))), LI.address_suffix(F.col("host"))).collect()
+    assert [tuple(r) for r in got] == [("de", "Der  Hund", "de"), ("", "x", ""), ("", None, "")]
 
 
 def test_score(docs, empty):
