@@ -3,44 +3,52 @@
 A byte is repeated if a string of ``limit`` bytes that covers it also starts
 somewhere else. The work goes from cheap to exact:
 
-1. Equal documents fall together; one of them is looked at.
-2. Winnowing: of every run of ``limit - gram + 1`` byte grams the one with the
-   least hash is an anchor. Equal strings of ``limit`` bytes have an anchor at
-   the same place within them, so only anchors whose hash occurs twice matter.
-3. The cover of an anchor is the text in which a string of ``limit`` bytes can
-   hold it. Equal covers of an anchor's hash fall together with their count.
-4. Anchors that have several different covers go, a bounded number of covers
-   at a time, into a suffix array. Previous and next smaller text positions
-   in suffix order give each place its longest previous and next factor, cut
-   at ``limit``: a place with a previous factor of ``limit`` is a later copy,
-   one with either is repeated.
-5. Anchors with more than ``GROUP_COVERS`` covers would make a block too
-   large. Their places are cut into ranges; the string that all windows of a
-   range share occurs once (none is repeated), or the string that they span
-   is one and the same (all are), or the range is cut further, down to single
-   windows. That needs only counts and is exact too.
+1. Winnowing: a string of ``limit`` bytes (a window) has one anchor, of its
+   byte grams the first one with the least hash. Equal windows have their
+   anchor at the same place within them, so windows are compared only where
+   their anchors' grams are equal, and each window is judged at one anchor.
+2. The windows of an anchor are neighbours; the text that they span is its
+   cover. Shards of the anchors' hashes count covers (see slices.py). An
+   anchor that occurs once has no repeated window; if all its covers are
+   equal, all its windows are.
+3. Covers of an anchor that differ are contested. Each goes once, with all
+   others of its anchor, into a block of bounded size. The block's suffix
+   array is sorted as deep as a window, and previous and next smaller text
+   positions in suffix order give each window its longest previous and next
+   factor, cut at ``limit``: a window with a previous factor of ``limit`` bytes
+   is a later copy, one with either is repeated. The gram that all covers of
+   an anchor share is one symbol there.
+4. Anchors with more than ``group_covers`` covers would make a block too large.
+   Their windows are cut into cells of WIDTHS windows; what all windows of a
+   cell share is the anchor then, and steps 2 to 4 go on with it. Single
+   windows are never contested.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, salted_join, written
+from .common import discard, written
+from .slices import SLICE_BYTES, sliced, squeeze, squeeze_sorted, texts_of, unsqueeze, unsqueeze_sorted
 
 LIMIT = 400
 GRAM = 200
 #: Covers of one anchor hash that a suffix array takes in.
 GROUP_COVERS = 1024
-#: Covers in a block of the suffix array.
+#: Covers in a block of the suffix array, on average.
 BLOCK_COVERS = 2048
-#: Widths of the ranges into which the windows of larger groups are cut.
-RANGES = (26, 5, 1)
+#: Windows in a cell, by level; 0: all windows of the anchor.
+WIDTHS = (0, 26, 5, 1)
+#: Bytes of text for which a shard of the anchors is meant.
+SHARD_BYTES = 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -48,36 +56,50 @@ _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes hashed at once; blocks overlap by limit bytes.
 HASH_BLOCK = 1 << 18
 
+#: Rows between the stages; ``n`` and ``m`` are numbers of entries that go on.
+ROW = "kind int, shard int, slice long, level int, n long, m long, blob binary"
+_ROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("slice", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("blob", pa.binary())])
+QUESTION, ENTRIES, STATUS, TEXTS, RESULT, ANSWER = range(6)
+#: What a shard says of a cover: nothing is repeated, all is, it is contested (this slice sends it, or another one does), it has to be cut.
+NONE, ALL, SEND, WAIT, CUT = range(5)
+#: Added in the slice that has the cover's first place.
+FIRST = 16
+
 
 # ---------------------------------------------------------------- kernels
 
 
-def suffix_array(codes: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of codes (whole numbers from 1) and their ranks, by their first ``depth`` codes at least; equal ones in text order.
+def suffix_array(codes: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the suffixes of codes (whole numbers from 1), their ranks, and how many codes those compare.
 
-    Prefix doubling: seven codes at once to begin with, then twice as many in
-    each turn. Without ``depth`` the order is complete.
+    As many codes as fit into a key at first, then two or three times as many
+    in each turn. With ``width`` they compare half of it at least and not more
+    than it; without, the order is complete.
     """
     n = len(codes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = np.zeros(n + 7, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    bits = int(codes.max()).bit_length()
+    reach = min(63 // bits, width or n)
+    wide = np.zeros(n + reach, np.int64)
     wide[:n] = codes
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | wide[k : k + n]
-    reach = 7
+    key = np.zeros(n, np.int64)
+    for k in range(reach):
+        key = (key << bits) | wide[k : k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.int64))))
-        if rank[order[-1]] == n - 1 or (depth is not None and reach >= depth) or reach >= n:
-            return order, rank
-        following = np.zeros(n, np.int64)
-        following[: n - reach] = rank[reach:] + 1 if reach < n else 0
-        key = (rank * (n + 1) + following).astype(np.uint64)
-        reach *= 2
+        if rank[order[-1]] == n - 1 or (width is not None and 2 * reach >= width) or reach >= n:
+            return order, rank, reach
+        triple = n + 1 < 1 << 21 and (width is None or 3 * reach <= width)
+        key = rank + 1
+        for k in range(1, 3 if triple else 2):
+            key <<= 21 if triple else 31
+            if k * reach < n:
+                key[: n - k * reach] |= rank[k * reach :] + 1
+        reach *= 3 if triple else 2
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -101,7 +123,7 @@ def longest_previous_factor(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each place: length of the longest string that starts there and also starts earlier, and where (-1: nowhere)."""
     codes = np.frombuffer(data, np.uint8).astype(np.int64) + 1
     n = len(codes)
-    order, _ = suffix_array(codes)
+    order, _, _ = suffix_array(codes)
     before, after = previous_smaller(order), next_smaller(order)
     length, source = np.zeros(n, np.int64), np.full(n, -1)
     for side in (before, after):
@@ -154,317 +176,492 @@ def _sliding(x: np.ndarray, run: int, pick, neutral) -> np.ndarray:
     return pick(back[: n - run + 1], ahead[run - 1 : n])
 
 
-def document_anchors(raw: bytes, gram: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of a whole document, in blocks that overlap so that each window of ``limit`` bytes is seen whole."""
-    if len(raw) < limit:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def document_anchors(raw: bytes, gram: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first window, last window) of the anchors of a whole document; each window has one.
+
+    It is hashed in blocks that overlap so that each window is seen whole.
+    """
+    run, n = limit - gram + 1, len(raw) - limit + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(raw, np.uint8)
     places, hashes, at = [], [], 0
     while True:
         end = min(len(raw), at + HASH_BLOCK + limit - 1)
-        p, h = anchors(data[at:end], gram, limit - gram + 1)
+        p, h = anchors(data[at:end], gram, run)
         places.append(p + at), hashes.append(h)
         if end == len(raw):
             break
         at += HASH_BLOCK
     p, first = np.unique(np.concatenate(places), return_index=True)
-    return p, np.concatenate(hashes)[first]
-
-
-def block_repeats(covers: list[bytes], lefts: np.ndarray, groups: np.ndarray, limit: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cover, place relative to the anchor, earlier, any) of each window of the covers, which are in corpus order.
-
-    ``earlier``: the window equals one at the same place of an earlier cover
-    of its group; ``any``: of any other cover of its group. ``span`` is the
-    number of bytes that a window has beyond the gram.
+    h = np.concatenate(hashes)[first]
+    # the anchor of a window is smaller than all grams before it and not larger than those after it
+    rank = np.empty(len(h), np.int64)
+    rank[np.argsort(h, kind="stable")] = np.arange(len(h))
+    before, after = previous_smaller(rank), next_smaller(rank)
+    lo = np.maximum(p - run + 1, np.where(before >= 0, p[before] + 1, 0))
+    hi = np.minimum(np.minimum(p, n - 1), np.where(after >= 0, p[after] - run, n - 1))
+    has = lo <= hi
+    return p[has], h[has], lo[has], hi[has]
+
+
+def block_repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cover, place, earlier, any) of each window of the covers, which are in corpus order.
+
+    A cover is what lies left and right of what its group has in common; its
+    k-th window begins k bytes into the left part and has ``length`` bytes
+    besides what is common. ``earlier``: the window equals one of an earlier
+    cover of its group; ``any``: of any other cover of its group.
     """
-    sizes = np.array([len(c) for c in covers])
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    codes = np.frombuffer(b"\0".join(covers) + b"\0", np.uint8).astype(np.int64) + 2
-    codes[starts + sizes] = 1
-    depth = 7
-    while depth * 2 < limit:
-        depth *= 2
-    _, rank = suffix_array(codes, depth)
-    # windows: the anchor lies lefts bytes into its cover, a window starts at most span before it
-    counts = np.maximum(0, np.minimum(lefts, sizes - limit) + 1)
-    own = np.repeat(np.arange(len(covers)), counts)
-    inside = np.arange(counts.sum()) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    place = inside - lefts[own]
-    at = starts[own] + inside
-    # ranks reach depth codes: two overlapping stretches make up limit bytes
-    order = np.lexsort((at, place, groups[own], rank[at + limit - depth], rank[at]))
-    same = [v[order] for v in (rank[at], rank[at + limit - depth], groups[own], place)]
-    by_place = at[order]
-    before, after = previous_smaller(by_place), next_smaller(by_place)
-    ahead = next_smaller(-by_place)  # next larger place: the longest next factor
-    behind = previous_smaller(-by_place)
+    n_left, n_right = (np.array([len(x) for x in side]) for side in (lefts, rights))
+    # one symbol for the group's common part and one for the end of a cover
+    sizes = n_left + n_right + 2
+    starts = np.cumsum(sizes) - sizes
+    codes = np.frombuffer(b"".join(x + b"\0" + y + b"\0" for x, y in zip(lefts, rights, strict=True)), np.uint8).astype(np.int64) + 2
+    codes[starts + n_left] = groups + 258
+    codes[starts + sizes - 1] = 1
+    width = length + 1
+    _, rank, reach = suffix_array(codes, width)
+    own = np.repeat(np.arange(len(lefts)), n_left + 1)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(n_left + 1) - (n_left + 1), n_left + 1)
+    at = starts[own] + place
+    fits = place + length <= (n_left + n_right)[own]
+    own, place, at = own[fits], place[fits], at[fits]
+    # two overlapping stretches of ranks make up a window, and the common symbol in it tells group and place
+    same = rank[at] * len(codes) + rank[at + width - reach]
+    order = np.argsort(same)
+    same, by_place = same[order], at[order]
 
     def full(side: np.ndarray) -> np.ndarray:
-        out = side >= 0
-        for v in same:
-            out &= v == v[side]
-        return out
+        return (side >= 0) & (same == same[side])
 
-    early = full(before) | full(after)
-    later = full(ahead) | full(behind)
+    early = full(previous_smaller(by_place)) | full(next_smaller(by_place))
+    later = full(next_smaller(-by_place)) | full(previous_smaller(-by_place))
     earlier, either = np.zeros(len(at), bool), np.zeros(len(at), bool)
     earlier[order], either[order] = early, early | later
     return own, place, earlier, either
 
 
-def runs(own: np.ndarray, place: np.ndarray, mask: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
-    """For each of n covers the maximal runs (first, last place) where mask holds."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+def runs(own: np.ndarray, place: np.ndarray, mask: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many each of n covers has, first, last place) of the maximal runs where mask holds."""
     at = np.flatnonzero(mask)
-    if len(at):
-        new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(own[at]) != 0)))
-        first = at[new]
-        last = at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
-        for c, a, b in zip(own[first].tolist(), place[first].tolist(), place[last].tolist(), strict=True):
-            out[c].append((a, b))
+    if not len(at):
+        return np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate(([True], (np.diff(place[at]) != 1) | (np.diff(own[at]) != 0)))
+    first = at[new]
+    last = at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
+    return np.bincount(own[first], minlength=n), place[first], place[last]
+
+
+def spans_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of half-open spans: those of which no two touch or overlap, in order."""
+    order = np.argsort(lo)
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate(([True], lo[1:] > reach[:-1]))
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(lo) - 1]))
+    return lo[new], reach[last]
+
+
+# ---------------------------------------------------------------- slices and shards
+
+
+def pack(**arrays) -> bytes:
+    """Arrays and lists of bytes as one blob; ``keys`` are sorted."""
+    out = {}
+    for name, x in arrays.items():
+        if name == "keys":
+            out[name] = squeeze_sorted(x)
+        elif isinstance(x, list):
+            out[name] = ([len(b) for b in x], zstandard.ZstdCompressor(1).compress(b"".join(x)))
+        else:
+            out[name] = (x.dtype.str, squeeze(x) if len(x) else b"")
+    return pickle.dumps(out)
+
+
+def unpack(blob: bytes) -> dict:
+    out = {}
+    for name, x in pickle.loads(blob).items():
+        if name == "keys":
+            out[name] = unsqueeze_sorted(x)
+        elif isinstance(x[0], list):
+            out[name] = texts_of(*x)
+        else:
+            out[name] = unsqueeze(x[1], np.dtype(x[0])) if x[1] else np.zeros(0, x[0])
     return out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def _asked(number: int, level: int, key: np.ndarray, fp: np.ndarray, place: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[tuple]:
+    """The rows of a slice's entries, and its questions: distinct (key, fp) with their numbers and first places.
+
+    An entry: key, fingerprint of the cover, place of the anchor in the
+    slice's bytes, document, first and last window beside the anchor.
+    """
+    order = np.lexsort((place, ids[doc], fp, key))
+    key, fp, place, doc, lo, hi = (x[order] for x in (key, fp, place, doc, lo, hi))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))) if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    yield ENTRIES, 0, number, level, len(key), 0, pack(new=new, place=place, doc=doc.astype(np.int32), lo=lo.astype(np.int32), hi=hi.astype(np.int32))
+    copies = np.diff(np.concatenate((first, [len(key)])))
+    shard = _shard_of(key[first], shards)
+    edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if b > a:
+            at = first[a:b]
+            yield QUESTION, k, number, level, b - a, a, pack(keys=key[at], fp=fp[at], copies=copies[a:b].astype(np.int32), id=ids[doc[at]], place=place[at])
+
+
+def slice_questions(number: int, texts: list[bytes], ids: np.ndarray, gram: int, limit: int, shards: int) -> Iterator[tuple]:
+    """Level 0: an entry for each anchor of the slice's texts."""
+    parts, fp, at = [], [], 0
+    for d, raw in enumerate(texts):
+        p, h, lo, hi = document_anchors(raw, gram, limit)
+        for a, b, c in zip(lo.tolist(), hi.tolist(), p.tolist(), strict=True):
+            fp.append(_digest(raw[a : b + limit] + bytes([(c - a) & 255, (c - a) >> 8])))
+        parts.append((h, p + at, np.full(len(p), d), lo - p, hi - p))
+        at += len(raw)
+    key, place, doc, lo, hi = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
+    yield from _asked(number, 0, key.astype(np.uint64), np.array(fp, np.uint64), place, doc, lo, hi, ids, shards)
+
+
+def shard_status(shard: int, level: int, slices: list[int], blobs: list[bytes], group_covers: int) -> Iterator[tuple]:
+    """For each slice what its covers of this shard are: one status a question, and of those to send the copies and the corpus order."""
+    parts = [unpack(b) for b in blobs]
+    key, fp, copies, ids, place = (np.concatenate([p[c] for p in parts]) for c in ("keys", "fp", "copies", "id", "place"))
+    who = np.repeat(np.arange(len(parts)), [len(p["keys"]) for p in parts])
+    number = np.array(slices, np.int64)[who]
+    order = np.lexsort((place, number, ids, fp, key))
+    same_key = np.concatenate(([False], key[order][1:] == key[order][:-1]))
+    same = same_key & np.concatenate(([False], fp[order][1:] == fp[order][:-1]))
+    pair, group = np.cumsum(~same) - 1, np.cumsum(~same_key) - 1
+    total = np.bincount(pair, copies[order])[pair]
+    kinds = np.bincount(group, ~same)[group]
+    status = np.where(kinds == 1, np.where(total > 1, ALL, NONE), np.where(kinds > group_covers, CUT, np.where(same, WAIT, SEND)))
+    if level == len(WIDTHS) - 1:  # one window: equal keys are equal windows
+        status = np.where(kinds > 1, np.where(same, WAIT, SEND), status)
+    out = np.empty(len(key), np.uint8)
+    out[order] = status + np.where(same, 0, FIRST)
+    sent = np.empty(len(key), np.int64)
+    sent[order] = total
+    for k, s in enumerate(slices):
+        own = np.flatnonzero(who == k)
+        send = own[out[own] % FIRST == SEND]
+        yield STATUS, shard, s, level, len(send), int((out[own] % FIRST == CUT).sum()), pack(status=out[own], copies=sent[send], id=ids[send], place=place[send])
+
+
+def _level_of(rows: list[dict], level: int) -> tuple[dict, np.ndarray, np.ndarray, dict] | None:
+    """A slice's entries of a level, the status and shard of each of its questions, and what goes with those to send."""
+    entries = [unpack(r["blob"]) for r in rows if r["kind"] == ENTRIES and r["level"] == level]
+    if not entries:
+        return None
+    said = sorted(((r["shard"], r["blob"]) for r in rows if r["kind"] == STATUS and r["level"] == level), key=lambda r: r[0])
+    parts = [unpack(b) for _, b in said]
+    more = {c: np.concatenate([x[c] for x in parts]) if parts else np.zeros(0, np.int64) for c in ("status", "copies", "id", "place")}
+    shard = np.repeat([k for k, _ in said], [len(x["status"]) for x in parts]) if parts else np.zeros(0, np.int64)
+    return entries[0], more.pop("status").astype(np.uint8), shard, more
+
+
+def _shared(lo: np.ndarray, level: int, gram: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end, beside the anchor, of what all windows of a group share; lo: a window of it."""
+    if level == 0:
+        return np.zeros(len(lo), np.int64), np.full(len(lo), gram)
+    first = lo.astype(np.int64) // WIDTHS[level] * WIDTHS[level]
+    return first + WIDTHS[level] - 1, first + limit
+
+
+def _group_key(raw: bytes, place: int, first: int, last: int, level: int) -> int:
+    """Key of a group: of the bytes that its windows share, and where those lie beside the anchor."""
+    return _digest(raw[place + first : place + last] + b"%d %d" % (level, first))
+
+
+def next_level(number: int, texts: list[bytes], ids: np.ndarray, rows: list[dict], level: int, gram: int, limit: int, shards: int, blocks: int) -> Iterator[tuple]:
+    """The covers that this slice sends to the blocks, and the entries and questions of the next level for those to be cut."""
+    found = _level_of(rows, level)
+    if found is None:
+        return
+    e, status, shard, sent = found
+    raw = b"".join(texts)
+    question = np.cumsum(e["new"]) - 1
+    kind = status[question] % FIRST
+    at = np.flatnonzero(e["new"] & (kind == SEND))
+    if len(at):
+        p, lo, hi = e["place"][at], e["lo"][at], e["hi"][at]
+        first, last = _shared(lo, level, gram, limit)
+        cuts = [x.tolist() for x in (p + lo, p + first, p + last, p + hi + limit)]
+        rest = {"left": [raw[a:b] for a, b in zip(cuts[0], cuts[1], strict=True)], "right": [raw[a:b] for a, b in zip(cuts[2], cuts[3], strict=True)]}
+        rest["group"] = np.array([_group_key(raw, x, a, b, level) for x, a, b in zip(p.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
+        rest |= {"lo": lo, "length": limit - (last - first), "question": question[at], "shard": shard[question[at]], **sent}
+        block = (rest["group"] % np.uint64(blocks)).astype(np.int64)
+        for k in np.unique(block).tolist():
+            own = np.flatnonzero(block == k)
+            yield TEXTS, k, number, level, len(own), 0, pack(**{c: [x[i] for i in own.tolist()] if isinstance(x, list) else x[own] for c, x in rest.items()})
+    cut = np.flatnonzero(kind == CUT)
+    if len(cut):
+        width = WIDTHS[level + 1]
+        lo, hi = e["lo"][cut].astype(np.int64), e["hi"][cut].astype(np.int64)
+        n = hi // width - lo // width + 1
+        own = np.repeat(np.arange(len(cut)), n)
+        cell = lo[own] // width + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = np.maximum(lo[own], cell * width), np.minimum(hi[own], cell * width + width - 1)
+        place, doc = e["place"][cut][own], e["doc"][cut][own].astype(np.int64)
+        first, last = _shared(x, level + 1, gram, limit)
+        key = np.array([_group_key(raw, p, a, b, level + 1) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
+        fp = np.array([_digest(raw[p + a : p + b + limit] + b"%d" % a) for p, a, b in zip(place.tolist(), x.tolist(), y.tolist(), strict=True)], np.uint64)
+        yield from _asked(number, level + 1, key, fp, place, doc, x, y, ids, shards)
+
+
+def _ragged(count: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Places of the rows' entries in a flat array, for the rows ``pick`` of those with ``count`` entries each."""
+    start, n = (np.cumsum(count) - count)[pick], count[pick]
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+RUNS = ("early", "either")
+
+
+def block_results(level: int, blobs: list[tuple[int, bytes]]) -> Iterator[tuple]:
+    """For each sending slice and shard the runs of windows, by question, that have an earlier copy and that are repeated at all."""
+    parts = [(s, unpack(b)) for s, b in blobs]
+    who = np.repeat(np.array([s for s, _ in parts], np.int64), [len(p["lo"]) for _, p in parts])
+    ids, place, lo, question, shard, copies, length, group = (np.concatenate([p[c] for _, p in parts]) for c in ("id", "place", "lo", "question", "shard", "copies", "length", "group"))
+    left, right = ([x for _, p in parts for x in p[c]] for c in ("left", "right"))
+    # corpus order
+    order = np.lexsort((place, who, ids))
+    own, at, earlier, either = block_repeats([left[i] for i in order.tolist()], [right[i] for i in order.tolist()], np.unique(group, return_inverse=True)[1][order], int(length[0]))
+    either |= (copies[order] > 1)[own]
+    found = dict(zip(RUNS, (runs(own, at, earlier, len(order)), runs(own, at, either, len(order))), strict=True))
+    base = lo[order].astype(np.int64)
+    to = np.stack([who, shard], axis=1)[order]
+    for s, k in np.unique(to, axis=0).tolist():
+        mine = np.flatnonzero((to == (s, k)).all(axis=1))
+        out = {"question": question[order][mine]}
+        for name, (count, a, b) in found.items():
+            flat, shift = _ragged(count, mine), np.repeat(base[mine], count[mine])
+            out |= {name: count[mine].astype(np.int32), f"{name}_lo": (a[flat] + shift).astype(np.int32), f"{name}_hi": (b[flat] + shift).astype(np.int32)}
+        yield RESULT, k, s, level, len(mine), 0, pack(**out)
+
+
+def shard_answers(shard: int, level: int, asked: list[dict], results: list[dict]) -> Iterator[tuple]:
+    """Each slice's contested questions with the runs that a block found for their cover, whichever slice had sent it."""
+    if not results:
+        return
+    asked = sorted(asked, key=lambda r: r["slice"])
+    parts = [unpack(r["blob"]) for r in asked]
+    sizes = [len(p["keys"]) for p in parts]
+    begin = {r["slice"]: (x - n, r["m"]) for r, x, n in zip(asked, np.cumsum(sizes).tolist(), sizes, strict=True)}
+    pair = np.unique(np.stack([np.concatenate([p[c] for p in parts]) for c in ("keys", "fp")], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    found = [(r["slice"], unpack(r["blob"])) for r in results]
+    row = np.full(int(pair.max()) + 1, -1)
+    n = 0
+    for s, f in found:
+        x, offset = begin[s]
+        row[pair[x + f["question"] - offset]] = n + np.arange(len(f["question"]))
+        n += len(f["question"])
+    flat = {c: np.concatenate([f[c] for _, f in found]) for name in RUNS for c in (name, f"{name}_lo", f"{name}_hi")}
+    for r, size in zip(asked, sizes, strict=True):
+        x, offset = begin[r["slice"]]
+        own = row[pair[x : x + size]]
+        has = np.flatnonzero(own >= 0)
+        if len(has):
+            out = {"question": has + offset}
+            for name in RUNS:
+                at = _ragged(flat[name], own[has])
+                out |= {name: flat[name][own[has]], f"{name}_lo": flat[f"{name}_lo"][at], f"{name}_hi": flat[f"{name}_hi"][at]}
+            yield ANSWER, shard, r["slice"], level, len(has), 0, pack(**out)
+
+
+def slice_spans(texts: list[bytes], rows: list[dict], limit: int, keep: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end) of the maximal runs to remove, in order."""
+    docs, lows, highs = [], [], []
+    for level in range(len(WIDTHS)):
+        found = _level_of(rows, level)
+        if found is None:
+            break
+        e, status, _, _ = found
+        question = np.cumsum(e["new"]) - 1
+        kind, place, doc = status[question] % FIRST, e["place"], e["doc"].astype(np.int64)
+        # the first place of a cover in the corpus: the earliest of its question, in the slice that has it
+        origin = e["new"] & (status[question] >= FIRST) if keep == "first" else np.zeros(len(doc), bool)
+        at = np.flatnonzero((kind == ALL) & ~origin)
+        docs.append(doc[at]), lows.append(place[at] + e["lo"][at]), highs.append(place[at] + e["hi"][at] + limit)
+        answers = [unpack(r["blob"]) for r in rows if r["kind"] == ANSWER and r["level"] == level]
+        if answers:
+            flat = {c: np.concatenate([x[c] for x in answers]) for c in answers[0]}
+            row = np.full(len(status), -1)
+            row[flat["question"]] = np.arange(len(flat["question"]))
+            for name, chosen in (("either", ~origin), ("early", origin)):
+                at = np.flatnonzero(chosen & (row[question] >= 0))
+                own = row[question[at]]
+                pick, n = _ragged(flat[name], own), flat[name][own]
+                docs.append(np.repeat(doc[at], n)), lows.append(np.repeat(place[at], n) + flat[f"{name}_lo"][pick]), highs.append(np.repeat(place[at], n) + flat[f"{name}_hi"][pick] + limit)
+    doc, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, lows, highs))
+    if not len(doc):
+        return doc, lo, hi
+    # a gap between documents keeps their spans apart
+    order = np.argsort(lo + doc, kind="stable")
+    lo, hi = spans_of((lo + doc)[order], (hi + doc)[order])
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes + np.arange(len(sizes))
+    doc = np.searchsorted(starts, lo, side="right") - 1
+    return doc, lo - starts[doc], hi - starts[doc]
+
+
 # ---------------------------------------------------------------- stages
 
-RUN = "array<struct<lo:int,hi:int>>"
-_RUN = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+SPAN = "array<struct<lo:int,hi:int>>"
+_SPAN = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+OUT = f"doc_id long, n_bytes long, n_removed long, n_spans long, spans {SPAN}, kept_sha256 string, text_sha256 string"
+LAST_ID = np.iinfo(np.int64).max
 
 
-def _structs(lists: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"lo": a, "hi": b} for a, b in x] for x in lists], _RUN)
+def _numbers(ids: list[int | None]) -> np.ndarray:
+    """Ids by which places are ordered; a null id comes last."""
+    return np.array([LAST_ID if i is None else i for i in ids], np.int64)
 
 
-def _find_anchors(gram: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                places, hashes = [], []
-                for t in part.column(1):
-                    p, h = document_anchors((t.as_py() or "").encode("utf-8"), gram, limit)
-                    places.append(p.astype(np.int32)), hashes.append(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "places", "hashes"])
+def _slices_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, list, list[bytes]]]:
+    for number, ids, sizes, blob in zip(*(table.column(c).to_pylist() for c in ("slice", "ids", "sizes", "texts")), strict=True):
+        yield number, ids, texts_of(sizes, blob)
 
-    return run
 
+def _rows(parts: Iterator[tuple]) -> pa.Table:
+    batches = [_batch([row]) for row in parts]
+    return pa.Table.from_batches(batches, schema=_ROW)
 
-def _cut_covers(gram: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = limit - gram
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out: dict[str, list] = {k: [] for k in ("doc_id", "h", "fp", "places", "place", "left", "cover")}
-                for i, t, found in zip(part.column("doc_id"), part.column("text"), part.column("found"), strict=True):
-                    raw, same = t.as_py().encode("utf-8"), {}
-                    for a in found.as_py():
-                        p = a["place"]
-                        cover = raw[max(0, p - span) : p + gram + span]
-                        key = (a["h"], min(p, span), hashlib.blake2b(cover, digest_size=16).digest())
-                        if key in same:
-                            same[key][0].append(p)
-                        else:
-                            same[key] = ([p], cover)
-                    for (h, left, fp), (places, cover) in same.items():
-                        for k, v in zip(out, (i.as_py(), h, fp + bytes([left & 255, left >> 8]), sorted(places), min(places), left, cover), strict=True):
-                            out[k].append(v)
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    return run
-
-
-def _block(limit: int, gram: int):
-    def run(key, table):
-        table = table.sort_by([("first_doc", "ascending"), ("first_place", "ascending"), ("h", "ascending")])
-        covers = table.column("cover").to_pylist()
-        lefts = table.column("left").to_numpy().astype(np.int64)
-        groups = np.unique(table.column("h").to_numpy(), return_inverse=True)[1]
-        own, place, earlier, either = block_repeats(covers, lefts, groups, limit, limit - gram)
-        either |= (table.column("copies").to_numpy() > 1)[own]
-        n = len(covers)
-        return pa.table({"h": table.column("h"), "fp": table.column("fp"), "early": _structs(runs(own, place, earlier, n)), "either": _structs(runs(own, place, either, n))})
-
-    return run
-
-
-def _cut_ranges(limit: int, width: int):
-    """Rows (h, fp, lo, hi, core, whole) of the ranges of ``width`` windows within each of a cover's open ranges."""
-
-    def digest(x: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, lo, hi, core, whole = [], [], [], [], []
-            for k, (cover, left, ranges) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cover", "left", "ranges")), strict=True)):
-                for a, b in ((r["lo"], r["hi"]) for r in ranges):
-                    # cells lie on a grid that is the same in all covers of the anchor
-                    for cell in range(a // width, b // width + 1):
-                        first, last = cell * width, cell * width + width - 1
-                        x, y = max(a, first), min(b, last)
-                        take.append(k), lo.append(x), hi.append(y)
-                        # the core is of the whole cell, also where a document's edge cuts it, and lies in each of its windows
-                        core.append(digest(b"%d %d " % (width, cell) + cover[left + last : left + first + limit]))
-                        whole.append(digest(b"%d %d " % (x, y) + cover[left + x : left + y + limit]))
-            kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("h", "fp", "copies", "first_doc", "first_place")]
-            more = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(core, pa.int64()), pa.array(whole, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, *more], names=["h", "fp", "copies", "first_doc", "first_place", "lo", "hi", "core", "whole"])
-
-    return run
-
-
-def _large_groups(covers: DataFrame, limit: int) -> DataFrame:
-    """``h, fp, early, either`` for covers of large groups, by counts of ever shorter ranges of windows."""
-    schema = "h long, fp binary, copies long, first_doc long, first_place int, lo int, hi int, core long, whole long"
-    covers = written(covers, "repeat-large")
-    last = F.least(F.lit(0), F.col("size") - F.lit(limit) - F.col("left")).cast("int")
-    rows = covers.withColumn("ranges", F.array(F.struct((-F.col("left")).alias("lo"), last.alias("hi")))).where("ranges[0].lo <= ranges[0].hi")
-    found = []
-    for width in RANGES:
-        # cells are as wide as the step before divides into; a narrower grid begins anew
-        cut = written(rows.select("h", "fp", "copies", "first_doc", "first_place", "left", "cover", "ranges").mapInArrow(_cut_ranges(limit, width), schema), f"repeat-ranges-{width}")
-        counts = cut.groupBy("h", "core").agg(F.sum("copies").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.min(F.struct("first_doc", "first_place")).alias("origin")).where("n > 1")
-        joined = written(salted_join(cut.drop("whole", "copies"), counts, ["h", "core"], "fp", "inner", 8), f"repeat-counted-{width}")
-        found.append(joined.where("a = b").select("h", "fp", F.struct("lo", "hi").alias("run"), (F.struct("first_doc", "first_place") != F.col("origin")).alias("is_early")))
-        open_ranges = joined.where("a <> b").groupBy("h", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-        rows = covers.join(open_ranges, ["h", "fp"])
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("h", "fp").agg(F.collect_list(F.when(F.col("is_early"), F.col("run"))).alias("early"), F.collect_list("run").alias("either"))
-
-
-def _digests(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, removed, sha = [], [], []
-            for t, found in zip(batch.column("text"), batch.column("found"), strict=True):
-                raw = t.as_py().encode("utf-8")
-                own: list[list[int]] = []
-                for r in sorted((x["lo"], x["hi"]) for x in found.as_py()):
-                    if own and r[0] <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], r[1] + limit)
-                    else:
-                        own.append([r[0], r[1] + limit])
-                ends = [0, *(x for s in own for x in s), len(raw)]
-                sha.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))).hexdigest())
-                removed.append(sum(b - a for a, b in own))
-                spans.append([{"lo": a, "hi": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _RUN), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "spans", "n_removed", "kept_sha256"])
 
-    return run
+def _removed(ids: list, texts: list[bytes], rows: list[dict], limit: int, keep: str) -> pa.Table:
+    doc, lo, hi = slice_spans(texts, rows, limit, keep)
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    sha = []
+    for raw, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        ends = [0, *np.stack([lo[a:b], hi[a:b]], axis=1).ravel().tolist(), len(raw)]
+        sha.append(hashlib.sha256(b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True))).hexdigest())
+    spans = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["lo", "hi"]))
+    removed = np.bincount(doc, hi - lo, minlength=len(texts)).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+    return pa.table([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed), pa.array(np.diff(edges), pa.int64()), spans, pa.array(sha, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "text_sha256"])
 
 
-def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, gram: int = GRAM, group_covers: int = GROUP_COVERS) -> DataFrame:
-    """One row for each row of docs: ``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256``.
+def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, gram: int = GRAM, group_covers: int = GROUP_COVERS, block_covers: int = BLOCK_COVERS, slice_bytes: int = SLICE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row for each row of docs: ``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, text_sha256``.
 
     ``spans`` are the maximal runs of bytes to remove, half-open and in order
     (``lo``, ``hi``). With ``keep`` 'none' each byte goes that is covered by a
     ``limit``-byte string which also starts anywhere else, in this document or
     another; with 'first' the earliest place of each such string (by id, then
-    by place) stays. Matches never cross documents; strings are judged on the
-    input, not on what is left. ``kept_sha256`` is of the bytes left.
-
-    A null text is empty. Texts shorter than ``limit`` lose nothing. Rows that
-    repeat an id, or have none, keep their bytes unless their whole text
-    occurs in another row. An empty table gives no rows; other columns are not
-    looked at.
+    as the rows stand) stays. Matches never cross documents; strings are
+    judged on the input, not on what is left. ``kept_sha256`` is of the bytes
+    left.
+
+    A null text is empty. Texts shorter than ``limit`` lose nothing. Rows are
+    documents of their own, whether or not they repeat an id or a text or have
+    no id (which comes last in order). An empty table gives no rows; other
+    columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    thin = written(plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "repeat-thin")
-    long_enough = thin.where(F.col("n_bytes") >= limit)
-    copies = written(long_enough.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "repeat-copies")
-    firsts = copies.where("first is not null").select(F.col("first").alias("doc_id"))
-
-    found = plain.where(F.octet_length("text") >= limit).select("doc_id", "text").mapInArrow(_find_anchors(gram, limit), "doc_id long, places array<int>, hashes array<long>")
-    found = written(found.join(firsts, "doc_id", "left_semi"), "repeat-anchors")
-    each = found.select("doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("a")).select("doc_id", F.col("a.places").alias("place"), F.col("a.hashes").alias("h"))
-    twice = written(found.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-twice")
-    wanted = salted_join(each, twice, ["h"], "place", "left_semi", 8)
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("found"))
-    # a document is read here once more, with the anchors that it has itself
-    wanted = written(wanted, "repeat-wanted")
-    mine = by_ids(plain, wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(mine.join(wanted, "doc_id"), "repeat-texts")
-    covers = written(texts.mapInArrow(_cut_covers(gram, limit), "doc_id long, h long, fp binary, places array<int>, place int, left int, cover binary"), "repeat-covers")
-
-    distinct = covers.groupBy("h", "fp").agg(
-        F.sum(F.size("places")).cast("long").alias("copies"),
-        F.min(F.struct(F.col("doc_id").alias("d"), F.col("place").alias("p"))).alias("first"),
-        F.min("left").alias("left"),
-        F.min(F.octet_length("cover")).alias("size"),
-    )
-    distinct = written(distinct.select("h", "fp", "copies", F.col("first.d").alias("first_doc"), F.col("first.p").alias("first_place"), "left", "size"), "repeat-distinct")
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    distinct = written(salted_join(distinct, kinds, ["h"], "fp", "inner", 8), "repeat-kinds")
-
-    # one cover only: all its windows are in each of its copies
-    last = F.least(F.lit(0), F.col("size") - F.lit(limit) - F.col("left")).cast("int")
-    single = distinct.where("kinds = 1 and copies > 1").select("h", "fp", F.array().cast(RUN).alias("early"), F.array(F.struct((-F.col("left")).cast("int").alias("lo"), last.alias("hi"))).alias("either"))
-    single = single.where("either[0].lo <= either[0].hi")
-    texts_of = covers.select("h", "fp", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"), "cover")
-    several = distinct.where("kinds > 1")
-    middle = several.where(F.col("kinds") <= group_covers)
-    blocks = max(1, -(-middle.count() // BLOCK_COVERS))
-    block = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")
-    at = ["h", "fp", "first_doc", "first_place"]
-    sorted_ = middle.join(texts_of, at).select("*", block).groupBy("block").applyInArrow(_block(limit, gram), f"h long, fp binary, early {RUN}, either {RUN}")
-    results = single.unionByName(written(sorted_, "repeat-sorted"))
-    large = several.where(F.col("kinds") > group_covers)
-    if not large.isEmpty():
-        results = results.unionByName(_large_groups(large.join(texts_of, at), limit))
-    results = written(results.where("size(either) > 0"), "repeat-results")
-
-    here = salted_join(covers.select("doc_id", "h", "fp", "places"), results, ["h", "fp"], "doc_id", "inner", 8)
-    if keep == "first":
-        origin = distinct.select("h", "fp", "first_doc", "first_place")
-        here = salted_join(here, origin, ["h", "fp"], "doc_id", "inner", 8)
-        here = here.select("doc_id", F.explode("places").alias("p"), "early", "either", "first_doc", "first_place")
-        use = F.when((F.col("doc_id") == F.col("first_doc")) & (F.col("p") == F.col("first_place")), F.col("early")).otherwise(F.col("either"))
-        here = here.select("doc_id", "p", use.alias("use"))
-    else:
-        here = here.select("doc_id", F.explode("places").alias("p"), F.col("either").alias("use"))
-    moved = here.select("doc_id", F.explode(F.transform("use", lambda r: F.struct((r["lo"] + F.col("p")).alias("lo"), (r["hi"] + F.col("p")).alias("hi")))).alias("r"))
-    by_doc = moved.groupBy("doc_id").agg(F.collect_set("r").alias("found"))
-    digests = texts.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_digests(limit), f"doc_id long, spans {RUN}, n_removed long, kept_sha256 string")
-    digests = written(digests, "repeat-digests")
-
-    out = salted_join(thin, copies.where("copies > 1"), ["sha"], "doc_id").join(digests, "doc_id", "left")
-    # of equal texts each is repeated in whole; the first one may stay
-    whole = F.col("copies").isNotNull()
-    if keep == "first":
-        whole = whole & ~F.col("doc_id").eqNullSafe(F.col("first"))
-    none = F.array().cast(RUN)
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    slices = sliced(docs, F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.lit(False), "repeat-slices", slice_bytes)
+    total = slices.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, texts in _slices_of(batch):
+                for row in slice_questions(number, texts, _numbers(ids), gram, limit, shards):
+                    yield _batch([row])
+
+    def status(level: int):
+        def run(key, table):
+            table = table.sort_by("slice")
+            return _rows(shard_status(key[0].as_py(), level, table.column("slice").to_pylist(), table.column("blob").to_pylist(), group_covers))
+
+        return run
+
+    def go_on(level: int, blocks: int):
+        def run(left, right):
+            found = right.to_pylist()
+            return _rows(r for number, ids, texts in _slices_of(left) for r in next_level(number, texts, _numbers(ids), found, level, gram, limit, shards, blocks))
+
+        return run
+
+    def sort_block(level: int):
+        def run(key, table):
+            return _rows(block_results(level, list(zip(table.column("slice").to_pylist(), table.column("blob").to_pylist(), strict=True))))
+
+        return run
+
+    def answer(level: int):
+        def run(key, left, right):
+            return _rows(shard_answers(key[0].as_py(), level, left.to_pylist(), right.to_pylist()))
+
+        return run
+
+    def finish(left, right):
+        found = right.to_pylist()
+        return pa.concat_tables([_removed(ids, texts, found, limit, keep) for _, ids, texts in _slices_of(left)] or [_removed([], [], [], limit, keep)])
+
+    rows = written(slices.mapInArrow(first, ROW), "repeat-0")
+    made, said = [rows], []
+    for level in range(len(WIDTHS)):
+        own = rows.where(F.col("level") == level)
+        asked = own.where(F.col("kind") == QUESTION)
+        statuses = written(asked.groupBy("shard").applyInArrow(status(level), ROW), f"repeat-status-{level}")
+        said.append(own.where(F.col("kind") == ENTRIES).unionByName(statuses))
+        made.append(statuses)
+        sends, cuts = statuses.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not sends and not cuts:
+            break
+        rows = written(slices.groupBy("slice").cogroup(said[-1].groupBy("slice")).applyInArrow(go_on(level, max(1, -(-sends // block_covers))), ROW), f"repeat-{level + 1}")
+        made.append(rows)
+        results = written(rows.where(F.col("kind") == TEXTS).groupBy("shard").applyInArrow(sort_block(level), ROW), f"repeat-results-{level}")
+        answers = written(asked.groupBy("shard").cogroup(results.groupBy("shard")).applyInArrow(answer(level), ROW), f"repeat-answers-{level}")
+        discard(results)
+        said.append(answers)
+        made.append(answers)
+        if not cuts:
+            break
+    every = said[0]
+    for more in said[1:]:
+        every = every.unionByName(more)
+    out = written(slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(finish, OUT), "repeat-out")
+    discard(slices, *made)
+    return out
 
 
 def without_passages(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the spans of ``repeats`` cut out of the text; a character that a span's edge splits is dropped whole."""
+    """docs with the spans of ``repeats`` cut out of the text; all columns stay.
+
+    A character that a span's edge splits is dropped whole. Spans belong to
+    rows by id (null or not) and whole text, so rows that repeat an id with
+    other texts lose their own passages; of rows equal in both, each is cut
+    like the one that loses least.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             out = []
-            for t, found in zip(batch.column(at), batch.column("_spans"), strict=True):
+            for t, found in zip(batch.column(at), batch.column("_repeat_spans"), strict=True):
                 if not found.as_py():
                     out.append(t.as_py())
                     continue
                 raw = t.as_py().encode("utf-8")
                 ends = [0, *(x for s in found.as_py() for x in (s["lo"], s["hi"])), len(raw)]
                 out.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).decode("utf-8", "ignore"))
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.string())).select([n for n in batch.schema.names if n != "_spans"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.string())).select([n for n in batch.schema.names if n != "_repeat_spans"])
 
-    spans = repeats.where("n_spans > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    joined = docs.join(spans, docs[id_col] == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(cut, docs.schema)
+    spans = repeats.where("n_bytes > 0").groupBy(F.col("doc_id").alias("_repeat_id"), F.col("text_sha256").alias("_repeat_text")).agg(F.min_by("spans", "n_removed").alias("_repeat_spans"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_repeat_id")) & (F.sha2(docs[text_col].cast("binary"), 256) == F.col("_repeat_text"))
+    return docs.join(spans.where(F.size("_repeat_spans") > 0), same, "left").drop("_repeat_id", "_repeat_text").mapInArrow(cut, docs.schema)

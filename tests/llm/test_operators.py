@@ -87,29 +87,68 @@ def test_components_over_blocks(spark):
         assert {r.node: r.component for r in C.components(edges, block_edges=block).collect()} == want
 
 
-def brute_repeats(texts, limit):
-    seen = {}
-    for t in texts.values():
-        for k in range(len(t) - limit + 1):
-            seen[t[k : k + limit]] = seen.get(t[k : k + limit], 0) + 1
-    out = {}
-    for i, t in texts.items():
+@pytest.fixture(scope="module")
+def passages(spark):
+    """Repeated ids with other texts, null ids, copies, overlapping and self-repeating passages, a passage in many texts, long texts."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    texts = [(1, a + " x"), (1, "y " + words(rng, 90)), (None, "z " + a), (None, words(rng, 20)), (2, b + b), (3, "ab" * 900), (4, "ba" * 600), (5, a[:450] + b[50:600] + c), (6, c), (7, c), (7, c), (8, None), (9, ""), (10, words(rng, 4000) + c + words(rng, 3000)), (11, "q" * 400), (12, "q" * 399), (13, "é" * 300 + a)]
+    texts += [(100 + k, words(rng, rng.randrange(3, 30)) + " " + b[: 420 + 7 * (k % 9)] + " " + words(rng, 5)) for k in range(40)]
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in texts], "doc_id long, text string, spans string, n_bytes string")
+
+
+def brute_first(texts, limit):
+    """Runs that stay with keep='first': each string's earliest place, by id (null last) and row."""
+    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is None, texts[k][0] or 0, k))
+    seen, out = set(), [None] * len(texts)
+    for k in order:
+        t = texts[k][1]
         gone = [False] * len(t)
-        for k in range(len(t) - limit + 1):
-            if seen[t[k : k + limit]] > 1:
-                gone[k : k + limit] = [True] * limit
-        out[i] = (sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
+        for j in range(len(t) - limit + 1):
+            if t[j : j + limit] in seen:
+                gone[j : j + limit] = [True] * limit
+            seen.add(t[j : j + limit])
+        out[k] = gone
     return out
 
 
-@pytest.mark.parametrize("covers", [1, 1024])
-def test_repeats(docs, empty, covers):
-    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-    want = brute_repeats(texts, 400)
-    got = S.repeated_passages(docs, group_covers=covers).collect()
-    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
-    if covers > 1:
-        assert S.repeated_passages(empty).count() == 0
+def digest_rows(texts, gone):
+    rows = []
+    for (i, t), g in zip(texts, gone, strict=True):
+        spans = sum(x and (k == 0 or not g[k - 1]) for k, x in enumerate(g))
+        rows.append((str(i), len(t), sum(g), spans, hashlib.sha256(bytes(x for x, y in zip(t, g, strict=True) if not y)).hexdigest()))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize(("covers", "slice_bytes", "shard_bytes", "blocks"), [(1024, 8 << 20, 64 << 20, 2048), (1, 5_000, 9_000, 3), (6, 20_000, 30_000, 8)])
+def test_repeats(docs, passages, empty, covers, slice_bytes, shard_bytes, blocks):
+    for table in (docs, passages):
+        texts = [(r.doc_id, (r.text or "").encode()) for r in table.collect()]
+        seen = {}
+        for _, t in texts:
+            for k in range(len(t) - 399):
+                seen[t[k : k + 400]] = seen.get(t[k : k + 400], 0) + 1
+        gone = []
+        for _, t in texts:
+            g = [False] * len(t)
+            for k in range(len(t) - 399):
+                if seen[t[k : k + 400]] > 1:
+                    g[k : k + 400] = [True] * 400
+            gone.append(g)
+        options = {"group_covers": covers, "slice_bytes": slice_bytes, "shard_bytes": shard_bytes, "block_covers": blocks}
+        got = S.repeated_passages(table, **options).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == digest_rows(texts, gone)
+        if covers < 1024:
+            first = S.repeated_passages(table.coalesce(1), keep="first", **options).collect()
+            assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in first) == digest_rows(texts, brute_first(texts, 400))
+    assert S.repeated_passages(empty).count() == 0
+
+
+def test_without_passages(spark):
+    text = "start " + "é" * 250 + " end"
+    table = spark.createDataFrame([(1, text, 5), (1, "other", 8), (2, "é" * 250, 6), (3, None, 7), (None, "é" * 250, 9)], "doc_id long, text string, _id long")
+    got = {r._id: r for r in S.without_passages(table, S.repeated_passages(table)).collect()}
+    assert {k: (r.doc_id, r.text) for k, r in got.items()} == {5: (1, "start  end"), 8: (1, "other"), 6: (2, ""), 7: (3, None), 9: (None, "")}
 
 
 def test_longest_previous_factor():
