@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from functools import reduce
 
@@ -63,8 +64,10 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._memlake_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for pause in (0.2, 0):  # the first turn lets go of Python's handles, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def ascii_lower(text: Column) -> Column:
