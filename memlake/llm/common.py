@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Number of parts over which the rows of one join key are spread.

@@ -12,6 +12,7 @@ entry a slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bytes of text from which on a slice is closed; a longer text is a slice of its own or the last of one.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SLICE = "slice long, ids array<long>, flags array<boolean>, sizes array<long>, texts binary"
 QUESTION = "kind int, shard int, slice long, keys binary, counts binary"
 ANSWER = "slice long, kind int, shard int, answer binary"
 
 
+def release() -> None:
+    """Gives a worker's free memory back; workers stay for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
@@ -73,6 +82,7 @@ def sliced(docs: DataFrame, doc_id: Column, text: Column, flag: Column, name: st
                     number, size, ids, flags, texts = number + 1, 0, [], [], []
         if ids:
             yield row()
+        release()
 
     rows = docs.select(doc_id.cast("long").alias("i"), text.cast("binary").alias("t"), flag.alias("f"))
     return written(rows.mapInArrow(run, SLICE), name)

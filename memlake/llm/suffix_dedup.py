@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .slices import SLICE_BYTES, sliced, squeeze, squeeze_sorted, texts_of, unsqueeze, unsqueeze_sorted
+from .slices import SLICE_BYTES, release, sliced, squeeze, squeeze_sorted, texts_of, unsqueeze, unsqueeze_sorted
 
 LIMIT = 400
 GRAM = 200
@@ -48,7 +48,7 @@ BLOCK_COVERS = 2048
 #: Windows in a cell, by level; 0: all windows of the anchor.
 WIDTHS = (0, 26, 5, 1)
 #: Bytes of text for which a shard of the anchors is meant.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 24 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -541,6 +541,7 @@ def _slices_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, list, li
 
 def _rows(parts: Iterator[tuple]) -> pa.Table:
     batches = [_batch([row]) for row in parts]
+    release()
     return pa.Table.from_batches(batches, schema=_ROW)
 
 
@@ -581,6 +582,7 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
             for number, ids, texts in _slices_of(batch):
                 for row in slice_questions(number, texts, _numbers(ids), gram, limit, shards):
                     yield _batch([row])
+        release()
 
     def status(level: int):
         def run(key, table):
