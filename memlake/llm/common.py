@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Number of parts over which the rows of one join key are spread.
-SALTS = 32
 #: Most 8-byte ids that are broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
 
@@ -79,17 +77,29 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """big joined with small, which has one row a key, over keys and a salt.
+def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", name: str = "side") -> DataFrame:
+    """big joined with small, which has one row a key.
 
-    The rows of one key of ``big`` are dealt to ``salts`` tasks by the hash of
-    column ``spread``; each row of ``small`` goes to all of them. So a key
-    with a third of all rows doesn't land in one task. Keys compare null-safe
+    small is written first, and big should be a table: then both sides of the
+    join are plain shuffles, and Spark's skew join deals the rows of a hot key
+    to several tasks. What stands above mustn't need the rows of a key
+    together; write the result before it is grouped. Keys compare null-safe
     only if the caller has replaced nulls.
     """
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(small, [*keys, "_salt"], how).drop("_salt")
+    return big.join(written(small, name), keys, how)
+
+
+ROW = "_memlake_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written, with a number for each row in column ROW: rows that repeat an id, or have none, can be told apart."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows of ``numbered`` whose number isn't among ``gone`` (column ROW), without the numbers."""
+    return by_ids(rows, gone, ROW, "left_anti").drop(ROW)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:

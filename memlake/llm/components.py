@@ -1,11 +1,12 @@
 """Connected components by alternating large-star and small-star steps.
 
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
-A block of at most BLOCK_EDGES edges is contracted first by union-find within
-one task, to a star for each component of the block; if all edges are one
-block, that is the result. Each star step is a grouped minimum and a salted join back, so a node with very
-many edges is never gathered in one task; each round is written to the shared
-folder, so no lineage grows.
+The edges of a task are contracted first by union-find, to a star for each
+component of theirs; a task has at most about BLOCK_EDGES edges. Then large
+and small stars alternate until a round changes nothing. Each step is a
+grouped minimum, added up before the shuffle, and a join of two plain tables,
+so a node with very many edges is never gathered in one task; each round is
+written to the shared folder, so no lineage grows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
-
+from .common import discard, keyed_join, written
 
+#: Edges that one task contracts.
 BLOCK_EDGES = 1 << 19
 
 
@@ -58,7 +59,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = salted_join(around, least, ["u"], "v", "inner")
+    joined = keyed_join(around, least, ["u"], "inner", "star-least")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -74,18 +75,19 @@ def components(edges: DataFrame, name: str = "components", block_edges: int = BL
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
     pairs = written(pairs, f"{name}-edges")
-    blocks = -(-pairs.count() // block_edges)
-    parts = pairs.coalesce(1) if blocks <= 1 else pairs.distinct().repartition(blocks)
-    current = written(parts.mapInArrow(_contract, "u long, v long"), f"{name}-0")
-    if blocks > 1:
-        state, turn = _digest(current), 0
-        while state[0]:
-            turn += 1
-            current = written(_star(written(_star(current, True), f"{name}-large"), False), f"{name}-{turn}")
-            now = _digest(current)
-            if now == state:
-                break
-            state = now
+    blocks = max(1, -(-pairs.count() // block_edges))
+    current = written(pairs.repartition(blocks).mapInArrow(_contract, "u long, v long"), f"{name}-0")
+    state, turn = _digest(current), 0
+    while state[0]:
+        turn += 1
+        large = written(_star(current, True), f"{name}-large")
+        after = written(_star(large, False), f"{name}-{turn}")
+        now = _digest(after)
+        discard(large, current)
+        current = after
+        if now == state:
+            break
+        state = now
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import keyed_join, written
 from .components import components
 
 COSINE = 0.93
 #: Rows of the sample on which codebooks are fitted, at most twice as many.
 FIT_ROWS = 20_000
-#: Entries a list is meant to have; the number of lists follows the number of vectors up to MAX_LISTS.
+#: Entries a list is meant to have; the number of lists follows the number of vectors, with LIST_SAMPLE rows of the sample for each.
 LIST_ROWS = 4096
-MAX_LISTS = 256
+LIST_SAMPLE = 4
 SUBSPACES = 16
 CODES = 64
 #: Entries and queries of a block.
@@ -64,8 +64,6 @@ class Codebook:
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES):
         self.width = sample.shape[1]
         self.coarse = kmeans(sample, lists)
-        gaps = np.linalg.norm(self.coarse[:, None] - self.coarse[None], axis=2)
-        self.gaps = np.where(gaps > 0, gaps, np.inf)
         self.parts = [p for p in np.array_split(np.arange(self.width), min(subspaces, self.width)) if len(p)]
         residual = sample - self.coarse[self.nearest(sample)[0]]
         self.fine = [kmeans(residual[:, p], min(codes, max(1, len(sample)))) for p in self.parts]
@@ -103,7 +101,10 @@ class Codebook:
         d = self.distances(x)
         near = d.argmin(1)
         own = d[np.arange(len(x)), near]
-        plane = (d**2 - (own**2)[:, None]) / (2 * self.gaps[near])
+        lists, at = np.unique(near, return_inverse=True)
+        gaps = self.distances(self.coarse[lists])
+        gaps[np.arange(len(lists)), lists] = np.inf
+        plane = (d**2 - (own**2)[:, None]) / (2 * np.where(gaps > 0, gaps, np.inf)[at])
         plane[np.arange(len(x)), near] = 0
         open_ = (radius >= 0) & (d - radius <= bound + SLACK) & (plane <= bound + SLACK)
         return [np.flatnonzero(row) for row in open_]
@@ -183,7 +184,7 @@ def embedding_near_duplicates(
         links, forest = links.unionByName(c), forest.unionByName(f)
     named = distinct.select("h", "v", "label", "rep", "copies").join(links, "rep", "left").join(components(forest, "pq").withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("h", "v", "label", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).where("n_links > 0")
-    out = salted_join(rows, named, ["h", "v", "label"], "vec_id", "left", 8)
+    out = keyed_join(rows, named, ["h", "v", "label"], "left", "pq-named")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
@@ -194,7 +195,7 @@ def _links(own: DataFrame, width: int, n: int, cosine: float, fit_rows: int, lis
     share = min(1.0, fit_rows / n)
     taken = own.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("v").limit(2 * fit_rows).collect()
     sample = _unit(np.array([r[0] for r in taken] or [[1.0] + [0.0] * (width - 1)], dtype=np.float64))
-    lists = int(min(MAX_LISTS, max(1, n // list_rows), len(sample)))
+    lists = max(1, min(n // list_rows, len(sample) // LIST_SAMPLE))
     book = Codebook(sample, lists)
     shared = spark.sparkContext.broadcast(book)  # lists + subspaces * codes centroids
     bound = float(np.sqrt(max(0.0, 2 - 2 * cosine)))

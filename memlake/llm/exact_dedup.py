@@ -10,7 +10,7 @@ only at the rows whose group had two or more members in the step before:
 
 All group sizes come from partial aggregation before the shuffle, so a group
 with a third of all rows sends one row a task; the way back to the rows is a
-join salted by id.
+join of two plain tables, whose hot partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, by_ids, salted_join, written
+from .common import ROW, ascii_lower, keyed_join, numbered, without_rows, written
 
 PREFIX_CHARS = 64
 
@@ -48,23 +48,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         thin = written(docs.select(ident, size, prefix), "exact")
 
     by_len = thin.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    step1 = salted_join(thin, by_len, ["_len"], "doc_id", "left_semi")
+    step1 = written(keyed_join(thin, by_len, ["_len"], "left_semi", "exact-len"), "exact-step1")
     by_prefix = step1.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix")
     if fingerprint_all:
-        step2 = thin.join(by_prefix, ["_len", "_prefix"], "left_semi")
+        full = written(keyed_join(step1, by_prefix, ["_len", "_prefix"], "left_semi", "exact-prefix"), "exact-step2")
     else:
-        ids = thin.join(by_prefix, ["_len", "_prefix"], "left_semi").select("doc_id").distinct()
-        step2 = docs.select(ident, size, prefix, norm.alias("_text")).join(ids, "doc_id", "left_semi").select("doc_id", "_len", "_prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
-        step2 = written(step2, "exact-full")
-    groups = step2.groupBy("_len", "_prefix", "_sha").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    groups = written(groups, "exact-groups")
+        ids = written(keyed_join(step1, by_prefix, ["_len", "_prefix"], "left_semi", "exact-prefix").select(F.col("doc_id").alias("_id")).distinct(), "exact-ids")
+        texts = docs.select(ident, size, prefix, norm.alias("_text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        full = written(texts.select("doc_id", "_len", "_prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")), "exact-step2")
+    groups = full.groupBy("_len", "_prefix", "_sha").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     if fingerprint_all:
-        rows = salted_join(thin, groups, ["_len", "_prefix", "_sha"], "doc_id")
+        rows = keyed_join(thin, groups, ["_len", "_prefix", "_sha"], "left", "exact-groups")
     else:
-        full = step2.select("doc_id", "_len", "_prefix", "_sha").distinct()
-        rows = thin.join(full.withColumnRenamed("doc_id", "_id"), (thin.doc_id.eqNullSafe(F.col("_id"))) & (thin["_len"] == full["_len"]) & (thin["_prefix"] == full["_prefix"]), "left")
-        rows = rows.select("doc_id", thin["_len"], thin["_prefix"], "_sha")
-        rows = salted_join(rows, groups, ["_len", "_prefix", "_sha"], "doc_id")
+        # rows that repeat an id with the same length and prefix are told apart by their whole text only
+        known = full.groupBy("doc_id", "_len", "_prefix").agg(F.collect_set("_sha").alias("_shas"), F.count("*").alias("_rows"))
+        alike = written(known.where(F.size("_shas") > 1).select("doc_id", "_len", "_prefix"), "exact-alike")
+        same = [thin["doc_id"].eqNullSafe(F.col("_id")), thin["_len"] == F.col("_l"), thin["_prefix"] == F.col("_p")]
+
+        def renamed(table: DataFrame, *more: str) -> DataFrame:
+            return table.select(F.col("doc_id").alias("_id"), F.col("_len").alias("_l"), F.col("_prefix").alias("_p"), *more)
+
+        plain = thin.join(renamed(alike), same, "left_anti")
+        one = written(renamed(known.where(F.size("_shas") == 1).withColumn("_sha", F.element_at("_shas", 1)), "_sha"), "exact-known")
+        rows = plain.join(one, same, "left").select("doc_id", "_len", "_prefix", "_sha")
+        rows = rows.unionByName(full.join(renamed(alike), [full["doc_id"].eqNullSafe(F.col("_id")), full["_len"] == F.col("_l"), full["_prefix"] == F.col("_p")], "left_semi"))
+        rows = keyed_join(written(rows, "exact-rows"), groups, ["_len", "_prefix", "_sha"], "left", "exact-groups")
     keep = F.coalesce("_keep", "doc_id")
     return rows.select(
         "doc_id",
@@ -76,6 +84,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col, fingerprint_all=True).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return by_ids(docs, gone, id_col, "left_anti")
+    """docs with one row of each group of equal texts, the one with the largest id; all columns stay.
+
+    Null and empty texts are equal. Of rows equal in id (or without one) and
+    text one stays. An empty table stays empty.
+    """
+    rows = numbered(docs, "exact-docs")
+    thin = rows.select(F.struct(F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("id"), F.col(text_col).alias("text"))
+    gone = exact_dedup(thin, "id", "text", fingerprint_all=True).where(~F.col("kept")).select(F.col("doc_id.row").alias(ROW))
+    return without_rows(rows, gone)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed_join, written
 
 LANGUAGES = ("en", "fr", "de", "es")
 #: Buckets of the hashed byte trigrams.
@@ -166,10 +166,9 @@ def identify(
     says = counts_by("declared")
     likes = says.select("declared", F.array(*[(F.get("_c", F.lit(k)) + F.lit(ADD)) / F.lit(of_all[k] + ADD) for k in width]).alias("_declared_like"))
 
-    # joins of rows with sums that have one row a key; a hot host's or suffix's partition is split when it is read
-    out = rows.join(hosts, ["suffix", "host"], "left")
-    out = out.join(suffixes.select("suffix", "_suffix_prior"), ["suffix"], "left")
-    out = out.join(likes, ["declared"], "left")
+    out = keyed_join(rows, hosts, ["suffix", "host"], "left", "language-hosts")
+    out = keyed_join(out, suffixes.select("suffix", "_suffix_prior"), ["suffix"], "left", "language-suffixes")
+    out = keyed_join(out, likes, ["declared"], "left", "language-declared")
     even = F.array(*[F.lit(1.0) for _ in width])
     prior = F.when(F.col("host") != "", F.col("_host_prior")).otherwise(F.col("_suffix_prior"))
     prior = F.coalesce(prior, F.col("_suffix_prior"), everywhere)

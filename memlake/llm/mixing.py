@@ -58,6 +58,7 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row of docs: ``doc_id, domain, lang, source, n_tokens, leaf_budget, copies``.
 
@@ -71,7 +72,8 @@ def mix(
 
     Null domain, language or source is the leaf ``(none)``; a null or empty
     text has no tokens and is taken with the epoch (prefix) it lies in. An
-    empty table gives no rows; extra columns of docs are not looked at.
+    empty table gives no rows; extra columns of docs are not looked at, but
+    for those ``carried`` into the result.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
@@ -81,6 +83,7 @@ def mix(
         F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
         key.alias("_key"),
+        *carried,
     ).withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * hash_buckets / 65536).cast("int"))
     rows = written(rows, "mix-rows")
     leaf = ["domain", "lang", "source"]
@@ -122,6 +125,6 @@ def mix(
     plain = joined.where(~inside).withColumn("_more", whole.cast("long"))
     order = Window.partitionBy(*leaf, "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = joined.where(inside).withColumn("_more", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("_due")).cast("long"))
-    columns = ["doc_id", *leaf, "n_tokens", "leaf_budget", "_epochs", "_more"]
+    columns = ["doc_id", *leaf, "n_tokens", "leaf_budget", "_epochs", "_more", *carried]
     out = plain.select(*columns).unionByName(cut.select(*columns))
-    return out.select("doc_id", *leaf, "n_tokens", "leaf_budget", (F.col("_epochs") + F.col("_more")).cast("long").alias("copies"))
+    return out.select("doc_id", *leaf, "n_tokens", "leaf_budget", (F.col("_epochs") + F.col("_more")).cast("long").alias("copies"), *carried)

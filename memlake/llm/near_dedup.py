@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, salted_join, written
+from .common import ROW, by_ids, keyed_join, numbered, without_rows, written
 from .components import components
 
 SHINGLE = 5
@@ -138,7 +138,7 @@ def _sketch(bands: int, rows: int, size: int):
                     keys.append(band_keys(sig, bands, rows))
                     sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "fp", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "n_shingles", "fp", "keys", "sig"])
 
     return run
 
@@ -148,32 +148,11 @@ def _shingles(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["rid", "shingles"])
 
     return run
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id those whose key has several, with the key's first row; holds one row back."""
-    names = ["key", "doc_id", "n", "p_id", "p_n"]
-    held = None  # (key, id, n, whether it begins its key, the key's first id and n)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, doc, n = (batch.column(i).to_numpy() for i in range(3))
-        if held is not None:
-            key, doc, n = (np.concatenate(([h], x)) for h, x in zip(held[:3], (key, doc, n), strict=True))
-        new = np.concatenate(([held is None or held[3]], key[1:] != key[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        before = held[4:] if held else (0, 0)
-        p_id, p_n = np.where(start >= 0, doc[start], before[0]), np.where(start >= 0, n[start], before[1])
-        wanted = ~new[:-1] | (key[1:] == key[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][wanted], pa.int64()) for x in (key, doc, n, p_id, p_n)], names=names)
-        held = (key[-1], doc[-1], n[-1], bool(new[-1]), p_id[-1], p_n[-1])
-    if held is not None and not held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (*held[:3], *held[4:])], names=names)
-
-
 def _close(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,40 +198,58 @@ def near_duplicates(
     whole sequence). ``component_id`` is the least id reachable over links.
 
     A null or empty text has no shingles, is linked with nothing and kept.
-    Rows that repeat an id are one node and share its component. Rows with a
-    null id are linked with nothing; their component_id is null and they are
-    kept. An empty table gives no rows; other columns are not looked at.
+    Rows that repeat an id are one node with the links of all of them, and
+    share its component. Rows with a null id are linked with nothing; their
+    component_id is null and they are kept. An empty table gives no rows;
+    other columns are not looked at.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_shingles long, fp binary, keys array<long>, sig binary"
-    sketches = written(plain.mapInArrow(_sketch(bands, rows, shingle), schema), "near-sketch")
-    able = sketches.where("doc_id is not null and n_shingles > 0")
-    first = written(able.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "near-first")
-    copies = able.select("doc_id", "fp").join(first.where("copies > 1").withColumnRenamed("doc_id", "first"), "fp").where("doc_id <> first").select("doc_id")
-    reps = by_ids(able.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sig"), copies, "doc_id", "left_anti")
+    plain = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "near-docs")
+    out = _components_of(plain, shingle, percent, bands, rows, signature_share, True)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components_of(plain: DataFrame, shingle: int, percent: int, bands: int, rows: int, signature_share: float, by_id: bool) -> DataFrame:
+    """``ROW, doc_id, n_shingles, component, component_id`` of numbered rows (ROW, doc_id, text).
+
+    ``component`` is the least row number reachable, ``component_id`` the least
+    id. With ``by_id`` rows of one id are linked, and rows without an id with
+    nothing.
+    """
+    schema = "rid long, n_shingles long, fp binary, keys array<long>, sig binary"
+    sketches = written(plain.select(ROW, "text").mapInArrow(_sketch(bands, rows, shingle), schema), "near-sketch")
+    ids = plain.select(F.col(ROW).alias("rid"), "doc_id")
+    able = sketches.where("n_shingles > 0")
+    if by_id:
+        able = able.join(by_ids(ids, ids.where("doc_id is null").select("rid"), "rid", "left_semi"), "rid", "left_anti")
+    first = written(able.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("copies")), "near-first")
+    copies = able.select("rid", "fp").join(first.where("copies > 1"), "fp").where("rid <> first").select("rid")
+    reps = by_ids(able.select("rid", F.col("n_shingles").alias("n"), "keys", "sig"), copies, "rid", "left_anti").withColumnRenamed("rid", "doc_id")
 
     placed = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
-    # one shuffle: a key's rows pass through a task as a sorted stream
-    members = written(placed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared_keys, "key long, doc_id long, n long, p_id long, p_n long"), "near-members")
+    # keys with several members, added up before the shuffle, and then their members by a join whose hot partitions are split
+    shared = placed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("p")).where("m > 1")
+    members = keyed_join(placed, shared.select("key", F.col("p.doc_id").alias("p_id"), F.col("p.n").alias("p_n")), ["key"], "inner", "near-keys")
+    members = written(members, "near-members")
     kept_sets: list[DataFrame] = []
 
     def all_sets() -> DataFrame:
         """Full shingle sets of the documents that share a key."""
         if not kept_sets:
-            texts = by_ids(plain.where("doc_id is not null"), members.select("doc_id"), "doc_id", "left_semi")
-            kept_sets.append(written(texts.mapInArrow(_shingles(shingle), "doc_id long, shingles binary"), "near-sets").dropDuplicates(["doc_id"]))
+            texts = by_ids(plain.select(F.col(ROW).alias("doc_id"), "text"), members.select("doc_id"), "doc_id", "left_semi")
+            kept_sets.append(written(texts.mapInArrow(_shingles(shingle), "rid long, shingles binary").withColumnRenamed("rid", "doc_id"), "near-sets"))
         return kept_sets[0]
 
+    signatures = written(by_ids(reps.select("doc_id", "sig"), members.select("doc_id"), "doc_id", "left_semi"), "near-signatures")
+
     def verified(pairs: DataFrame, turn: str) -> DataFrame:
         pairs = written(pairs, f"near-pairs-{turn}")
-        sig = reps.select("doc_id", "sig")
-        near = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        near = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(signatures.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         near = written(near.mapInArrow(_close(signature_share), "a long, b long"), f"near-close-{turn}")
         sets = all_sets()
         full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         return written(full.mapInArrow(_linked(percent), "a long, b long"), f"near-links-{turn}")
 
-    pairs = _sized(members.select(F.col("p_id").alias("a"), F.col("p_n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
+    pairs = _sized(members.where("doc_id <> p_id").select(F.col("p_id").alias("a"), F.col("p_n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
     links, tested, labels, rest = None, None, None, None
     for turn in range(PIVOT_TURNS + 1):
         if tested is not None:
@@ -263,7 +260,7 @@ def near_duplicates(
             tested = pairs if tested is None else tested.unionByName(pairs)
             found.append(verified(pairs, str(turn)))
         if turn == PIVOT_TURNS and rest.where(F.col("m") > SMALL_KEY).limit(1).count():
-            found.append(written(_blocks(rest, all_sets(), reps.select("doc_id", "sig"), percent, signature_share), "near-blocks"))
+            found.append(written(_blocks(rest, all_sets(), signatures, percent, signature_share), "near-blocks"))
         for more in found:
             links = more if links is None else links.unionByName(more)
         if found:
@@ -275,26 +272,39 @@ def near_duplicates(
             current = current.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
         else:
             current = current.withColumn("label", F.col("doc_id"))
-        current = current.select("key", "doc_id", "n", "label")
+        current = written(current.select("key", "doc_id", "n", "label"), f"near-current-{turn}")
         by_label = current.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(turn), "doc_id")).alias("p"), F.min(F.xxhash64(F.lit(turn), "doc_id")).alias("h"))
         open_keys = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("most"), F.min_by("p", "h").alias("p"), F.min_by("label", "h").alias("p_label")).where("labels > 1")
         open_keys = written(open_keys.select("key", "m", "p", "p_label", F.col("most.label").alias("main"), (F.col("m") - F.col("most.c")).alias("outside")), f"near-open-{turn}")
         if open_keys.isEmpty():
             break
-        rest = written(salted_join(current, open_keys, ["key"], "doc_id", "inner", 8), f"near-rest-{turn}")
+        rest = written(current.join(open_keys, "key"), f"near-rest-{turn}")
         if turn < PIVOT_TURNS - 1:
             pairs = _sized(rest.where("label <> p_label").select(F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
         else:
             pairs = _sized(_meetings(rest), percent)
 
-    if labels is None:
-        named = first.where("copies > 1").select("fp", F.col("doc_id").alias("component"))
+    # back to rows: copies share their representative's component, and rows of one id each other's
+    found = first.select("fp", F.col("first").alias("node"), "copies")
+    if labels is not None:
+        found = found.join(labels, "node", "left")
+        found = found.select("fp", F.coalesce("component", "node").alias("component"), "copies", F.coalesce(F.col("component") != F.col("node"), F.lit(False)).alias("moved"))
     else:
-        named = first.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = named.select("fp", F.coalesce("component", "doc_id").alias("component"), F.coalesce(F.col("component") != F.col("doc_id"), F.lit(False)).alias("moved"), "copies").where("copies > 1 or moved").select("fp", "component")
-    out = salted_join(sketches.select("doc_id", "n_shingles", "fp"), written(named, "near-named"), ["fp"], "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        found = found.select("fp", F.col("node").alias("component"), "copies", F.lit(False).alias("moved"))
+    found = found.where("copies > 1 or moved").select("fp", "component")
+    joined = keyed_join(able.select("rid", "fp"), found, ["fp"], "inner", "near-found").select("rid", "component")
+    joined = written(joined, "near-joined")
+    if by_id:
+        twice = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("component"), F.count("*").alias("c")).where("c > 1").select("doc_id", "component")
+        twice = written(keyed_join(ids.where("doc_id is not null"), twice, ["doc_id"], "inner", "near-twice").select("rid", "component"), "near-same-id")
+        if not twice.isEmpty():
+            edges = joined.unionByName(twice).select(F.col("rid").alias("a"), F.col("component").alias("b"))
+            joined = written(components(edges, "near-cc-id").select(F.col("node").alias("rid"), "component"), "near-joined-id")
+    rows_ = sketches.select("rid", "n_shingles").join(ids, "rid").join(joined, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    rows_ = written(rows_, "near-rows")
+    least = rows_.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("component", "least")
+    rows_ = keyed_join(rows_, least, ["component"], "left", "near-least")
+    return rows_.select(F.col("rid").alias(ROW), "doc_id", "n_shingles", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def _meetings(rest: DataFrame) -> DataFrame:
@@ -365,7 +375,16 @@ def _keyed(f):
     return run
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the least id; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return by_ids(docs, gone, id_col, "left_anti")
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, the one with the least id; all columns stay.
+
+    Rows count as documents of their own, also those that repeat an id or have
+    none (which come after all ids); of the same id the first row stays. A
+    null or empty text is linked with nothing and stays.
+    """
+    rows = numbered(docs, "near-stage")
+    plain = rows.select(ROW, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(_components_of(plain, shingle, percent, BANDS, ROWS, SIGNATURE_SHARE, False), "near-named")
+    several = found.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("stays")).where("c > 1")
+    gone = keyed_join(found.select(ROW, "component"), several.select("component", F.col(f"stays.{ROW}").alias("stays")), ["component"], "inner", "near-stays")
+    return without_rows(rows, gone.where(F.col(ROW) != F.col("stays")).select(ROW))

@@ -28,11 +28,14 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces in a group that one task packs.
 GROUP_ROWS = 50_000
+#: Bits of a bin's number within its group; a group may grow to 2**BIN_BITS pieces.
+BIN_BITS = 24
+#: Rounds that a sequence's number has room for; each has a quarter of the groups at most, so the last group comes long before.
+TURNS = 127
 #: Distinct chunks of text whose ids a worker remembers at once.
 CACHE_CHUNKS = 600_000
 #: Longest chunk that is remembered, in characters.
 CACHE_CHARS = 64
-MAX_ROUNDS = 6
 
 #: The public splitting rule of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -219,18 +222,18 @@ def _pack_group(capacity: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces with ``sequence_id`` and ``offset``: bins of at most capacity tokens, filled without gaps from 0.
 
     Pieces as long as the capacity are bins of their own. The others go
     through rounds of grouped best-fit decreasing; see the module's text.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") == capacity).select(*columns, F.concat_ws("-", F.lit("f"), F.monotonically_increasing_id()).alias("_bin"), F.lit(0).cast("long").alias("offset"))
+    # numbers of bins: those of full pieces below 2**56, then round, group and bin
+    full = pieces.where(F.col("length") == capacity).select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done = [full]
-    pool, rows = pieces.where(F.col("length") < capacity), None
-    last_groups = None
-    for turn in range(max_rounds):
+    pool, last_groups, turn, before = pieces.where(F.col("length") < capacity), None, 0, None
+    while True:
         rows = pool.count()
         if rows == 0:
             break
@@ -239,18 +242,22 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
             groups = min(groups, max(1, last_groups // 4))
         dealt = pool.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(turn)), F.lit(groups)).alias("_group"))
         packed = written(dealt.groupBy("_group").applyInArrow(_with_group(_pack_group(capacity)), PACKED + ", _group long"), f"packed-{turn}")
-        # bins with room for the shortest piece could still take something: they are what gaps consist of
+        bins = packed.where("offset = 0").count()
+        # bins with room of groups above their bound could still take something: they are what gaps consist of
         open_bin = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        last = groups == 1 or turn == max_rounds - 1
+        # the pool came from ``before`` bins
+        last = groups == 1 or turn == TURNS - 1 or (before is not None and bins >= before)
         closed = packed if last else packed.where(~open_bin)
-        done.append(closed.select(*columns, F.concat_ws("-", F.lit(str(turn)), "_group", "bin").alias("_bin"), "offset"))
+        number = F.lit((turn + 1) << 56) + F.shiftleft(F.col("_group"), BIN_BITS) + F.col("bin")
+        done.append(closed.select(*columns, number.alias("sequence_id"), "offset"))
         if last:
             break
-        pool, last_groups = packed.where(open_bin), groups
+        pool, last_groups, turn = packed.where(open_bin), groups, turn + 1
+        before = pool.where("offset = 0").count()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", F.xxhash64("_bin").alias("sequence_id"), "offset")
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 def _with_group(pack):
@@ -269,6 +276,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     first piece is what remains. A null or empty text is a piece of the end
     id alone. Rows that repeat an id are packed one by one; a null id stays
     null. An empty table gives no rows; other columns are not looked at.
-    ``sequence_id`` is a 64-bit hash of the bin's name.
+    ``sequence_id`` is made of the round, the group and the bin, so no two bins share one.
     """
     return pack_pieces(written(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import keyed_join, written
 
 BITS = 4
 #: Groups of equal texts from this size on are dealt over salted parts.
@@ -92,7 +92,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     total, subs = total or 1, max(LEAST_SUBS, -(-rows // ROWS_PER_SUB))
 
     groups = thin.groupBy("_g").agg(F.min("_meta").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    placed = salted_join(thin, groups, ["_g"], "doc_id").withColumn("_meta", F.coalesce("_first", "_meta"))
+    placed = keyed_join(thin, groups, ["_g"], "left", "shard-groups").withColumn("_meta", F.coalesce("_first", "_meta"))
     hot = F.coalesce(F.col("_n") >= HOT_GROUP, F.lit(False))
     side = 1 << BITS
     placed = placed.select(
@@ -125,14 +125,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     within = Window.partitionBy("curve").orderBy("_sub", "_hot", "_part")
     offsets = sums.select(*bucket, before("_b", within).alias("_off_b"), before("_c", within).alias("_off_c"))
     offsets = offsets.join(F.broadcast(cells), "curve").select(*bucket, (F.col("_off_b") + F.col("_cell_b")).alias("_off_b"), (F.col("_off_c") + F.col("_cell_c")).alias("_off_c"))
+    # the parts of a hot group are neighbours: the group begins where the first of them does
+    offsets = offsets.withColumn("_hot_from", F.min("_off_b").over(Window.partitionBy("curve", "_sub", "_hot")))
 
     row = Window.partitionBy(*bucket).orderBy("_g", "doc_id")
     group = Window.partitionBy(*bucket, "_g")
     out = placed.withColumn("_run", before("size", row)).withColumn("_row", F.row_number().over(row) - 1)
-    out = out.withColumn("_g_from", F.min("_run").over(group)).withColumn("_g_size", F.sum("size").over(group))
+    out = out.withColumn("_g_from", F.min("_run").over(group)).withColumn("_g_size", F.col("_n") * F.col("size"))
     out = out.join(offsets, bucket)
-    whole = (F.col("_hot") == 0) & (F.col("_n") > 1) & (F.col("_g_size") <= F.lit(tolerance * total / shards))
-    middle = F.col("_off_b") * 2 + F.when(whole, F.col("_g_from") * 2 + F.col("_g_size")).otherwise(F.col("_run") * 2 + F.col("size"))
+    whole = (F.col("_n") > 1) & (F.col("_g_size") <= F.lit(tolerance * total / shards))
+    begin = F.when(F.col("_hot") == 0, F.col("_off_b") + F.col("_g_from")).otherwise(F.col("_hot_from"))
+    middle = F.when(whole, begin * 2 + F.col("_g_size")).otherwise((F.col("_off_b") + F.col("_run")) * 2 + F.col("size"))
     out = out.select(
         "doc_id",
         "size",

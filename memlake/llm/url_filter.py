@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join
+from .common import keyed_join, written
 
 FAR_DAY = "9999-12-31"
 
@@ -53,7 +53,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     null if none).
 
     Each (host, day) is judged once, however many captures it has; the verdict
-    goes back by a salted join, so a host with a third of all captures is no
+    goes back by a join of plain tables, so a host with a third of all captures is no
     single task. A null or malformed URL has host '' and matches nothing, and
     so does a null fetch day. Repeated captures each get their row; an empty
     table on either side is fine. Other columns are not looked at.
@@ -61,13 +61,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("date").alias("fetch_day"))
     pairs = rows.where("host <> '' and fetch_day is not null").select("host", "fetch_day").distinct()
     keys = pairs.select("host", "fetch_day", F.explode(parent_domains(F.col("host"))).alias("key"))
-    active = intervals(entries)
+    # two plain tables: a parent domain of very many hosts is dealt to several tasks
+    keys, active = written(keys, "url-keys"), written(intervals(entries), "url-intervals")
     hits = keys.join(active, (keys["key"] == active["key"]) & (keys["fetch_day"] >= active["active_from"]) & (keys["fetch_day"] < active["active_to"]))
     verdicts = hits.groupBy("host", "fetch_day").agg(
         F.count("*").alias("_n"),
         F.array_join(F.sort_array(F.collect_set("list")), ",").alias("_lists"),
         F.max_by(keys["key"], F.struct(F.length(keys["key"]), keys["key"])).alias("matched"),
     )
-    out = salted_join(rows, verdicts, ["host", "fetch_day"], "page_id")
+    out = keyed_join(rows, verdicts, ["host", "fetch_day"], "left", "url-verdicts")
     n = F.coalesce("_n", F.lit(0)).cast("long")
     return out.select("page_id", "host", "fetch_day", (n > 0).alias("blocked"), n.alias("n_active"), F.coalesce("_lists", F.lit("")).alias("lists"), "matched")
