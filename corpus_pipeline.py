@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import by_ids, written
+from memlake.llm.common import ROW, numbered, without_rows, written
 from memlake.llm.exact_dedup import without_copies
-from memlake.llm.language_id import identify
+from memlake.llm.language_id import fit_text_model, identify
 from memlake.llm.mixing import mix
 from memlake.llm.near_dedup import without_near_copies
 from memlake.llm.packing import pack_documents
@@ -28,29 +28,57 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found."""
-    found = identify(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang")
-    return by_ids(docs, found.where("rejected").select("doc_id"), "doc_id", "left_anti")
+    """Documents whose language is found, by their text and the languages of their source.
+
+    The column lang teaches the text model and is no evidence. Null and empty
+    texts go, and texts that a uniform model explains better than any
+    language. Each row is judged on its own, whether or not it repeats an id
+    or a text or has no id; an empty table stays empty.
+    """
+    rows = numbered(docs, "language-docs")
+    model = fit_text_model(rows, "doc_id", "text", "lang")
+    found = identify(rows, id_col=ROW, host=F.col("source"), model=model)
+    return without_rows(rows, found.where("rejected").select(F.col("doc_id").alias(ROW)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts, the one with the largest id.
+
+    Null and empty texts are equal. Of rows equal in id (or without one) and
+    text one stays; an empty table stays empty.
+    """
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies, the one with the least id.
+
+    Null and empty texts are linked with nothing and stay. Rows are documents
+    of their own, also if they repeat an id or have none; an empty table stays
+    empty.
+    """
     return without_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the target weights take."""
-    mixed = mix(docs, source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1, seed=MIX_SEED)
-    return by_ids(docs, mixed.where("copies = 0").select("doc_id"), "doc_id", "left_anti")
+    """Rows that the target weights take.
+
+    A null language, source or domain is a leaf of its own; null and empty
+    texts have no tokens and go with the part of their leaf they lie in. Rows
+    that repeat an id are taken or left one by one, those without an id stand
+    together in the seeded order; an empty table stays empty.
+    """
+    rows = numbered(docs, "mixing-docs")
+    mixed = mix(rows, source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1, seed=MIX_SEED, carried=(ROW,))
+    return without_rows(rows, mixed.where("copies = 0").select(ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left, in sequences of 1024 tokens."""
+    """Pieces of all documents left, in sequences of 1024 tokens.
+
+    A null or empty text is a piece of the end id alone. Rows that repeat an
+    id, or have none, are packed one by one; an empty table gives no pieces.
+    """
     return pack_documents(docs, tokenizer_path())
 
 
