@@ -336,7 +336,10 @@ def slice_questions(number: int, texts: list[bytes], ids: np.ndarray, gram: int,
         parts.append((h, p + at, np.full(len(p), d), lo - p, hi - p))
         at += len(raw)
     key, place, doc, lo, hi = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
-    yield from _asked(number, 0, key.astype(np.uint64), np.array(fp, np.uint64), place, doc, lo, hi, ids, shards)
+    # anchors have small hashes; keys are to be even
+    key = key.astype(np.uint64) * _BASE
+    key = (key ^ (key >> np.uint64(32))) * _BASE
+    yield from _asked(number, 0, key ^ (key >> np.uint64(29)), np.array(fp, np.uint64), place, doc, lo, hi, ids, shards)
 
 
 def shard_status(shard: int, level: int, slices: list[int], blobs: list[bytes], group_covers: int) -> Iterator[tuple]:
