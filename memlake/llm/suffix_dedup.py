@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, shuffle_parts, written
 from .slices import SLICE_BYTES, release, sliced, squeeze, squeeze_sorted, texts_of, unsqueeze, unsqueeze_sorted
 
 LIMIT = 400
@@ -45,6 +45,8 @@ GRAM = 200
 GROUP_COVERS = 1024
 #: Covers in a block of the suffix array, on average.
 BLOCK_COVERS = 2048
+#: Tasks that sort blocks, at most, where that is more than the session's shuffle partitions.
+MOST_TASKS = 20_000
 #: Windows in a cell, by level; 0: all windows of the anchor.
 WIDTHS = (0, 26, 5, 1)
 #: Bytes of text for which a shard of the anchors is meant.
@@ -59,7 +61,7 @@ HASH_BLOCK = 1 << 18
 #: Rows between the stages; ``n`` and ``m`` are numbers of entries that go on.
 ROW = "kind int, shard int, slice long, level int, n long, m long, blob binary"
 _ROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("slice", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("blob", pa.binary())])
-QUESTION, ENTRIES, STATUS, TEXTS, RESULT, ANSWER = range(6)
+QUESTION, ENTRIES, STATUS, TEXTS, RESULT, ANSWER, REST = range(7)
 #: What a shard says of a cover: nothing is repeated, all is, it is contested (this slice sends it, or another one does), it has to be cut.
 NONE, ALL, SEND, WAIT, CUT = range(5)
 #: Added in the slice that has the cover's first place.
@@ -306,24 +308,25 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _asked(number: int, level: int, key: np.ndarray, fp: np.ndarray, place: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[tuple]:
+def _asked(number: int, level: int, key: np.ndarray, fp: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[tuple]:
     """The rows of a slice's entries, and its questions: distinct (key, fp) with their numbers and first places.
 
     An entry: key, fingerprint of the cover, place of the anchor in the
-    slice's bytes, document, first and last window beside the anchor.
+    slice's bytes and in the bytes at hand, document, first and last window
+    beside the anchor.
     """
     order = np.lexsort((place, ids[doc], fp, key))
-    key, fp, place, doc, lo, hi = (x[order] for x in (key, fp, place, doc, lo, hi))
+    key, fp, place, at, doc, lo, hi = (x[order] for x in (key, fp, place, at, doc, lo, hi))
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))) if len(key) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    yield ENTRIES, 0, number, level, len(key), 0, pack(new=new, place=place, doc=doc.astype(np.int32), lo=lo.astype(np.int32), hi=hi.astype(np.int32))
+    yield ENTRIES, 0, number, level, len(key), 0, pack(new=new, place=place, at=at, doc=doc.astype(np.int32), lo=lo.astype(np.int32), hi=hi.astype(np.int32))
     copies = np.diff(np.concatenate((first, [len(key)])))
     shard = _shard_of(key[first], shards)
     edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
     for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
         if b > a:
-            at = first[a:b]
-            yield QUESTION, k, number, level, b - a, a, pack(keys=key[at], fp=fp[at], copies=copies[a:b].astype(np.int32), id=ids[doc[at]], place=place[at])
+            own = first[a:b]
+            yield QUESTION, k, number, level, b - a, a, pack(keys=key[own], fp=fp[own], copies=copies[a:b].astype(np.int32), id=ids[doc[own]], place=place[own])
 
 
 def slice_questions(number: int, texts: list[bytes], ids: np.ndarray, gram: int, limit: int, shards: int) -> Iterator[tuple]:
@@ -339,7 +342,7 @@ def slice_questions(number: int, texts: list[bytes], ids: np.ndarray, gram: int,
     # anchors have small hashes; keys are to be even
     key = key.astype(np.uint64) * _BASE
     key = (key ^ (key >> np.uint64(32))) * _BASE
-    yield from _asked(number, 0, key ^ (key >> np.uint64(29)), np.array(fp, np.uint64), place, doc, lo, hi, ids, shards)
+    yield from _asked(number, 0, key ^ (key >> np.uint64(29)), np.array(fp, np.uint64), place, place, doc, lo, hi, ids, shards)
 
 
 def shard_status(shard: int, level: int, slices: list[int], blobs: list[bytes], group_covers: int) -> Iterator[tuple]:
@@ -392,18 +395,21 @@ def _group_key(raw: bytes, place: int, first: int, last: int, level: int) -> int
     return _digest(raw[place + first : place + last] + b"%d %d" % (level, first))
 
 
-def next_level(number: int, texts: list[bytes], ids: np.ndarray, rows: list[dict], level: int, gram: int, limit: int, shards: int, blocks: int) -> Iterator[tuple]:
-    """The covers that this slice sends to the blocks, and the entries and questions of the next level for those to be cut."""
+def next_level(number: int, raw: bytes, ids: np.ndarray, rows: list[dict], level: int, gram: int, limit: int, shards: int, blocks: int) -> Iterator[tuple]:
+    """The covers that this slice sends to the blocks, and the entries and questions of the next level for those to be cut.
+
+    ``raw`` holds the bytes that the entries' ``at`` are places in: those of
+    the slice, or, from level 1 on, the covers to be cut (row REST).
+    """
     found = _level_of(rows, level)
     if found is None:
         return
     e, status, shard, sent = found
-    raw = b"".join(texts)
     question = np.cumsum(e["new"]) - 1
     kind = status[question] % FIRST
     at = np.flatnonzero(e["new"] & (kind == SEND))
     if len(at):
-        p, lo, hi = e["place"][at], e["lo"][at], e["hi"][at]
+        p, lo, hi = e["at"][at], e["lo"][at], e["hi"][at]
         first, last = _shared(lo, level, gram, limit)
         cuts = [x.tolist() for x in (p + lo, p + first, p + last, p + hi + limit)]
         rest = {"left": [raw[a:b] for a, b in zip(cuts[0], cuts[1], strict=True)], "right": [raw[a:b] for a, b in zip(cuts[2], cuts[3], strict=True)]}
@@ -414,18 +420,30 @@ def next_level(number: int, texts: list[bytes], ids: np.ndarray, rows: list[dict
             own = np.flatnonzero(block == k)
             yield TEXTS, k, number, level, len(own), 0, pack(**{c: [x[i] for i in own.tolist()] if isinstance(x, list) else x[own] for c, x in rest.items()})
     cut = np.flatnonzero(kind == CUT)
-    if len(cut):
-        width = WIDTHS[level + 1]
-        lo, hi = e["lo"][cut].astype(np.int64), e["hi"][cut].astype(np.int64)
-        n = hi // width - lo // width + 1
-        own = np.repeat(np.arange(len(cut)), n)
-        cell = lo[own] // width + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        x, y = np.maximum(lo[own], cell * width), np.minimum(hi[own], cell * width + width - 1)
-        place, doc = e["place"][cut][own], e["doc"][cut][own].astype(np.int64)
-        first, last = _shared(x, level + 1, gram, limit)
-        key = np.array([_group_key(raw, p, a, b, level + 1) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
-        fp = np.array([_digest(raw[p + a : p + b + limit] + b"%d" % a) for p, a, b in zip(place.tolist(), x.tolist(), y.tolist(), strict=True)], np.uint64)
-        yield from _asked(number, level + 1, key, fp, place, doc, x, y, ids, shards)
+    if not len(cut):
+        return
+    if level == 0:
+        # from here on only these covers are needed, each once
+        once = cut[e["new"][cut]]
+        begin, end = e["at"][once] + e["lo"][once], e["at"][once] + e["hi"][once] + limit
+        offset = np.zeros(len(status), np.int64)
+        offset[question[once]] = np.cumsum(end - begin) - (end - begin)
+        raw = b"".join(raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+        yield REST, 0, number, 0, len(once), 0, pack(raw=[raw], ids=ids)
+        moved = offset[question[cut]] - e["lo"][cut]
+    else:
+        moved = e["at"][cut]
+    width = WIDTHS[level + 1]
+    lo, hi = e["lo"][cut].astype(np.int64), e["hi"][cut].astype(np.int64)
+    n = hi // width - lo // width + 1
+    own = np.repeat(np.arange(len(cut)), n)
+    cell = lo[own] // width + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = np.maximum(lo[own], cell * width), np.minimum(hi[own], cell * width + width - 1)
+    place, doc, here = e["place"][cut][own], e["doc"][cut][own].astype(np.int64), moved[own]
+    first, last = _shared(x, level + 1, gram, limit)
+    key = np.array([_group_key(raw, p, a, b, level + 1) for p, a, b in zip(here.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
+    fp = np.array([_digest(raw[p + a : p + b + limit] + b"%d" % a) for p, a, b in zip(here.tolist(), x.tolist(), y.tolist(), strict=True)], np.uint64)
+    yield from _asked(number, level + 1, key, fp, place, here, doc, x, y, ids, shards)
 
 
 def _ragged(count: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -597,7 +615,11 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
     def go_on(level: int, blocks: int):
         def run(left, right):
             found = right.to_pylist()
-            return _rows(r for number, ids, texts in _slices_of(left) for r in next_level(number, texts, _numbers(ids), found, level, gram, limit, shards, blocks))
+            if level == 0:
+                parts = [(number, b"".join(texts), _numbers(ids)) for number, ids, texts in _slices_of(left)]
+            else:
+                parts = [(number, x["raw"][0], x["ids"]) for number, blob in zip(left.column("slice").to_pylist(), left.column("blob").to_pylist(), strict=True) for x in [unpack(blob)]]
+            return _rows(r for number, raw, ids in parts for r in next_level(number, raw, ids, found, level, gram, limit, shards, blocks))
 
         return run
 
@@ -618,7 +640,7 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
         return pa.concat_tables([_removed(ids, texts, found, limit, keep) for _, ids, texts in _slices_of(left)] or [_removed([], [], [], limit, keep)])
 
     rows = written(slices.mapInArrow(first, ROW), "repeat-0")
-    made, said = [rows], []
+    made, said, texts = [rows], [], slices
     for level in range(len(WIDTHS)):
         own = rows.where(F.col("level") == level)
         asked = own.where(F.col("kind") == QUESTION)
@@ -628,9 +650,14 @@ def repeated_passages(docs: DataFrame, keep: str = "none", id_col: str = "doc_id
         sends, cuts = statuses.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not sends and not cuts:
             break
-        rows = written(slices.groupBy("slice").cogroup(said[-1].groupBy("slice")).applyInArrow(go_on(level, max(1, -(-sends // block_covers))), ROW), f"repeat-{level + 1}")
+        blocks = max(1, -(-sends // block_covers))
+        rows = written(texts.groupBy("slice").cogroup(said[-1].groupBy("slice")).applyInArrow(go_on(level, blocks), ROW), f"repeat-{level + 1}")
         made.append(rows)
-        results = written(rows.where(F.col("kind") == TEXTS).groupBy("shard").applyInArrow(sort_block(level), ROW), f"repeat-results-{level}")
+        if level == 0:
+            texts = rows.where(F.col("kind") == REST)
+        # sorting takes long for few bytes: the number of tasks is set, so that they aren't coalesced
+        sent = rows.where(F.col("kind") == TEXTS).repartition(max(shuffle_parts(docs.sparkSession), min(blocks, MOST_TASKS)), "shard")
+        results = written(sent.groupBy("shard").applyInArrow(sort_block(level), ROW), f"repeat-results-{level}")
         answers = written(asked.groupBy("shard").cogroup(results.groupBy("shard")).applyInArrow(answer(level), ROW), f"repeat-answers-{level}")
         discard(results)
         said.append(answers)
