@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.sources.scratch import drop, shared_dir
+
 #: Bytes of a batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -18,18 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_IDS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It has to be set: a folder of one machine would lose what other executors
-    write. Tests and benches set their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read from there.
 
@@ -59,9 +49,7 @@ def discard(*tables: DataFrame) -> None:
     shuffle files of plans that are done.
     """
     spark = SparkSession.active()
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._memlake_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    drop(*tables)
     for pause in (0.2, 0):  # the first turn lets go of Python's handles, the second of what they held
         gc.collect()
         spark._jvm.System.gc()
