@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +30,39 @@ def simhash(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return summed.select("id", out.alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
+def near_pairs(prints: DataFrame, most: int = 6, spare: int = 3) -> DataFrame:
     """Pairs of different fingerprints within ``most`` bits, and members of equal ones through their least id.
 
-    With most + 1 bands, two fingerprints within the distance agree in one.
+    A fingerprint is cut into most + spare blocks. Two within the distance
+    differ in ``most`` blocks at most, so they agree in some ``spare`` of
+    them: each choice of so many blocks is a key. More blocks make keys of
+    more bits (21 by default), and so fewer pairs that only meet by chance.
     Equal fingerprints fall together first.
     """
     reps = written(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "simhash-reps")
-    bands = most + 1
-    edges = [BITS * k // bands for k in range(bands + 1)]
-    cut = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fingerprint", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    rows = reps.select("id", "fingerprint", F.explode(cut).alias("c")).select("id", "fingerprint", "c.band", "c.part")
+    n = most + spare
+    edges = [BITS * k // n for k in range(n + 1)]
+    blocks = F.array(*[F.shiftrightunsigned("fingerprint", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)])
+    chosen = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(n), spare)])
+    keys = F.transform(chosen, lambda c, i: F.xxhash64(i, F.transform(c, lambda k: F.get("blocks", k))))
+    rows = written(reps.withColumn("blocks", blocks).select("id", "fingerprint", F.explode(keys).alias("key")), "simhash-keys")
     left, right = rows, rows.withColumnsRenamed({"id": "other", "fingerprint": "other_print"})
-    pairs = left.join(right, ["band", "part"]).where((F.col("id") < F.col("other")) & (hamming(F.col("fingerprint"), F.col("other_print")) <= most)).select("id", "other").distinct()
+    pairs = left.join(right, "key").where((F.col("id") < F.col("other")) & (hamming(F.col("fingerprint"), F.col("other_print")) <= most)).select("id", "other").distinct()
     same = prints.join(reps.withColumnRenamed("id", "first"), "fingerprint").where("id <> first").select(F.col("first").alias("id"), F.col("id").alias("other"))
     return pairs.unionByName(same)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """``id, cluster``: least id reachable over the pairs, by label propagation until nothing moves."""
+    """``id, cluster``: least id reachable over the pairs. Each round takes the least label around and then that label's own, so rounds grow with the logarithm of the diameter."""
     both = written(pairs.select("id", "other").unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "cluster-edges")
     labels = written(both.select("id").distinct().withColumn("cluster", F.col("id")), "cluster-0")
     while True:
         seen = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("near"))
-        new = written(labels.join(seen, "id").select("id", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")), "cluster")
-        labels = new.select("id", "cluster")
-        if not new.where("moved").limit(1).count():
+        near = written(labels.join(seen, "id").select("id", "cluster", F.least("cluster", "near").alias("least")), "cluster-near")
+        jump = near.select(F.col("id").alias("least"), F.col("least").alias("beyond"))
+        new = written(near.join(jump, "least", "left").select("id", F.least("least", F.coalesce("beyond", "least")).alias("now"), "cluster"), "cluster")
+        labels = new.select("id", F.col("now").alias("cluster"))
+        if not new.where("now <> cluster").limit(1).count():
             return labels
 
 

@@ -139,21 +139,23 @@ def unused(nodes: DataFrame, edges: DataFrame, entry_points: Column) -> DataFram
     return nodes.where(F.col("file_path").isNotNull() & ~entry_points).join(imported, "node_id", "left_anti")
 
 
-def import_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """Simple cycles of up to ``longest`` nodes, each once, written from its least node.
-
-    Only nodes with both an inbound and an outbound edge take part, and a path
-    only grows over nodes larger than its first one. A cycle is a path from
-    its least node joined with a path back of as many edges or one less, so
-    only paths of half the length are made.
+def import_cycles(edges: DataFrame, longest: int = 6, most: int | None = None) -> DataFrame:
+    """Simple cycles of 2 to ``longest`` nodes, one for each set of members, written from its least node.
+
+    Shorter ones come first, then by name; with ``most`` only so many are
+    reported, and longer cycles aren't looked for once there are as many. Only
+    nodes with both an inbound and an outbound edge take part, and a path only
+    grows over nodes larger than its first one. A cycle is a path from its
+    least node joined with a path back of as many edges or one less, so only
+    paths of half the length are made.
     """
-    links = edges.select("src_id", "dst_id").distinct()
+    links = edges.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
     both = links.select(F.col("src_id").alias("n")).intersect(links.select(F.col("dst_id").alias("n")))
     links = written(links.join(both.withColumnRenamed("n", "src_id"), "src_id", "left_semi").join(both.withColumnRenamed("n", "dst_id"), "dst_id", "left_semi"), "cycle-links")
-    out = links.where("src_id = dst_id").select(F.concat_ws(">", "src_id", "dst_id").alias("cycle"), F.lit(2).alias("length"))
     # path: out from the first node, with both ends; tail: the nodes between the last one and the first on the way back
     ahead = links.where("src_id < dst_id").select(F.col("src_id").alias("first"), F.col("dst_id").alias("last"), F.array("src_id", "dst_id").alias("path"))
     back = links.where("dst_id < src_id").select(F.col("dst_id").alias("first"), F.col("src_id").alias("last"), F.array().cast("array<string>").alias("tail"))
+    out = None
     for length in range(2, longest + 1):
         if length > 2 and length % 2:
             step = ahead.join(links.select(F.col("src_id").alias("last"), F.col("dst_id").alias("next")), "last").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
@@ -161,9 +163,13 @@ def import_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
         elif length > 2:
             step = back.join(links.select(F.col("dst_id").alias("last"), F.col("src_id").alias("next")), "last").where((F.col("next") > F.col("first")) & (F.col("next") != F.col("last")) & ~F.array_contains("tail", F.col("next")))
             back = written(step.select("first", F.col("next").alias("last"), F.array_prepend("tail", F.col("last")).alias("tail")), f"cycle-back-{length}")
-        closed = ahead.join(back, ["first", "last"]).where(~F.arrays_overlap("path", "tail"))
-        out = out.unionByName(closed.select(F.array_join(F.concat("path", "tail"), ">").alias("cycle"), F.lit(length).alias("length")))
-    return out
+        closed = ahead.join(back, ["first", "last"]).where(~F.arrays_overlap("path", "tail")).select(F.concat("path", "tail").alias("nodes"))
+        found = closed.groupBy(F.array_sort("nodes").alias("members")).agg(F.min(F.array_join("nodes", ">")).alias("cycle")).select("cycle", F.lit(length).alias("length"))
+        found = written(found, f"cycles-{length}")
+        out = found if out is None else out.unionByName(found)
+        if most is not None and out.count() >= most:
+            break
+    return out if most is None else out.orderBy("length", "cycle").limit(most)
 
 
 def merge_node(edges: DataFrame, loser: str, winner: str) -> DataFrame:

@@ -71,7 +71,7 @@ add("q24_dead_refs", lambda s, d: X.doc_refs(s, d).join(X.read(s, d, "pages").wh
 add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("doc_id % 3 <> 0 or length(ref_value) % 2 = 0"), X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("length(ref_value) % 3 <> 0"), 50),
     f"""WITH {X.REFS}, k AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE page_id % 3 <> 0 OR length(ref_value) % 2 = 0), c AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE length(ref_value) % 3 <> 0)
     SELECT doc_id, ref_value, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL
-    SELECT doc_id, ref_value, 'add' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_value) AS rn FROM (SELECT * FROM c EXCEPT SELECT * FROM k)) WHERE rn <= 5""")
+    SELECT doc_id, ref_value, 'add' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_value) AS rn FROM (SELECT * FROM c EXCEPT SELECT * FROM k)) WHERE rn <= 50""")
 QUERIES["l27_document_edges"], ORACLES["l27_document_edges"] = QUERIES["u05_reference_changes"], ORACLES["u05_reference_changes"]
 doc("j16_renames", lambda t: D.renames(t.where("doc_id % 2 = 0").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("hash")), t.where("doc_id % 2 = 1").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("hash"))),
     """WITH v AS (SELECT source || '/' || doc_id AS path, md5(text) AS h, doc_id % 2 AS side FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY side, h ORDER BY path) AS rn FROM v)
@@ -96,9 +96,7 @@ _PAIRS = f"WITH RECURSIVE {PRINTS}, pr AS (SELECT a.doc_id AS a, b.doc_id AS b F
 doc("j17_a12_simhash_clusters", lambda t: D.clusters(D.near_pairs(_prints(t))), _PAIRS + ", r(a, c) AS (SELECT DISTINCT a, a FROM pr UNION SELECT pr.b, r.c FROM r JOIN pr ON r.a = pr.a WHERE r.c < pr.b) SELECT a AS id, min(c) AS cluster FROM r GROUP BY a")
 
 # ---- text functions
-doc("t02_tokenize", lambda t: t.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({TOKENS}) AS n, array_to_string(({TOKENS})[1:5], ' ') AS first_tokens FROM documents WHERE lang = 'en'")
 doc("a07_document_frequency", lambda t: t.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
-doc("t07_normal_name", lambda t: t.select("doc_id", F.md5(T.normal_name(F.col("text"))).alias("digest")), "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}+#]+', ' ', 'g')) AS name FROM documents")
 _T13 = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in T.SECRETS) + " END"
 doc("t13_secrets", lambda t: t.select("doc_id", T.secret_name(F.col("text")).alias("secret")).where("secret is not null"), f"SELECT * FROM (SELECT doc_id, {_T13} AS secret FROM documents) WHERE secret IS NOT NULL")
 doc("t13_redact", lambda t: t.where(T.secret_name(F.col("text")).isNotNull()).select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest")), f"SELECT doc_id, md5(regexp_replace(text, '{T.SECRETS[-1][1]}', '[REDACTED:credential-assignment]', 'g')) AS digest FROM documents WHERE {_T13} = 'credential-assignment'")
@@ -108,7 +106,6 @@ doc("t19_shingles", lambda t: t.select("doc_id", F.size(T.shingles(F.col("text")
 doc("t23_origin_hash", lambda t: t.select("doc_id", F.substring(F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256), 1, 12).alias("origin")), "SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 12) AS origin FROM documents")
 doc("t15_clean_text", lambda t: t.select("doc_id", F.length(F.nullif(F.trim("text"), F.lit(""))).cast("long").alias("n")), "SELECT doc_id, length(nullif(trim(text), '')) AS n FROM documents")
 doc("f15_tokens_budget", lambda t: t.select("doc_id", approx_tokens(F.col("text")).cast("long").alias("tokens")), "SELECT doc_id, CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM documents")
-doc("a09_checkbox_state", lambda t: t.select("doc_id", F.regexp_count("text", F.lit("[#]{3}")).cast("long").alias("marks")).where("marks > 0"), "SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, '[#]{3}')) AS marks FROM documents) WHERE marks > 0")
 doc("t22_repo_digest", lambda t: t.select("source").distinct().select("source", F.substring(F.sha2("source", 256), 1, 16).alias("repo_id")), "SELECT DISTINCT source, substr(sha256(source), 1, 16) AS repo_id FROM documents")
 add("t21_url_normalise", lambda s, d: X.read(s, d, "pages").select("page_id", F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "([.]html|/)?([?#].*)?$", "")).alias("place")), "SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '([.]html|/)?([?#].*)?$', '')) AS place FROM pages")
 
@@ -140,7 +137,6 @@ QUERIES["j24_prefix_terms"], ORACLES["j24_prefix_terms"] = QUERIES["q03_bm25_pre
 GROUPS = [["then", "than"], ["intion"], ["heiter", "heit"]]
 doc("q04_overlap_search", lambda t: L.overlap(t, "doc_id", T.tokens(F.col("text")), GROUPS).select("id", F.round("similarity", 6).alias("similarity")), f"WITH t AS (SELECT doc_id, {TOKENS} AS terms FROM documents) SELECT * FROM (SELECT doc_id AS id, round(({' + '.join(f'CAST(list_has_any(terms, [{_quoted(g)}]) AS INT)' for g in GROUPS)}) / 3.0, 6) AS similarity FROM t) WHERE similarity > 0")
 QUERIES["f08_overlap"], ORACLES["f08_overlap"] = QUERIES["q04_overlap_search"], ORACLES["q04_overlap_search"]
-doc("t06_substring_match", lambda t: t.where(F.lower("text").contains("ntedin")).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'ntedin')")
 PHRASES = ["of the", "in to", "der der", "que la"]
 
 
@@ -153,35 +149,7 @@ def _triggers(s, d):
 add("j25_q06_trigger_match", _triggers, f"SELECT conv_id, turn, trigger FROM conversations, (SELECT unnest([{_quoted(PHRASES)}]) AS trigger) WHERE role = 'user' AND contains(lower(text), trigger)")
 
 
-def _recall(s, d):
-    """Documents that share two tokens with a prompt, or a rare long one."""
-    tokens = X.read(s, d, "documents").where("lang = 'en'").select("doc_id", F.explode(T.prompt_tokens(F.col("text"))).alias("token"))
-    rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df <= 3")
-    prompts = X.read(s, d, "conversations").where("role = 'user' and turn = 0").select("conv_id", F.explode(T.prompt_tokens(F.col("text"))).alias("token")).distinct()
-    hits = prompts.join(rare, "token").join(tokens, "token").where("length(token) >= 4").groupBy("conv_id", "doc_id").agg(F.count("*").alias("hits"))
-    return hits.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("hits"), "doc_id"))).where("rn <= 3").drop("rn")
-
-
-add("q26_prompt_recall", _recall, """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-.]{2,}')) AS token FROM documents WHERE lang = 'en'),
-    r AS (SELECT token FROM t GROUP BY token HAVING count(*) <= 3), p AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-.]{2,}')) AS token FROM conversations WHERE role = 'user' AND turn = 0),
-    h AS (SELECT conv_id, doc_id, count(*) AS hits FROM p JOIN r USING (token) JOIN t USING (token) WHERE length(token) >= 4 GROUP BY ALL)
-    SELECT conv_id, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, doc_id) AS rn FROM h) WHERE rn <= 3""")
 add("l25_interaction_sources", lambda s, d: X.read(s, d, "conversations").groupBy(F.when(F.col("role") == "assistant", "agent_inference").otherwise("user_direct").alias("source_type")).agg(F.count("*").alias("n")), "SELECT CASE WHEN role = 'assistant' THEN 'agent_inference' ELSE 'user_direct' END AS source_type, count(*) AS n FROM conversations GROUP BY ALL")
-_RAW = ["Depends On", "using", "deployed to", "Prefers", "frobnicates", "hosts", "hosted_on", "switched-from"]
-add("t09_normal_relation", lambda s, d: X.read(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, _RAW))).alias("raw")).select("raw", T.normal_relation(F.col("raw")).alias("relation")),
-    "SELECT * FROM (VALUES ('Depends On', 'depends_on'), ('using', 'uses'), ('deployed to', 'deployed_to'), ('Prefers', 'prefers'), ('frobnicates', 'frobnicates'), ('hosts', 'hosts'), ('hosted_on', 'hosted_on'), ('switched-from', 'switched_from')) AS t(raw, relation)")
-add("t03_synonyms", lambda s, d: X.read(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, ["postgres", "config", "xyzzy"]))).alias("term")).select("term", F.array_join(T.synonyms_of(F.col("term")), " ").alias("group")),
-    """SELECT * FROM (VALUES ('postgres', 'pg postgres postgresql'), ('config', 'config configuration'), ('xyzzy', 'xyzzy')) AS t(term, "group")""")
-
-
-def _classified(s, d):
-    from memlake.operators.store import classify
-
-    return X.read(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, ["Deployed", "proficient in", "runs-on", "is_a", "likes"]))).alias("raw")).select("raw", classify(F.col("raw"), T.EVENT_RELATIONS, T.SKILL_RELATIONS, T.WORLD_RELATIONS).alias("memory_type"))
-
-
-add("t11_classify", _classified, "SELECT * FROM (VALUES ('Deployed', 'event'), ('proficient in', 'skill'), ('runs-on', 'world_model'), ('is_a', 'belief'), ('likes', 'belief')) AS t(raw, memory_type)")
-
 # ---- vectors
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 
@@ -191,7 +159,7 @@ def _vectors(s, d):
 
 
 add("q05_vector_search", lambda s, d: V.nearest(_vectors(s, d), _vectors(s, d).where("vec_id = 0"), 32, F.expr("vec_id % 11 > 2")).select("vec_id", F.round("similarity", 6).alias("similarity")), f"SELECT b.vec_id, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id % 11 > 2 ORDER BY round({COS}, 9) DESC, b.vec_id LIMIT 32")
-add("k02_oversampled", lambda s, d: V.nearest_blocks(_vectors(s, d), _vectors(s, d).where("vec_id % 20 = 0"), 8).select("query_id", "vec_id", F.col("place").cast("long").alias("place")), f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id < 5) WHERE place <= 8")
+add("k02_oversampled", lambda s, d: V.nearest_blocks(_vectors(s, d), _vectors(s, d).where("vec_id % 20 = 0"), 8).select("query_id", "vec_id", F.col("place").cast("long").alias("place")), f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE place <= 8")
 
 
 def _upserted(s, d):
@@ -212,11 +180,6 @@ add("r05_latest_state", lambda s, d: X.journal(s, d).where("path is not null").g
 QUERIES["l19_index_state"], ORACLES["l19_index_state"] = QUERIES["r05_latest_state"], ORACLES["r05_latest_state"]
 add("a19_generation", lambda s, d: X.journal(s, d).groupBy("repo_id").agg(F.max("seq").alias("generation")), f"WITH {X.JOURNAL} SELECT repo_id, max(seq) AS generation FROM journal GROUP BY ALL")
 add("u09_dirty_paths", lambda s, d: X.journal(s, d).where("seq % 2 = 0").select("path").union(X.journal(s, d).where("seq % 3 = 0").select("old_path")).where("path is not null").distinct(), f"WITH {X.JOURNAL} SELECT path FROM journal WHERE seq % 2 = 0 AND path IS NOT NULL UNION SELECT old_path FROM journal WHERE seq % 3 = 0 AND old_path IS NOT NULL")
-_BASH = ["npm install left-pad", "git commit -m x", "git status", "uv add ruff", "go get x", "ls -la", "pip3 uninstall y; git pull"]
-add("t28_r07_shell_changes", lambda s, d: X.read(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, _BASH))).alias("command")).select("command", F.coalesce(T.shell_change(F.col("command")), F.lit("none")).alias("change")),
-    "SELECT * FROM (VALUES ('npm install left-pad', 'manifest'), ('git commit -m x', 'git'), ('git status', 'none'), ('uv add ruff', 'manifest'), ('go get x', 'manifest'), ('ls -la', 'none'), ('pip3 uninstall y; git pull', 'manifest')) AS t(command, change)")
-
-
 def _windows(s, d, width, slide=None):
     from memlake.streaming.journal import window_counts
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memlake.plans import docs, graph, store
+from memlake.plans import docs, graph, ledger, search, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (store, graph, docs):
+for _part in (store, graph, docs, search, ledger):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -155,7 +155,7 @@ def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODE_EDGES = """code_edges AS (SELECT DISTINCT 'P' || l_partkey AS src_id, 'P' || nxt AS dst_id, 'imports' AS relation, (l_partkey + nxt) % 13 = 0 AS invalid FROM (
-  SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem WHERE l_orderkey % 20 = 0) WHERE nxt IS NOT NULL AND nxt <> l_partkey)"""
+  SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND nxt <> l_partkey)"""
 
 
 def doc_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,3 +206,49 @@ JOURNAL = """journal AS (SELECT event_id AS seq, 'r' || (user_id % 3) AS repo_id
   CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'added' WHEN 'signup' THEN 'renamed' WHEN 'purchase' THEN 'git' ELSE 'removed' END AS change,
   CASE WHEN event_type = 'signup' THEN 'f' || (k + 1) END AS old_path, ts AS detected_at
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories with texts."""
+    return read(spark, sf_dir, "documents").selectExpr(
+        "concat('D', doc_id) as memory_id",
+        "doc_id",
+        "text",
+        "concat(source, '-', lang) as subject",
+        "substring_index(text, ' ', 3) as naming",
+        "case doc_id % 4 when 0 then 'belief' when 1 then 'event' when 2 then 'skill' else 'world_model' end as memory_type",
+        "case when doc_id % 11 = 0 then 'archived' else 'active' end as status",
+        "round(0.05D + (doc_id % 96) / 100.0D, 2) as confidence",
+        f"cast('{NOW_E}' as timestamp_ntz) - make_dt_interval(cast(doc_id % 400 as int)) as updated_at",
+        "cast(doc_id % 13 as int) as access_count",
+        "case doc_id % 9 when 0 then 'T0' when 1 then 'T1' when 2 then 'T2' when 3 then 'T3' when 4 then 'TX' end as doc_tier",
+        "source as repo_id",
+    )
+
+
+NOTES = f"""notes AS (SELECT 'D' || doc_id AS memory_id, doc_id, text, source || '-' || lang AS subject, array_to_string(string_split(text, ' ')[1:3], ' ') AS naming,
+  CASE doc_id % 4 WHEN 0 THEN 'belief' WHEN 1 THEN 'event' WHEN 2 THEN 'skill' ELSE 'world_model' END AS memory_type,
+  CASE WHEN doc_id % 11 = 0 THEN 'archived' ELSE 'active' END AS status, round(CAST(0.05 AS DOUBLE) + CAST(doc_id % 96 AS DOUBLE) / CAST(100 AS DOUBLE), 2) AS confidence,
+  TIMESTAMP '{NOW_E}' - to_days(CAST(doc_id % 400 AS INT)) AS updated_at, CAST(doc_id % 13 AS INT) AS access_count,
+  CASE doc_id % 9 WHEN 0 THEN 'T0' WHEN 1 THEN 'T1' WHEN 2 THEN 'T2' WHEN 3 THEN 'T3' WHEN 4 THEN 'TX' END AS doc_tier, source AS repo_id FROM documents)"""
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown: a block of the author's keys, links, a code span, a symbol, an issue, a code block and task boxes."""
+    p = read(spark, sf_dir, "pages")
+    head = "case when page_id % 3 = 0 then concat('---\\nstatus: ', case when page_id % 2 = 0 then 'Archived' else '\"fulfilled\"' end, '\\ntype: Plan\\ntier: t', page_id % 5, '\\n---\\n') else '' end"
+    links = "array_join(transform(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), h -> concat('[x](', h, '.md)')), ' ')"
+    tail = "concat('\\n```\\n[no](hidden.md)\\n```\\n`src/p', page_id % 7, '.py` and src/p', page_id % 5, '.py::run (#', page_id % 50, ')\\n', repeat('- [x] done\\n', cast(page_id % 4 as int)), repeat('* [ ] open\\n', cast(page_id % 3 as int)))"
+    return p.selectExpr("page_id", "concat('docs/p', page_id, '.md') as rel_path", f"concat({head}, {links}, {tail}) as text")
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits: the parts of their lines are the files, every tenth part is a document."""
+    o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    files = line.selectExpr("l_orderkey", "case when l_partkey % 10 = 0 then concat('docs/p', l_partkey, '.md') else concat('src/p', l_partkey, '.py') end as path")
+    files = files.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("path")).alias("files"))
+    return o.join(files, o["o_orderkey"] == files["l_orderkey"]).selectExpr("cast(o_orderkey as string) as sha", "o_orderdate as ts", "concat('a', o_custkey % 9) as author", "concat('fix #', o_custkey) as subject", "files")
+
+
+COMMITS = """touches AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS ts, 'a' || (o_custkey % 9) AS author, 'fix #' || o_custkey AS subject,
+  CASE WHEN l_partkey % 10 = 0 THEN 'docs/p' || l_partkey || '.md' ELSE 'src/p' || l_partkey || '.py' END AS path FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""

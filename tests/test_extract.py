@@ -6,23 +6,31 @@ from memlake.operators.porting import export_lines, import_lines
 
 def test_facts(spark):
     texts = [
-        "We use ruff. Maybe I use vim",
-        "use ruff instead of flake8",
-        "We switched from npm to pnpm",
-        "The frontend is built with react",
-        "we just deployed the billing service",
-        "The weather was nice",
-        "the api runs on fly.io",
+        "We use marigold ink. Perhaps I use chalk",
+        "use copper wire instead of string",
+        "I switched from candles to lanterns",
+        "The old mill is built with sandstone",
+        "we just finished the bell tower",
+        "It rained all day",
+        "the ferry runs on v2.4 diesel, mostly",
+        "I no longer use the north gate because it is slow",
+        "Our team prefer rivets over glue",
+        None,
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {(r.id, r.subject, r.relation, r.object, r.is_negation) for r in facts(docs, "id", F.col("text")).collect()}
-    assert (0, "user", "uses", "ruff", False) in got and not any("vim" in g[3] for g in got)
-    assert {(1, "user", "uses", "flake8", True), (1, "user", "uses", "ruff", False)} <= got
-    assert {(2, "user", "uses", "npm", True), (2, "user", "uses", "pnpm", False)} <= got
-    assert (3, "the frontend", "built_with", "react", False) in got
-    assert (4, "user", "deployed", "the billing service", False) in got
-    assert not any(g[0] == 5 for g in got)
-    assert (6, "the api", "runs_on", "fly.io", False) in got
+    assert got == {
+        (0, "user", "uses", "marigold ink", False),
+        (1, "user", "uses", "string", True),
+        (1, "user", "uses", "copper wire", False),
+        (2, "user", "uses", "candles", True),
+        (2, "user", "uses", "lanterns", False),
+        (3, "the old mill", "built_with", "sandstone", False),
+        (4, "user", "finished", "the bell tower", False),
+        (6, "the ferry", "runs_on", "v2.4 diesel", False),
+        (7, "user", "uses", "the north gate", True),
+        (8, "user", "prefers", "rivets", False),
+    }
 
 
 def test_round_trip(spark, tmp_path):
