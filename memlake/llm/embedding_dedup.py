@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, written
+from .common import ROW, keyed_join, numbered, written
 from .components import components
 
 COSINE = 0.93
@@ -167,8 +167,9 @@ def embedding_near_duplicates(
     usable = finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = written(plain.select("vec_id", F.when(usable, F.xxhash64("v", "label")).alias("h"), F.when(usable, F.col("v")).alias("v"), F.when(usable, F.col("label")).alias("label")), "pq-rows")
     able = rows.where("v is not null")
-    distinct = able.groupBy("h", "v", "label").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    distinct = written(distinct.withColumn("width", F.size("v")), "pq-distinct")
+    distinct = able.groupBy("h", "v", "label").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # a vector goes by a number of its own: ids can repeat with other vectors
+    distinct = numbered(distinct.withColumn("width", F.size("v")), "pq-distinct").withColumnRenamed(ROW, "rep")
     sizes = distinct.groupBy("width").count().collect()  # one row for each length of vectors
 
     counts, forests = [], []
@@ -182,8 +183,16 @@ def embedding_near_duplicates(
     links, forest = counts[0], forests[0]
     for c, f in zip(counts[1:], forests[1:], strict=True):
         links, forest = links.unionByName(c), forest.unionByName(f)
-    named = distinct.select("h", "v", "label", "rep", "copies").join(links, "rep", "left").join(components(forest, "pq").withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("h", "v", "label", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).where("n_links > 0")
+    # rows of one id share a component
+    ids = keyed_join(able.select("vec_id", "h", "v", "label"), distinct.select("h", "v", "label", "rep"), ["h", "v", "label"], "inner", "pq-ids").select("vec_id", "rep")
+    ids = written(ids, "pq-rows-ids")
+    twice = ids.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("vec_id", "a")
+    same = keyed_join(ids, twice, ["vec_id"], "inner", "pq-twice").where("a <> rep").select("a", F.col("rep").alias("b"))
+    found = components(forest.unionByName(same), "pq").withColumnRenamed("node", "rep")
+    named = distinct.select("h", "v", "label", "rep", "least", "copies").join(links, "rep", "left").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1), "pq-linked")
+    firsts = named.groupBy("component").agg(F.min("least").alias("first"), F.sum("copies").alias("rows")).where("rows > 1").select("component", "first")
+    named = keyed_join(named, firsts, ["component"], "inner", "pq-firsts").select("h", "v", "label", "n_links", F.col("first").alias("component"))
     out = keyed_join(rows, named, ["h", "v", "label"], "left", "pq-named")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
