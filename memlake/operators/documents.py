@@ -66,12 +66,21 @@ def clusters(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def superseding_chain(registry: DataFrame, longest: int = 10) -> DataFrame:
-    """``doc_id, last, hops``: where following superseded_by from each superseded document ends."""
-    links = registry.where("superseded_by is not null").select(F.col("doc_id").alias("last"), F.col("superseded_by").alias("next"))
-    rows = registry.where("superseded_by is not null").select("doc_id", F.col("superseded_by").alias("last"), F.lit(1).alias("hops"))
-    for _ in range(longest - 1):
-        rows = rows.join(links, "last", "left").select("doc_id", F.coalesce("next", "last").alias("last"), F.when(F.col("next").isNotNull(), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"))
+def superseding_chain(registry: DataFrame) -> DataFrame:
+    """``doc_id, last, hops``: where following superseded_by from each superseded document ends.
+
+    Each round doubles the steps, so a chain takes as many rounds as its
+    length has bits. A chain that runs in a circle has no end: it stops after
+    as many rounds as the table could need.
+    """
+    rows = written(registry.where("superseded_by is not null").select("doc_id", F.col("superseded_by").alias("last"), F.lit(1).alias("hops")), "chain-0")
+    for turn in range(rows.count().bit_length() + 1):
+        ahead = rows.select(F.col("doc_id").alias("last"), F.col("last").alias("end"), F.col("hops").alias("more"))
+        new = rows.join(ahead, "last", "left").select("doc_id", F.coalesce("end", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("end").isNotNull().alias("moved"))
+        new = written(new, f"chain-{turn + 1}")
+        rows = new.select("doc_id", "last", "hops")
+        if not new.where("moved").limit(1).count():
+            break
     return rows
 
 

@@ -45,29 +45,12 @@ _WINDOW = "CASE doc_type WHEN 'plan' THEN 30 WHEN 'brainstorm' THEN 14 ELSE 90 E
 reg("q21_rot_report", lambda r: r.withColumn("stale", F.expr(f"lifecycle = 'active' and age_days > {_WINDOW}")).withColumn("archive", F.expr("lifecycle in ('fulfilled', 'superseded') and tier not in ('T0', 'T1')")).groupBy("doc_type", "tier").agg(F.count_if("stale").alias("stale"), F.count_if("archive").alias("archive_candidates")),
     f"SELECT doc_type, tier, count(*) FILTER (lifecycle = 'active' AND age_days > {_WINDOW}) AS stale, count(*) FILTER (lifecycle IN ('fulfilled', 'superseded') AND tier NOT IN ('T0', 'T1')) AS archive_candidates FROM registry GROUP BY ALL")
 QUERIES["a16_rot_rollup"], ORACLES["a16_rot_rollup"] = QUERIES["q21_rot_report"], ORACLES["q21_rot_report"]
-reg("q22_doc_status", lambda r: r.where("rel_path like '%doc1%'").groupBy("lifecycle").agg(F.min_by("rel_path", F.struct(F.length("rel_path"), F.col("rel_path"))).alias("rel_path")), "SELECT lifecycle, arg_min(rel_path, (length(rel_path), rel_path)) AS rel_path FROM registry WHERE rel_path LIKE '%doc1%' GROUP BY lifecycle")
 reg("q23_knowledge_map", lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("tier", "lifecycle").orderBy("rel_path"))).groupBy("tier", "lifecycle").agg(F.count("*").alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("rn") <= 3, F.col("rel_path"))))).alias("first_paths")),
     ", k AS (SELECT *, row_number() OVER (PARTITION BY tier, lifecycle ORDER BY rel_path) AS rn FROM registry) SELECT tier, lifecycle, count(*) AS n, string_agg(rel_path, ', ' ORDER BY rel_path) FILTER (rn <= 3) AS first_paths FROM k GROUP BY ALL")
-reg("j18_supersession_chain", lambda r: D.superseding_chain(r), ", c AS (SELECT doc_id, superseded_by AS last, 1 AS hops FROM registry WHERE superseded_by IS NOT NULL) SELECT c.doc_id, coalesce(d.last, c.last) AS last, CAST(CASE WHEN d.last IS NULL THEN 1 ELSE 2 END AS INT) AS hops FROM c LEFT JOIN c d ON d.doc_id = c.last")
 reg("l14_verdicts", lambda r: r.select("doc_id", F.when(F.col("tier").isin("T0", "T1"), F.col("lifecycle")).when(F.col("age_days") > 100, "archived").otherwise(F.col("lifecycle")).alias("lifecycle")), "SELECT doc_id, CASE WHEN tier IN ('T0', 'T1') THEN lifecycle WHEN age_days > 100 THEN 'archived' ELSE lifecycle END AS lifecycle FROM registry")
 reg("l23_judgement_kept", lambda r: r.select("doc_id", F.when(F.col("num") % 4 == 0, F.col("doc_type")).otherwise(F.lit("guide")).alias("doc_type")), "SELECT doc_id, CASE WHEN num % 4 = 0 THEN doc_type ELSE 'guide' END AS doc_type FROM registry")
-RULES = [("src1*/**", "plan", None), ("**/doc7*.md", "brainstorm", "T3"), ("src2/**", "adr", "T1"), ("**/*9.md", "audit", None), ("src**", "guide", None)]
-
-
-def _typed(r):
-    kind, tier = D.glob_type(F.col("rel_path"), RULES)
-    return r.select("rel_path", kind.alias("kind"), tier.alias("level"))
-
-
-def _glob_sql(value) -> str:
-    return " ".join(f"WHEN regexp_matches(rel_path, '^{p.replace('**', '*').replace('.', '[.]').replace('*', '.*')}$') THEN '{value(n, t)}'" for p, n, t in RULES)
-
-
-reg("p18_path_types", _typed, f"SELECT rel_path, CASE {_glob_sql(lambda n, t: n)} ELSE 'unknown' END AS kind, CASE {_glob_sql(lambda n, t: t or 'T2')} ELSE 'T2' END AS level FROM registry")
 add("a06_link_indegree", lambda s, d: X.doc_refs(s, d).groupBy("ref_value").agg(F.count("*").alias("n")), f"WITH {X.REFS} SELECT ref_value, count(*) AS n FROM refs GROUP BY ALL")
 QUERIES["j15_refs_by_value"], ORACLES["j15_refs_by_value"] = QUERIES["a06_link_indegree"], ORACLES["a06_link_indegree"]
-add("q24_dead_refs", lambda s, d: X.doc_refs(s, d).join(X.read(s, d, "pages").where("page_id % 2 = 0").select(F.regexp_extract("url", "(/[^?#]*)", 1).alias("ref_value")), "ref_value", "left_anti").groupBy("page_id").agg(F.count("*").alias("dead")),
-    f"WITH {X.REFS} SELECT page_id, count(*) AS dead FROM refs WHERE ref_value NOT IN (SELECT regexp_extract(url, '(/[^?#]*)', 1) FROM pages WHERE page_id % 2 = 0) GROUP BY page_id")
 add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("doc_id % 3 <> 0 or length(ref_value) % 2 = 0"), X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("length(ref_value) % 3 <> 0"), 50),
     f"""WITH {X.REFS}, k AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE page_id % 3 <> 0 OR length(ref_value) % 2 = 0), c AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE length(ref_value) % 3 <> 0)
     SELECT doc_id, ref_value, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL
@@ -133,22 +116,9 @@ def _bm25_sql(match: str) -> str:
 
 doc("q03_bm25_search", lambda t: _bm25(t, False), _bm25_sql("term = query"))
 doc("q03_bm25_prefix", lambda t: _bm25(t, True), _bm25_sql("starts_with(term, query)"))
-QUERIES["j24_prefix_terms"], ORACLES["j24_prefix_terms"] = QUERIES["q03_bm25_prefix"], ORACLES["q03_bm25_prefix"]
 GROUPS = [["then", "than"], ["intion"], ["heiter", "heit"]]
 doc("q04_overlap_search", lambda t: L.overlap(t, "doc_id", T.tokens(F.col("text")), GROUPS).select("id", F.round("similarity", 6).alias("similarity")), f"WITH t AS (SELECT doc_id, {TOKENS} AS terms FROM documents) SELECT * FROM (SELECT doc_id AS id, round(({' + '.join(f'CAST(list_has_any(terms, [{_quoted(g)}]) AS INT)' for g in GROUPS)}) / 3.0, 6) AS similarity FROM t) WHERE similarity > 0")
 QUERIES["f08_overlap"], ORACLES["f08_overlap"] = QUERIES["q04_overlap_search"], ORACLES["q04_overlap_search"]
-PHRASES = ["of the", "in to", "der der", "que la"]
-
-
-def _triggers(s, d):
-    ctx = X.read(s, d, "conversations").where("role = 'user'")
-    hit = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(p)), F.lit(p)) for p in PHRASES]))
-    return ctx.select("conv_id", "turn", F.explode(hit).alias("trigger"))
-
-
-add("j25_q06_trigger_match", _triggers, f"SELECT conv_id, turn, trigger FROM conversations, (SELECT unnest([{_quoted(PHRASES)}]) AS trigger) WHERE role = 'user' AND contains(lower(text), trigger)")
-
-
 add("l25_interaction_sources", lambda s, d: X.read(s, d, "conversations").groupBy(F.when(F.col("role") == "assistant", "agent_inference").otherwise("user_direct").alias("source_type")).agg(F.count("*").alias("n")), "SELECT CASE WHEN role = 'assistant' THEN 'agent_inference' ELSE 'user_direct' END AS source_type, count(*) AS n FROM conversations GROUP BY ALL")
 # ---- vectors
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
@@ -162,14 +132,6 @@ add("q05_vector_search", lambda s, d: V.nearest(_vectors(s, d), _vectors(s, d).w
 add("k02_oversampled", lambda s, d: V.nearest_blocks(_vectors(s, d), _vectors(s, d).where("vec_id % 20 = 0"), 8).select("query_id", "vec_id", F.col("place").cast("long").alias("place")), f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE place <= 8")
 
 
-def _upserted(s, d):
-    v = _vectors(s, d).select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).alias("vector"), F.lit("active").alias("status"))
-    changes = v.where("id % 3 = 0").select(F.col("id").alias("seq"), (F.col("id") % 100).alias("id"), F.when(F.col("id") % 2 == 0, F.col("vector")).alias("vector"), F.when(F.col("id") % 2 == 0, "active").otherwise("archived").alias("status"))
-    return V.upsert(v.where("id % 5 <> 0"), changes).select("id", F.round("vector", 4).cast("double").alias("vector"), "status")
-
-
-add("s16_vector_upsert", _upserted, """WITH v AS (SELECT vec_id AS id, embedding[1] AS x FROM embeddings), c AS (SELECT id % 100 AS id, arg_max(struct_pack(x := CASE WHEN id % 2 = 0 THEN x END, s := CASE WHEN id % 2 = 0 THEN 'active' ELSE 'archived' END), id) AS l FROM v WHERE id % 3 = 0 GROUP BY 1)
-    SELECT coalesce(t.id, c.id) AS id, CAST(round(coalesce(c.l.x, t.x), 4) AS DOUBLE) AS vector, coalesce(c.l.s, 'active') AS status FROM (SELECT * FROM v WHERE id % 5 <> 0) t FULL JOIN c ON t.id = c.id WHERE coalesce(c.l.x, t.x) IS NOT NULL""")
 add("j23_reconcile_vectors", lambda s, d: X.mem(s, d).where("status = 'active'").select("event_id").join(_vectors(s, d).select(F.col("vec_id").alias("event_id")), "event_id", "left_anti"), f"WITH {X.MEM} SELECT event_id FROM mem WHERE status = 'active' AND event_id NOT IN (SELECT vec_id FROM embeddings)")
 
 # ---- change journal
@@ -177,7 +139,6 @@ add("a15_journal_depth", lambda s, d: X.journal(s, d).groupBy("repo_id", "change
 add("r01_enqueue_valid", lambda s, d: X.journal(s, d).where("change in ('added', 'modified', 'removed', 'renamed', 'git', 'manifest') and (path is not null or change in ('git', 'manifest'))").groupBy("repo_id").agg(F.count("*").alias("n"), F.max("seq").alias("last")), f"WITH {X.JOURNAL} SELECT repo_id, count(*) AS n, max(seq) AS last FROM journal WHERE path IS NOT NULL OR change = 'git' GROUP BY ALL")
 add("r02_claim_batch", lambda s, d: X.journal(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq"))).where("rn <= 200").select("repo_id", "seq"), f"WITH {X.JOURNAL} SELECT repo_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seq) AS rn FROM journal) WHERE rn <= 200")
 add("r05_latest_state", lambda s, d: X.journal(s, d).where("path is not null").groupBy("repo_id", "path").agg(F.max_by("change", "seq").alias("change"), F.max("seq").alias("seq")), f"WITH {X.JOURNAL} SELECT repo_id, path, arg_max(change, seq) AS change, max(seq) AS seq FROM journal WHERE path IS NOT NULL GROUP BY ALL")
-QUERIES["l19_index_state"], ORACLES["l19_index_state"] = QUERIES["r05_latest_state"], ORACLES["r05_latest_state"]
 add("a19_generation", lambda s, d: X.journal(s, d).groupBy("repo_id").agg(F.max("seq").alias("generation")), f"WITH {X.JOURNAL} SELECT repo_id, max(seq) AS generation FROM journal GROUP BY ALL")
 add("u09_dirty_paths", lambda s, d: X.journal(s, d).where("seq % 2 = 0").select("path").union(X.journal(s, d).where("seq % 3 = 0").select("old_path")).where("path is not null").distinct(), f"WITH {X.JOURNAL} SELECT path FROM journal WHERE seq % 2 = 0 AND path IS NOT NULL UNION SELECT old_path FROM journal WHERE seq % 3 = 0 AND old_path IS NOT NULL")
 def _windows(s, d, width, slide=None):

@@ -159,12 +159,6 @@ def _export(s, d):
 
 add("s21_graph_export", _export, f"""WITH {KG}, b AS (SELECT * FROM edges WHERE invalid_at IS NULL ORDER BY weight * confidence DESC, edge_id LIMIT 500)
     SELECT edge_id, src_id || ' -->|' || relation || '| ' || dst_id AS line, s.display_name AS src_name, t.display_name AS dst_name FROM b JOIN nodes s ON s.node_id = src_id JOIN nodes t ON t.node_id = dst_id""")
-add(
-    "l13_bump_traversed",
-    lambda s, d: X.edges(s, d).where("src_id = 'S1'").select("edge_id", F.round(F.col("weight") + 0.05, 2).alias("weight")),
-    f"WITH {KG} SELECT edge_id, round(weight + CAST(0.05 AS DOUBLE), 2) AS weight FROM edges WHERE src_id = 'S1'",
-)
-
 # ---- import graph
 CODE = f"{X.CODE_NODES}, {X.CODE_EDGES}, imports AS (SELECT src_id, dst_id FROM code_edges WHERE NOT invalid)"
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memlake.plans import docs, graph, ledger, search, store
+from memlake.plans import docs, graph, ledger, search, store, upkeep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (store, graph, docs, search, ledger):
+for _part in (store, graph, docs, search, ledger, upkeep):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
