@@ -47,7 +47,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Edges (u, v) after one step; u > v in the result.
 
     Large: each node links its larger neighbours to the least of its
@@ -59,7 +59,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = keyed_join(around, least, ["u"], "inner", "star-least")
+    joined = keyed_join(around, least.coalesce(parts), ["u"], "inner", "star-least")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -80,8 +80,9 @@ def components(edges: DataFrame, name: str = "components", block_edges: int = BL
     state, turn = _digest(current), 0
     while state[0]:
         turn += 1
-        large = written(_star(current, True), f"{name}-large")
-        after = written(_star(large, False), f"{name}-{turn}")
+        # as many files as blocks: small tables aren't spread over all shuffle partitions
+        large = written(_star(current, True, blocks).coalesce(blocks), f"{name}-large")
+        after = written(_star(large, False, blocks).coalesce(blocks), f"{name}-{turn}")
         now = _digest(after)
         discard(large, current)
         current = after

@@ -41,6 +41,8 @@ SIGNATURE_SHARE = 0.57
 PIVOT_TURNS = 2
 #: Texts are hashed in blocks of about this many bytes, cut at white space.
 BLOCK = 1 << 20
+#: Members of keys for each task and file of the turns.
+PART_ROWS = 1 << 14
 #: Members of larger keys meet in blocks of BLOCK_DOCS by BLOCK_DOCS, not by a join.
 SMALL_KEY = 16
 BLOCK_DOCS = 256
@@ -230,6 +232,8 @@ def _components_of(plain: DataFrame, shingle: int, percent: int, bands: int, row
     shared = placed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("p")).where("m > 1")
     members = keyed_join(placed, shared.select("key", F.col("p.doc_id").alias("p_id"), F.col("p.n").alias("p_n")), ["key"], "inner", "near-keys")
     members = written(members, "near-members")
+    # tables of the turns have a row for each member at most: so many files, not one for each shuffle partition
+    parts = max(1, -(-members.count() // PART_ROWS))
     kept_sets: list[DataFrame] = []
 
     def all_sets() -> DataFrame:
@@ -242,19 +246,18 @@ def _components_of(plain: DataFrame, shingle: int, percent: int, bands: int, row
     signatures = written(by_ids(reps.select("doc_id", "sig"), members.select("doc_id"), "doc_id", "left_semi"), "near-signatures")
 
     def verified(pairs: DataFrame, turn: str) -> DataFrame:
-        pairs = written(pairs, f"near-pairs-{turn}")
         near = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(signatures.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        near = written(near.mapInArrow(_close(signature_share), "a long, b long"), f"near-close-{turn}")
+        near = written(near.mapInArrow(_close(signature_share), "a long, b long").coalesce(parts), f"near-close-{turn}")
         sets = all_sets()
         full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return written(full.mapInArrow(_linked(percent), "a long, b long"), f"near-links-{turn}")
+        return written(full.mapInArrow(_linked(percent), "a long, b long").coalesce(parts), f"near-links-{turn}")
 
     pairs = _sized(members.where("doc_id <> p_id").select(F.col("p_id").alias("a"), F.col("p_n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
     links, tested, labels, rest = None, None, None, None
     for turn in range(PIVOT_TURNS + 1):
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"near-turn-{turn}")
+        pairs = written(pairs.coalesce(parts), f"near-turn-{turn}")
         found = []
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.unionByName(pairs)
@@ -272,13 +275,13 @@ def _components_of(plain: DataFrame, shingle: int, percent: int, bands: int, row
             current = current.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
         else:
             current = current.withColumn("label", F.col("doc_id"))
-        current = written(current.select("key", "doc_id", "n", "label"), f"near-current-{turn}")
+        current = written(current.select("key", "doc_id", "n", "label").coalesce(parts), f"near-current-{turn}")
         by_label = current.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(turn), "doc_id")).alias("p"), F.min(F.xxhash64(F.lit(turn), "doc_id")).alias("h"))
         open_keys = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("most"), F.min_by("p", "h").alias("p"), F.min_by("label", "h").alias("p_label")).where("labels > 1")
-        open_keys = written(open_keys.select("key", "m", "p", "p_label", F.col("most.label").alias("main"), (F.col("m") - F.col("most.c")).alias("outside")), f"near-open-{turn}")
+        open_keys = written(open_keys.select("key", "m", "p", "p_label", F.col("most.label").alias("main"), (F.col("m") - F.col("most.c")).alias("outside")).coalesce(parts), f"near-open-{turn}")
         if open_keys.isEmpty():
             break
-        rest = written(current.join(open_keys, "key"), f"near-rest-{turn}")
+        rest = written(current.join(open_keys, "key").coalesce(parts), f"near-rest-{turn}")
         if turn < PIVOT_TURNS - 1:
             pairs = _sized(rest.where("label <> p_label").select(F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b")), percent)
         else:
