@@ -216,3 +216,54 @@ def _health(s, d):
 
 
 add("q31_store_health", _health, f"WITH {X.MEM} SELECT repo_id IS NULL OR repo_id = 'r2' AS is_local, memory_type, count(*) AS n, count(vec_id) AS indexed, round(min(epoch_us(TIMESTAMP '{X.NOW_E}') - epoch_us(updated_at)) / CAST(86400000000 AS DOUBLE), 4) AS newest_days FROM mem LEFT JOIN embeddings ON vec_id = event_id WHERE status = 'active' GROUP BY ALL".replace("min(epoch_us(", "min((epoch_us(").replace("epoch_us(updated_at)) /", "epoch_us(updated_at))) /"))
+
+
+# ---- what is shown within a budget
+CONTEXT_TOKENS, MAP_TOKENS = 900, 300
+
+
+def _context(s, d):
+    """The rows of the context block that fit the budget of tokens: the oldest are dropped first."""
+    rows = PT.QUERIES["q02_session_context"](s, d).join(X.mem(s, d).select("memory_id", "subject", "relation", "object", "updated_at"), "memory_id")
+    line = F.repeat(F.concat(F.lit("- "), F.concat_ws(" ", "subject", "relation", "object")), 30)
+    rows = rows.withColumn("tokens", F.ceil(F.length(line) / 4))
+    kept = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("updated_at"), "memory_id"))
+    return rows.withColumn("running", kept).where(F.col("running") <= CONTEXT_TOKENS).select("memory_id", "running")
+
+
+add("q02_context_budget", _context, f"""WITH c AS ({PT.ORACLES["q02_session_context"]}), {X.MEM}, r AS (SELECT memory_id, updated_at, (length(repeat('- ' || subject || ' ' || relation || ' ' || object, 30)) + 3) // 4 AS tokens FROM c JOIN mem USING (memory_id)),
+    k AS (SELECT memory_id, sum(tokens) OVER (ORDER BY updated_at DESC, memory_id) AS running FROM r) SELECT memory_id, CAST(running AS BIGINT) AS running FROM k WHERE running <= {CONTEXT_TOKENS}""")
+
+
+def _mapped(r):
+    """Lines of the knowledge map, each capped, as many as fit its budget."""
+    rank = F.row_number().over(Window.partitionBy("tier", "lifecycle").orderBy("rel_path"))
+    groups = r.withColumn("rn", rank).groupBy("tier", "lifecycle").agg(F.count("*").alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("rn") <= 3, F.col("rel_path"))))).alias("paths"))
+    line = R.capped(F.concat(F.lit("- "), "tier", F.lit(" "), "lifecycle", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), "paths", F.lit(")")), 60)
+    lines = groups.select("tier", "lifecycle", line.alias("line"))
+    running = F.sum(F.ceil(F.length("line") / 4)).over(Window.partitionBy(F.lit(0)).orderBy("tier", "lifecycle"))
+    return lines.withColumn("running", running).where(F.col("running") <= MAP_TOKENS // 2).select("line", "running")
+
+
+reg("q23_map_budget", _mapped, f""", k AS (SELECT *, row_number() OVER (PARTITION BY tier, lifecycle ORDER BY rel_path) AS rn FROM registry), g AS (SELECT tier, lifecycle, '- ' || tier || ' ' || lifecycle || ': ' || count(*) || ' (' || string_agg(rel_path, ', ' ORDER BY rel_path) FILTER (rn <= 3) || ')' AS line FROM k GROUP BY tier, lifecycle),
+    c AS (SELECT tier, lifecycle, CASE WHEN length(line) > 60 THEN substr(line, 1, 59) || '…' ELSE line END AS line FROM g), s AS (SELECT line, sum((length(line) + 3) // 4) OVER (ORDER BY tier, lifecycle) AS running FROM c)
+    SELECT line, CAST(running AS BIGINT) AS running FROM s WHERE running <= {MAP_TOKENS // 2}""")
+
+
+def _merged(s, d):
+    """Suppliers merged into the next one: their edges move, their names become aliases, and each merge is noted."""
+    pairs = X.read(s, d, "supplier").where("s_suppkey % 10 = 3").selectExpr("concat('S', s_suppkey) as loser", "concat('S', s_suppkey + 1) as winner", "lower(s_name) as name")
+    nodes = X.nodes(s, d).where("entity_type = 'supplier'").select(F.col("node_id").alias("winner"))
+    pairs = pairs.join(nodes, "winner", "left_semi")
+    edges = X.edges(s, d).select("edge_id", "src_id", "dst_id")
+    a = pairs.select(F.col("loser").alias("src_id"), F.col("winner").alias("new_src"))
+    b = pairs.select(F.col("loser").alias("dst_id"), F.col("winner").alias("new_dst"))
+    moved = edges.join(a, "src_id", "left").join(b, "dst_id", "left").where("new_src is not null or new_dst is not null")
+    out = moved.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.concat_ws(">", F.coalesce("new_src", "src_id"), F.coalesce("new_dst", "dst_id")).alias("value"))
+    out = out.unionByName(pairs.select(F.lit("alias").alias("kind"), F.col("name").alias("id"), F.col("winner").alias("value")))
+    return out.unionByName(pairs.select(F.lit("audit").alias("kind"), F.col("loser").alias("id"), F.concat(F.lit("merged into "), "winner").alias("value")))
+
+
+add("q14_merge_nodes", _merged, f"""WITH {X.NODES}, {X.EDGES}, p AS (SELECT 'S' || s_suppkey AS loser, 'S' || (s_suppkey + 1) AS winner, lower(s_name) AS name FROM supplier WHERE s_suppkey % 10 = 3 AND 'S' || (s_suppkey + 1) IN (SELECT node_id FROM nodes WHERE entity_type = 'supplier')),
+    m AS (SELECT edge_id, coalesce(a.winner, src_id) || '>' || coalesce(b.winner, dst_id) AS value FROM edges LEFT JOIN p a ON a.loser = src_id LEFT JOIN p b ON b.loser = dst_id WHERE a.winner IS NOT NULL OR b.winner IS NOT NULL)
+    SELECT 'edge' AS kind, edge_id AS id, value FROM m UNION ALL SELECT 'alias', name, winner FROM p UNION ALL SELECT 'audit', loser, 'merged into ' || winner FROM p""")
