@@ -45,13 +45,29 @@ SPACE_THEN_SPACE = re.compile(r"\s ")
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+class KnownChunks(dict):
+    """Ids of chunks as bytes; what isn't known is encoded, and remembered if it is short. Emptied when it has CACHE_CHUNKS chunks."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = np.array(self.ids(chunk), "<u4").tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = out
+        return out
+
+
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer, as little-endian uint32 bytes.
 
     The tokenizer never joins characters across the place before a space that
     follows a non-space character. Texts are cut there, equal chunks are
     encoded once and remembered, and the ids of a text are its chunks' ids in
-    a row. The memory is emptied when it has CACHE_CHUNKS chunks.
+    a row.
 
     Where each token's id is its rank among the merges (checked on loading),
     chunks go through tiktoken with the same vocabulary, which gives the same
@@ -70,7 +86,7 @@ class ChunkEncoder:
             self.ids = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
             self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.known = KnownChunks(self.ids)
 
     @staticmethod
     def ranks(spec: dict) -> dict[bytes, int] | None:
@@ -103,28 +119,14 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        ids_of = self.known.__getitem__
+        out = []
         for text in texts:
-            if not SPACE_THEN_SPACE.search(text):
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + x for x in rest]])
+            if SPACE_THEN_SPACE.search(text):
+                chunks = self.chunks(text)
             else:
-                split.append(self.chunks(text))
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        once: dict[str, bytes] = {}
-        ids = self.ids
-        for chunks in split:
-            for c in chunks:
-                if c not in known and c not in once:
-                    (known if len(c) <= CACHE_CHARS else once)[c] = np.array(ids(c), "<u4").tobytes()
-        out = []
-        for chunks in split:
-            try:
-                out.append(b"".join([known[c] for c in chunks]))
-            except KeyError:
-                out.append(b"".join([known[c] if c in known else once[c] for c in chunks]))
+                chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.chunks(text)
+            out.append(b"".join(map(ids_of, chunks)))
         return out
 
 
