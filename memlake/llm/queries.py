@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
+from .clustering import cluster_vectors
 from .embedding_dedup import embedding_near_duplicates
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .language_id import address_suffix, fit_text_model, identify, page_declared, page_text
 from .lm_score import score
 from .mixing import mix
@@ -214,5 +217,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_documents.unionByName(of_pages)
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_lm_score": op2_lm_score, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _round(n: int) -> str:
+    """SQL of the assignment to the centroids c{n} and of the centroids c{n + 1} after it."""
+    return f"""
+a{n} AS (SELECT vec_id, v.c, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM (
+  SELECT vec_id, v.c, k, list_sum(list_transform(list_zip(v.c, cen.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{n} AS cen) AS v GROUP BY ALL),
+m{n} AS (SELECT k, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM a{n}) GROUP BY k, i) GROUP BY k),
+c{n + 1} AS (SELECT c{n}.k, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (k))"""
+
+
+#: Every distance of every round, by its definition; vec_id is unique in the given table.
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) AS INT) - 1 AS k, c FROM v QUALIFY k < 16),
+{",".join(_round(n) for n in range(3))},
+last AS (SELECT vec_id, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM (
+  SELECT vec_id, k, list_sum(list_transform(list_zip(v.c, cen.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c3 AS cen) GROUP BY ALL)
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM last JOIN c3 USING (k)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return hard_negatives(vectors, F.expr("vec_id % 100 = 0"))
+
+
+#: Every score of every anchor.
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS y FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.y, b.y) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_lm_score": op2_lm_score, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_near_dedup": op5_near_dedup, "op6_sharding": op6_sharding, "op7_packing": op7_packing, "op8_embedding_dedup": op8_embedding_dedup, "op9_url_filter": op9_url_filter, "op10_language_id": op10_language_id, "op11_centroid_clustering": op11_centroid_clustering, "op12_hard_negatives": op12_hard_negatives, "op13_bpe": op13_bpe}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op12_hard_negatives": OP12_SQL}
