@@ -1,17 +1,18 @@
 """Byte-level BPE over a whole corpus by replaying merges on its distinct words.
 
 A word is a match of the splitting pattern. Texts become sequences of word
-numbers slice by slice, and each slice asks for its distinct words once. The
-distinct words of the corpus are dealt into blocks; a block lays its words'
-bytes out in a row, keeps for every pair of neighbouring tokens that some rank
-joins the positions where it stands, and replays the merges in rank order: all
-positions of a rank at once, and only the pairs at their left and right are
-looked up again. Words that the vocabulary has whole are one token, as in the
-usual encoders.
-
-Ids go back to the slices by word, a row for each slice and distinct word, so
-a word that stands in a third of all places is one row a slice. A slice puts
-the ids in the order of its texts and decodes them.
+numbers slice by slice, and each slice asks every shard of the words once for
+its distinct words, as one compressed row. A shard has all slices' words that
+hash to it. It lays the bytes of its distinct words out in a row, keeps for
+every pair of neighbouring tokens that some rank joins the positions where it
+stands, and replays the merges in rank order: all positions of a rank at once,
+and only the pairs at their left and right are looked up again. Words that the
+vocabulary has whole are one token, as in the usual encoders.
+
+A shard answers each slice in the order of its question, so a word that stands
+in a third of all places is asked once a slice. A slice puts the ids in the
+order of its texts and decodes them. Sequences lie in a table bucketed by
+slice, so answers come to them and they aren't shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,13 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, written
+from memlake.sources.scratch import shared_dir
+
+from .common import BATCH_BYTES, BATCH_CONF, shuffle_parts
 from .slices import release, squeeze, unsqueeze
 
-#: Bytes of text from which on a slice is closed; a longer text is the last of its slice.
-SLICE_BYTES = 4 << 20
-#: Bytes of words from which on a block is closed; a longer word is the last of its block.
-BLOCK_BYTES = 4 << 20
+#: Characters of text from which on a slice is closed; a longer text is the last of its slice.
+SLICE_CHARS = 16 << 20
+#: Bytes of all texts for each shard of the words.
+SHARD_TEXT = 32 << 20
 
 
 class Vocabulary:
@@ -173,11 +178,30 @@ class Numbers(dict):
         return out
 
 
-PARTS = "slice long, ids array<long>, sizes array<long>, places binary, nth int, word string"
+PARTS = "slice long, shard int, ids array<long>, sizes array<long>, places binary, lengths binary, words binary"
+KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+ANSWER = "slice long, shard int, lengths binary, tokens binary"
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df written to the shared folder in buckets by ``column`` and read from there, so that what needs the rows of a value together finds them so.
+
+    Only a table can be read by buckets; its entry goes at once, its files stay.
+    """
+    spark = df.sparkSession
+    key = f"memlake_{name}_{uuid.uuid4().hex}"
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    df.write.bucketBy(shuffle_parts(spark), column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/memlake/{key}").saveAsTable(key)
+    out = spark.table(key)
+    spark.sql(f"DROP TABLE {key}")
+    return out
+
 
+def split_texts(docs: DataFrame, pattern: str, shards: int, id_col: str, text_col: str, most: int = SLICE_CHARS) -> DataFrame:
+    """Rows PARTS: slices of whole texts as word numbers (``ids, sizes, places``), and their distinct words by shard (``shard, lengths, words``).
 
-def split_texts(docs: DataFrame, pattern: str, id_col: str, text_col: str, most: int = SLICE_BYTES) -> DataFrame:
-    """Slices of whole texts as word numbers (``ids, sizes, places``), and their distinct words (``nth, word``) as rows of their own; written."""
+    A slice numbers its words shard by shard, so its answers in the order of shards are in the order of numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -186,17 +210,19 @@ def split_texts(docs: DataFrame, pattern: str, id_col: str, text_col: str, most:
         find = regex.compile(pattern).findall
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, sizes, places, numbers = [], [], [], Numbers()
-        names = ["slice", "ids", "sizes", "places", "nth", "word"]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.string()]
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            blob = squeeze(np.concatenate(places))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([number], [ids], [sizes], [blob], [None], [None]), kinds, strict=True)], names=names)
-            words = list(numbers)
-            for at in range(0, len(words), 10_000):
-                some = words[at : at + 10_000]
-                none = [None] * len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([number] * len(some), none, none, none, range(at, at + len(some)), some), kinds, strict=True)], names=names)
+
+        def closed() -> pa.RecordBatch:
+            words = [w.encode() for w in numbers]
+            shard = np.array([zlib.crc32(w) % shards for w in words], np.int64)
+            order = np.argsort(shard, kind="stable")
+            renumbered = np.empty(len(words), np.uint32)
+            renumbered[order] = np.arange(len(words), dtype=np.uint32)
+            rows = [(number, None, ids, sizes, squeeze(renumbered[np.concatenate(places)]), None, None)]
+            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in np.unique(shard).tolist():
+                own = [words[i] for i in order[ends[k] : ends[k + 1]].tolist()]
+                rows.append((number, k, None, None, None, squeeze(np.array([len(w) for w in own], np.uint32)), zstandard.ZstdCompressor(3).compress(b"".join(own))))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=["slice", "shard", "ids", "sizes", "places", "lengths", "words"])
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -205,44 +231,43 @@ def split_texts(docs: DataFrame, pattern: str, id_col: str, text_col: str, most:
                 ids.append(i.as_py()), sizes.append(len(found)), places.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 size += len(text)
                 if size >= most:
-                    yield from closed()
+                    yield closed()
                     number, size, ids, sizes, places, numbers = number + 1, 0, [], [], [], Numbers()
         if ids:
-            yield from closed()
+            yield closed()
         release()
 
-    return written(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, PARTS), "bpe-slices")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, PARTS)
 
 
-def encoded_words(words: DataFrame, path: str, most: int = BLOCK_BYTES) -> DataFrame:
-    """``word, ids`` of distinct words, block by block of a partition; ids are little-endian unsigned 32-bit."""
+def answered(questions: DataFrame, path: str) -> DataFrame:
+    """Rows ANSWER: the ids of the words of each question, shard by shard over all slices."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(key, table: pa.Table) -> pa.Table:
         known = vocabulary(path)
-        held: list[bytes] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            ids = [x.astype("<u4").tobytes() for x in replay(held, known)]
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                held.append(word.encode())
-                size += len(held[-1])
-                if size >= most:
-                    yield block()
-                    held, size = [], 0
-        if held:
-            yield block()
+        number: dict[bytes, int] = {}
+        asked: list[np.ndarray] = []
+        for lengths, blob in zip(table.column("lengths").to_pylist(), table.column("words").to_pylist(), strict=True):
+            raw, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(unsqueeze(lengths, np.uint32), dtype=np.int64).tolist()
+            asked.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+        ids = replay(list(number), known)
+        size = np.array([len(x) for x in ids], np.int64)
+        flat, start = np.concatenate(ids).astype(np.uint32), np.cumsum(size) - size
+        out = []
+        for words in asked:
+            n = size[words]
+            at = np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((squeeze(n.astype(np.uint32)), squeeze(flat[at])))
+        release()
+        return pa.table({"slice": table.column("slice"), "shard": table.column("shard"), "lengths": pa.array([x for x, _ in out], pa.binary()), "tokens": pa.array([x for _, x in out], pa.binary())})
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return questions.groupBy("shard").applyInArrow(lambda key, table: answer(key, table), ANSWER)
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, slice_chars: int = SLICE_CHARS, shard_text: int = SHARD_TEXT) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every whole text.
 
     ``path`` is a file of ranks (a base64 token and its rank a line) that has
@@ -256,31 +281,39 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     Null and empty texts have no tokens. Rows that repeat an id or have none
     are texts of their own; an empty table gives no rows; other columns are
     not looked at. A text is never cut, however long.
+
+    ``slice_chars`` and ``shard_text`` bound what a task holds; the rows between
+    stages are slices times shards, so raise both with the corpus.
     """
-    parts = split_texts(docs, pattern, id_col, text_col, slice_bytes)
-    asked = parts.where("word is not null").select("slice", "nth", "word")
-    ids = keyed_join(asked, encoded_words(asked.select("word").distinct(), path), ["word"], "inner", "bpe-words").select(F.col("slice").alias("of"), "nth", "ids")
-    texts = parts.where("word is null").select("slice", F.col("ids").alias("docs"), "sizes", "places")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    parts = bucketed(split_texts(docs, pattern, max(1, -(-size // shard_text)), id_col, text_col, slice_chars), "bpe", "slice")
+    answers = answered(parts.where("shard is not null").select("slice", "shard", "lengths", "words"), path)
+    texts = parts.where("shard is null").select("slice", F.col("ids").alias("docs"), "sizes", "places")
 
-    def put(_key, slices: pa.Table, words: pa.Table) -> pa.Table:
+    def put(_key, slices: pa.Table, found: pa.Table) -> pa.Table:
         known, pack = vocabulary(path), zstandard.ZstdCompressor(1).compress
-        words = words.sort_by("nth")
-        ids = [np.frombuffer(x, "<u4") for x in words.column("ids").to_pylist()]
-        shown = [b" ".join(b"%d" % i for i in x.tolist()) for x in ids]
-        decoded = [known.decode(x) for x in ids]
+        found = found.sort_by("shard")
+        ids, shown, decoded = [], [], []
+        for lengths, tokens in zip(found.column("lengths").to_pylist(), found.column("tokens").to_pylist(), strict=True):
+            flat, ends = unsqueeze(tokens, np.uint32), np.cumsum(unsqueeze(lengths, np.uint32), dtype=np.int64).tolist()
+            digits, raw = [b"%d" % i for i in flat.tolist()], [known.tokens[i] for i in flat.tolist()]
+            for start, end in zip([0, *ends], ends, strict=False):
+                ids.append(flat[start:end]), shown.append(b" ".join(digits[start:end])), decoded.append(b"".join(raw[start:end]))
+        size = np.array([len(x) for x in ids], np.int64)
         out: list[tuple] = []
         for row in slices.to_pylist():
-            places, at = unsqueeze(row["places"], np.uint32).tolist(), 0
-            for doc, size in zip(row["docs"], row["sizes"], strict=True):
-                own = places[at : at + size]
-                at += size
-                n = sum([len(ids[k]) for k in own])
-                blob = pack(b"".join([ids[k].tobytes() for k in own])) if with_ids else None
-                out.append((doc, n, hashlib.sha256(b" ".join([shown[k] for k in own])).hexdigest(), hashlib.sha256(b"".join([decoded[k] for k in own])).hexdigest(), blob))
+            places, at = unsqueeze(row["places"], np.uint32), 0
+            for doc, words in zip(row["docs"], row["sizes"], strict=True):
+                own = places[at : at + words]
+                at += words
+                each = own.tolist()
+                blob = pack(b"".join([ids[k].tobytes() for k in each])) if with_ids else None
+                out.append((doc, int(size[own].sum()), hashlib.sha256(b" ".join([shown[k] for k in each])).hexdigest(), hashlib.sha256(b"".join([decoded[k] for k in each])).hexdigest(), blob))
+        release()
         names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
-    return texts.groupBy("slice").cogroup(ids.groupBy("of")).applyInArrow(lambda key, a, b: put(key, a, b), ENCODED)
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda key, a, b: put(key, a, b), ENCODED)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

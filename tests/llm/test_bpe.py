@@ -92,14 +92,14 @@ def expected(plain, text):
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("slice_bytes", [1, 3000, 4 << 20])
-def test_documents(spark, plain, slice_bytes):
+@pytest.mark.parametrize("slice_chars,shard_text", [(1, 1 << 12), (3000, 1 << 14), (4 << 20, 4 << 20)])
+def test_documents(spark, plain, slice_chars, shard_text):
     """Nulls, empty, repeated and very long texts, special-looking strings, repeated and null ids, clashing columns."""
     rng = random.Random(1)
     texts = [None, "", " ", "a <|endoftext|> b", "  two  spaces\n\nlines\t", "naïve café 日本語 🙂", "don't we'll I'M", "x" * 30_000, " ".join(str(rng.random()) for _ in range(3000)), "same", "same"]
     rows = [(i, t, "own", 7, "z") for i, t in enumerate(texts)] + [(3, "again", "own", 7, "z"), (None, "no id", "own", 7, "z")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = bpe_encode(docs, PATH, T.PATTERN, slice_bytes=slice_bytes)
+    out = bpe_encode(docs, PATH, T.PATTERN, slice_chars=slice_chars, shard_text=shard_text)
     got = sorted(((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()))
     assert got == sorted((str(i), *expected(plain, t)) for i, t, *_ in rows)
     for r in out.where("doc_id = 5").collect():
