@@ -1,80 +1,16 @@
-"""The import graph from source text: parsed modules, resolved imports, the index after a pass."""
+"""The import graph: resolved imports, the index after a pass."""
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
 
-IMPORTS = "path string, module string, level int, names array<string>, deferred boolean, entry boolean, error string"
-SPECIFIERS = "path string, specifier string"
 # Endings that a specifier without one is tried with, in order.
 TRIED_ENDS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".d.ts"]
 
 
-def _python(path: str, source: str) -> list[tuple]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError) as e:
-        return [(path, None, None, None, None, False, str(e)[:200])]
-    top = set(map(id, tree.body))
-    guards = [n.test for n in tree.body if isinstance(n, ast.If)]
-    entry = any(ast.dump(g) == ast.dump(ast.parse('__name__ == "__main__"', mode="eval").body) for g in guards)
-    rows = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            rows += [(path, a.name, 0, [], id(node) not in top, entry, None) for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            rows.append((path, node.module or "", node.level or 0, [a.name for a in node.names], id(node) not in top, entry, None))
-    return rows or [(path, None, None, None, None, entry, None)]
-
-
-def python_imports(files: DataFrame) -> DataFrame:
-    """Rows IMPORTS of Python files (path, source): every import, also within functions; one row without a module for a file that has none or can't be read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for p, s in zip(batch["path"], batch["source"], strict=True) for r in _python(p, s or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORTS.split(", ")])
-
-    return files.select("path", "source").mapInPandas(run, IMPORTS)
-
-
-#: One pass over a script: comments, template and plain strings are tokens of their own, so that nothing within them counts.
-_SCRIPT = re.compile(r"""//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|(?P<word>\b(?:import|export|from|require)\b)|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<open>\()|(?P<other>[^\s])""", re.S)
-
-
-def _script(source: str) -> list[str]:
-    """Specifiers of import, export ... from, import() and require() of a script."""
-    found, before = [], ["", ""]
-    for m in _SCRIPT.finditer(source):
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        if kind == "text":
-            called = before[-1] == "(" and before[-2] in ("import", "require")
-            if called or before[-1] in ("import", "from"):
-                found.append(m.group()[1:-1])
-        before = [before[-1], m.group() if kind in ("word", "open") else ""]
-    return list(dict.fromkeys(found))
-
-
-def script_imports(files: DataFrame) -> DataFrame:
-    """Rows SPECIFIERS of scripts (path, source)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(p, x) for p, s in zip(batch["path"], batch["source"], strict=True) for x in _script(s or "")], columns=["path", "specifier"])
-
-    return files.select("path", "source").mapInPandas(run, SPECIFIERS)
-
-
 def resolved_python(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``path, target, target_path``: each import as absolute names, and the file of that module if there is one.
 
@@ -149,11 +85,3 @@ def applied_edges(edges: DataFrame, plan: DataFrame, emitted: DataFrame) -> Data
     fresh = emitted.join(plan.where("action in ('refresh', 'index')").select(F.col("path").alias("src_path")), "src_path", "left_semi").select("src_path", "dst").distinct()
     both = kept.join(fresh.withColumn("fresh", F.lit(True)), ["src_path", "dst"], "full_outer")
     return both.select("src_path", "dst", (F.coalesce("valid", F.lit(False)) | F.coalesce("fresh", F.lit(False))).alias("valid")).groupBy("src_path", "dst").agg(F.bool_or("valid").alias("valid"))
-
-
-def script_entries(manifests: DataFrame) -> DataFrame:
-    """``path``: script files that manifests (folder, json) name anywhere under main, module, browser, bin, exports, types or scripts."""
-    named = F.regexp_extract_all("json", F.lit(r'"([^"\s]+\.(?:ts|tsx|js|jsx|mjs|cjs))"'), F.lit(1))
-    rows = manifests.select("folder", F.explode(F.array_distinct(named)).alias("p"))
-    plain = F.regexp_replace("p", r"^[./]+", "")
-    return rows.select(F.when(F.col("folder") == "", plain).otherwise(F.concat_ws("/", "folder", plain)).alias("path")).distinct()

@@ -10,6 +10,7 @@ from memlake.functions import text as T
 from memlake.operators import graph as G
 from memlake.operators import ledger as L
 from memlake.operators import modules as M
+from memlake.operators import nested as N
 from memlake.operators import saving as SV
 from memlake.operators import store as O
 from memlake.plans.graph import CODE
@@ -50,7 +51,7 @@ def _front(s, d):
 
 add("t18_frontmatter", _front, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Archived' ELSE 'fulfilled' END AS its_status, 'Plan' AS its_type, 't' || (page_id % 5) AS its_tier FROM pages WHERE page_id % 3 = 0")
 add("a09_checkbox_state", lambda s, d: X.markdown(s, d).select("page_id", L.checkboxes(F.col("text")).alias("b")).where("b is not null").select("page_id", "b.checked", "b.total", "b.ratio"),
-    "SELECT page_id, CAST(page_id % 4 AS INT) AS checked, CAST(page_id % 4 + page_id % 3 AS INT) AS total, round((page_id % 4) / CAST(page_id % 4 + page_id % 3 AS DOUBLE), 3) AS ratio FROM pages WHERE page_id % 4 + page_id % 3 > 0")
+    "WITH b AS (SELECT page_id, page_id % 4 + CAST(page_id % 5 = 0 AS INT) AS x, page_id % 3 AS o FROM pages) SELECT page_id, CAST(x AS INT) AS checked, CAST(x + o AS INT) AS total, round(x / CAST(x + o AS DOUBLE), 3) AS ratio FROM b WHERE x + o > 0")
 
 
 def _overridden(s, d):
@@ -93,6 +94,7 @@ def _note_lines(s, d):
 add("s13_importable_lines", _note_lines, """WITH p AS (SELECT page_id AS doc, page_id % 3 = 0 AS f, array_to_string(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h: '[x](' || h || '.md)'), ' ') AS links FROM pages),
     l AS (SELECT doc, CASE WHEN f THEN 5 ELSE 0 END AS n, links AS line FROM p UNION ALL SELECT doc, CASE WHEN f THEN 9 ELSE 4 END, '`src/p' || (doc % 7) || '.py` and src/p' || (doc % 5) || '.py::run (#' || (doc % 50) || ')' FROM p
       UNION ALL SELECT doc, 1, 'status: ' || CASE WHEN doc % 2 = 0 THEN 'Archived' ELSE '"fulfilled"' END FROM p WHERE f UNION ALL SELECT doc, 2, 'type: Plan' FROM p WHERE f UNION ALL SELECT doc, 3, 'tier: t' || (doc % 5) FROM p WHERE f
+      UNION ALL SELECT doc, CASE WHEN f THEN 10 ELSE 5 END + doc % 4 + doc % 3, '-[X] tight' FROM p WHERE doc % 5 = 0 UNION ALL SELECT doc, CASE WHEN f THEN 11 ELSE 6 END + doc % 4 + doc % 3, '[x] plus' FROM p WHERE doc % 5 = 0
       UNION ALL SELECT doc, CASE WHEN f THEN 10 ELSE 5 END + unnest(range(0, doc % 4)), '[x] done' FROM p UNION ALL SELECT doc, CASE WHEN f THEN 10 ELSE 5 END + doc % 4 + unnest(range(0, doc % 3)), '[ ] open' FROM p)
     SELECT doc, CAST(n AS INT) AS n, trim(line) AS line FROM l WHERE length(trim(line)) >= 8""")
 
@@ -137,13 +139,20 @@ _ENTRIES_SQL = "CASE p_partkey % 6 WHEN 0 THEN 'app/' WHEN 1 THEN 'src/e2e/' WHE
 add("t37_entry_files", lambda s, d: X.read(s, d, "part").select("p_partkey", R.is_entry_file(F.expr(ENTRIES)).alias("entry")), "SELECT p_partkey, p_size % 7 IN (1, 2, 3) OR p_partkey % 6 IN (1, 3) OR (p_size % 7 = 0 AND p_partkey % 6 = 0) AS entry FROM part")
 
 
-def _declared(s, d):
-    """Manifests of brands that name some of their parts' scripts."""
-    m = X.read(s, d, "part").groupBy(F.col("p_brand").alias("folder")).agg(F.concat(F.lit('{"bin": {'), F.array_join(F.collect_list(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"c": "./bin/'), "p_partkey", F.lit('.js"')))), ","), F.lit('}, "name": "x"}')).alias("json"))
-    return M.script_entries(m)
+_MANIFEST = """concat('{"name": "p', p_partkey, '.js", "main": "./lib/', p_partkey, '.mjs", "exports": {"./key', p_partkey, '.js": {"import": "./dist/', p_partkey, '.js", "require": [null, {"deep": ', repeat('[', cast(p_size % 5 as int)), '"./c/', p_partkey, '.cjs"', repeat(']', cast(p_size % 5 as int)), '}]}},
+    "scripts": {"go": "tsx ./run/', p_partkey, '.ts && echo x.md", "n": 1}, "n": ', p_size, ', "t": true, "e": {}', case when p_partkey % 10 = 0 then '' else '}' end)"""
 
 
-add("t38_declared_entries", _declared, "SELECT p_brand || '/bin/' || p_partkey || '.js' AS path FROM part WHERE p_partkey % 3 = 0")
+def _manifests(s, d):
+    """A manifest for each part, nested to a depth that its size sets; every tenth can't be read."""
+    return X.read(s, d, "part").selectExpr("p_partkey", "p_brand as folder", f"{_MANIFEST} as json")
+
+
+_MANIFEST_SQL = "manifests AS (SELECT p_partkey, p_brand AS folder, " + _MANIFEST.replace("cast(p_size % 5 as int)", "p_size % 5").replace("concat(", "concat(") + " AS json FROM part)"
+add("t38_declared_entries", lambda s, d: N.script_entries(_manifests(s, d)), "SELECT p_brand || '/' || unnest(['lib/' || p_partkey || '.mjs', 'dist/' || p_partkey || '.js', 'c/' || p_partkey || '.cjs', 'run/' || p_partkey || '.ts']) AS path FROM part WHERE p_partkey % 10 <> 0")
+add("x08_json_leaves", lambda s, d: N.leaves(_manifests(s, d), "p_partkey", "json").select(F.col("id").alias("p_partkey"), "path", "value"),
+    f"""WITH {_MANIFEST_SQL}, t AS (SELECT p_partkey, unnest(j) AS l FROM (SELECT p_partkey, list((fullkey, atom, type)) AS j FROM manifests, json_tree(json) WHERE p_partkey % 10 <> 0 GROUP BY p_partkey))
+    SELECT p_partkey, replace(l[1], '"', '') AS path, CASE WHEN l[3] = 'NULL' THEN NULL ELSE json_extract_string(l[2], '$') END AS value FROM t WHERE l[3] NOT IN ('OBJECT', 'ARRAY')""")
 
 
 def _specifiers(s, d):

@@ -238,7 +238,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     head = "case when page_id % 3 = 0 then concat('---\\nstatus: ', case when page_id % 2 = 0 then 'Archived' else '\"fulfilled\"' end, '\\ntype: Plan\\ntier: t', page_id % 5, '\\n---\\n') else '' end"
     links = "array_join(transform(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), h -> concat('[x](', h, '.md)')), ' ')"
-    tail = "concat('\\n```\\n[no](hidden.md)\\n```\\n`src/p', page_id % 7, '.py` and src/p', page_id % 5, '.py::run (#', page_id % 50, ')\\n', repeat('- [x] done\\n', cast(page_id % 4 as int)), repeat('* [ ] open\\n', cast(page_id % 3 as int)))"
+    tail = "concat('\\n```\\n[no](hidden.md)\\n```\\n`src/p', page_id % 7, '.py` and src/p', page_id % 5, '.py::run (#', page_id % 50, ')\\n', repeat('- [x] done\\n', cast(page_id % 4 as int)), repeat('* [ ] open\\n', cast(page_id % 3 as int)), case when page_id % 5 = 0 then '-[X] tight\\n+ [x] plus\\n' else '' end)"
     return p.selectExpr("page_id", "concat('docs/p', page_id, '.md') as rel_path", f"concat({head}, {links}, {tail}) as text")
 
 

@@ -1,49 +1,15 @@
-"""What runs beside the store: a result cache with a life span, and a writer that retries and keeps what it drops."""
+"""What runs beside the store: a writer that retries and keeps what it drops, and what is due when."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIFE_S = 3600.0
 ATTEMPTS, DROPPED_MOST = 2, 100
 
 
-def cache_key(query: str, top_k: int, types: list[str] | None) -> str:
-    said = json.dumps([query, top_k, None if types is None else sorted(types)])
-    return hashlib.blake2b(said.encode(), digest_size=16).hexdigest()
-
-
-class ResultCache:
-    """Results by tenant and key, persisted, for a life span. A change of a tenant's rows, or of those without a tenant, forgets what could show them."""
-
-    def __init__(self, life: float = LIFE_S, clock: Callable[[], float] = time.monotonic):
-        self.life, self.clock = life, clock
-        self.kept: dict[tuple[str | None, str], tuple[float, DataFrame]] = {}
-
-    def get(self, tenant: str | None, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-        found = self.kept.get((tenant, key))
-        if found is not None and self.clock() - found[0] < self.life:
-            return found[1]
-        if found is not None:
-            found[1].unpersist()
-        result = make().persist()
-        self.kept[tenant, key] = (self.clock(), result)
-        return result
-
-    def invalidate(self, tenant: str | None) -> int:
-        """Forgets a tenant's results and those across tenants; without a tenant all."""
-        gone = [k for k in self.kept if tenant is None or k[0] in (tenant, None)]
-        for k in gone:
-            self.kept.pop(k)[1].unpersist()
-        return len(gone)
-
-
 def retrying(write: Callable[[DataFrame, int], None], dropped: Callable[[DataFrame, int, str], None], attempts: int = ATTEMPTS, most: int = DROPPED_MOST) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: a batch is written, tried again on an error, and at last given to ``dropped`` (its first rows, with the error), so the stream goes on."""
 

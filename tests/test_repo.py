@@ -1,93 +1,75 @@
-import subprocess
+import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
 from memlake.operators import graph as G
 from memlake.operators import ledger as L
 from memlake.operators import modules as M
-from memlake.sources import repo as S
+from memlake.operators import nested as N
+from memlake.sources import synthetic as S
 from memlake.streaming import service as V
 
 
-@pytest.fixture
-def tree(tmp_path):
-    files = {
-        "README.md": "# x",
-        ".github/a.md": "y",
-        ".hidden/b.md": "n",
-        "node_modules/c.md": "n",
-        "docs/old/d.md": "z",
-        "pkg/__init__.py": "from . import a\nfrom .b import f\n",
-        "pkg/a.py": "import os, pkg.b\n\ndef g():\n    from pkg import missing\n\nif __name__ == '__main__':\n    g()\n",
-        "pkg/b.py": "def f(:\n",
-        "web/app.ts": "import x from './lib/x'; // import 'no'\nconst y = require(\"../web/y\"); export * from '@/z'; import('react'); const s = `import 'no'`;",
-        "web/lib/x/index.tsx": "",
-        "web/y.js": "",
-        "src/z.mjs": "",
-        "web/t.d.ts": "",
-        "package.json": '{"scripts": {"build": "x"}, "dependencies": {"react": "1"}, "bin": "./bin/run.js"}',
-        "pyproject.toml": '[project]\ndependencies = ["Num_Py>=1"]\n[project.scripts]\nrun = "pkg.a:main"\n',
-    }
-    for name, text in files.items():
-        path = tmp_path / name
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text)
-    return tmp_path
-
-
-def test_trees(spark, tree):
-    assert {r.path for r in S.markdown_files(spark, str(tree), ["docs/old/**"]).collect()} == {"README.md", ".github/a.md"}
-    sources = S.source_files(spark, str(tree))
-    assert "web/t.d.ts" not in {r.path for r in sources.collect()} and sources.count() == 7
-    facts = [(r.category, r.value) for r in S.manifest_facts(spark, str(tree)).orderBy("pos").collect()]
-    assert facts == [("language", "javascript"), ("dependency", "react"), ("script", "build"), ("language", "python"), ("dependency", "num-py"), ("entry", "pkg.a")]
-
-
-def test_imports(spark, tree):
-    files = S.source_files(spark, str(tree))
-    python = M.python_imports(files.where("path like '%.py'"))
+def test_imports(spark):
+    files = spark.createDataFrame([(p,) for p in ("pkg/__init__.py", "pkg/a.py", "pkg/b.py", "web/lib/x/index.tsx", "web/y.js", "src/z.mjs")], "path string")
+    rows = [("pkg/__init__.py", "", 1, ["a"]), ("pkg/__init__.py", "b", 1, ["f"]), ("pkg/a.py", "os", 0, []), ("pkg/a.py", "pkg.b", 0, []), ("pkg/a.py", "pkg", 0, ["missing"]), ("pkg/b.py", None, None, None)]
+    python = spark.createDataFrame(rows, "path string, module string, level int, names array<string>")
     got = {(r.path, r.target, r.target_path) for r in M.resolved_python(python, files).collect()}
     assert got == {("pkg/__init__.py", "pkg.a", "pkg/a.py"), ("pkg/__init__.py", "pkg.b", "pkg/b.py"), ("pkg/a.py", "os", None), ("pkg/a.py", "pkg.b", "pkg/b.py"), ("pkg/a.py", "pkg", "pkg/__init__.py")}
-    rows = python.collect()
-    assert any(r.path == "pkg/b.py" and r.error for r in rows) and all(r.entry for r in rows if r.path == "pkg/a.py") and sum(bool(r.deferred) for r in rows) == 1
-    scripts = M.script_imports(files.where("path like '%.ts'"))
+    scripts = spark.createDataFrame([("web/app.ts", x) for x in ("./lib/x", "../web/y", "@/z", "react")], "path string, specifier string")
     found = {r.specifier: r.target_path for r in M.resolved_scripts(scripts, files, {"@/*": ["web/*", "src/*"]}).collect()}
     assert found == {"./lib/x": "web/lib/x/index.tsx", "../web/y": "web/y.js", "@/z": "src/z.mjs", "react": None}
 
 
-def test_git(spark, tree):
-    def git(*args):
-        subprocess.run(["git", "-C", str(tree), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True)
-
-    git("init", "-q")
-    git("add", "README.md")
-    git("commit", "-qm", "first | fixes #12")
-    first = subprocess.run(["git", "-C", str(tree), "rev-parse", "HEAD"], capture_output=True, text=True).stdout.strip()
-    (tree / "README.md").write_text("# y")
-    git("add", "docs/old/d.md")
-    git("commit", "-qam", "second")
-    commits = S.git_commits(spark, str(tree))
-    assert [(r.subject, r.files) for r in commits.orderBy(F.desc("ts"), F.desc("subject")).collect()] == [("second", ["README.md", "docs/old/d.md"]), ("first | fixes #12", ["README.md"])]
-    assert {(r.path, r.change) for r in S.git_changes(spark, str(tree), first).collect()} == {("README.md", "modified"), ("docs/old/d.md", "added")}
-    (tree / "README.md").unlink()
-    assert ("README.md", "removed") in {(r.path, r.change) for r in S.git_changes(spark, str(tree)).collect()}
-    refs = spark.createDataFrame([("a.md", 0, "1"), ("a.md", 1, "13")], "doc string, place int, issue string")
-    assert [tuple(r) for r in L.merge_evidence(refs, commits).collect()] == [("a.md", 2, 1)]
-    assert S.git_commits(spark, str(tree / "web")).count() == 2 and S.git_commits(spark, "/").count() == 0
-
-
-def test_policy_and_sections():
-    got = S.read_policy("exclude:\n  - 'a/**'\n# c\ntypes:\n  plan:\n    - docs/p*\n  adr: [x, y]\nunknown: 1\narchive_dir: old\n")
-    assert got == S.POLICY | {"exclude": ["a/**"], "types": {"plan": ["docs/p*"], "adr": ["x", "y"]}, "archive_dir": "old"}
-    with pytest.raises(ValueError):
-        S.read_policy("archive_dir: ../x")
-    text, did = S.put_section("hand\n", "body", "s", "t1")
-    assert did == "appended" and S.put_section(text, "body", "s", "t2") == (text, "unchanged")
-    new, did = S.put_section(text, "more", "s", "t2")
-    assert did == "replaced" and new.startswith("hand\n") and "more" in new and "body" not in new
-    assert S.put_section(new.replace("more", "edited"), "x", "s", "t")[1] == "conflict" and S.put_section("<!-- memlake:begin ?", "x", "s", "t")[1] == "conflict"
+REFS = [
+    ("[a](b/c.md) [d](<x y>) [e]() f](g.md) [h](https://i.org/j) [k](l.py#m) [n](mailto:o@p.md)", {("doc", "b/c.md"), ("url", "https://i.org/j"), ("file", "l.py")}),
+    ("`a/b` ``c.TOML`` `d e.py` `f::g` `no end h/i", {("file", "a/b"), ("file", "c.TOML")}),
+    ("x `a.md\nb.md` `c.md`", set()),
+    ("see src/a.py::run, .\\w\\b.ts::T() c::d e.toolong_x::f", {("symbol", "src/a.py::run"), ("file", "src/a.py"), ("symbol", "w/b.ts::T"), ("file", "w/b.ts")}),
+    ("#1 (#22) [#3](x) a#4 #5x #1234567 \n#6, #6", {("issue", "1"), ("issue", "22"), ("issue", "6")}),
+    ("~~~\n[a](b.md)\n~~~\n[c](d.md)\n```py\n#9 [e](f.md)", {("doc", "d.md")}),
+    ("[`src/x.go`](./docs//y.md)", {("file", "src/x.go"), ("doc", "docs/y.md")}),
+    ("", set()),
+]
+
+
+def test_refs(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(REFS)], "k int, t string").select("k", L.extract_refs(F.col("t")).alias("r")).collect()
+    assert {r.k: {tuple(x) for x in r.r} for r in rows} == {k: want for k, (_, want) in enumerate(REFS)}
+
+
+BOXES = [("-[x] a", (1, 1)), ("*[ ] a\n  - [X] b\n-   [x] c", (2, 3)), ("+ [x] a", None), ("1. [x] a", None), ("-[y] a\n- [ ]", (0, 1)), ("text - [x]", None)]
+
+
+def test_boxes(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(BOXES)], "k int, t string").select("k", L.checkboxes(F.col("t")).alias("b")).collect()
+    assert {r.k: r.b and (r.b.checked, r.b.total) for r in rows} == {k: want for k, (_, want) in enumerate(BOXES)}
+
+
+def walked(value, path="$", top=None):
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from walked(v, f"{path}.{k}", top or (k if path == "$" else None))
+    elif isinstance(value, list):
+        for k, v in enumerate(value):
+            yield from walked(v, f"{path}[{k}]", top)
+    else:
+        yield path, top, None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def test_json_leaves(spark):
+    texts = ['{"a": {"b": [1, "x.js", {"c": null, "d": true}]}, "k.js": {}}', "[]", "7", '[[["deep"]]]', "{broken", None, '{"x": "é\\n\\"q\\""}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    got = {(r.id, r.path, r.top, r.value) for r in N.leaves(df, "id", "j").collect()}
+    assert got == {(k, *x) for k, t in enumerate(texts) if t and t != "{broken" for x in walked(json.loads(t))}
+    assert N.leaves(df.limit(0), "id", "j").count() == 0
+
+
+def test_script_entries(spark):
+    manifests = [("", '{"main": "./a.js", "name": "b.js", "exports": {"./feature.js": "./dist/feature.js", ".": [{"x": ["../c.mjs"]}]}}'), ("w", '{"bin": {"r": "bin/run.cjs"}, "scripts": {"s": "tsx server/i.ts && y.py", "n.js": 1}, "scripts2": "z.js"}'), ("v", "[]")]
+    df = spark.createDataFrame(manifests, "folder string, json string")
+    assert {r.path for r in N.script_entries(df).collect()} == {"a.js", "dist/feature.js", "c.mjs", "w/bin/run.cjs", "w/server/i.ts"}
 
 
 def test_refs_and_frontmatter(spark):
@@ -111,22 +93,7 @@ def test_cycles(spark):
     assert [r.cycle for r in G.import_cycles(edges, 6, 2).collect()] == ["a>b", "a>c"]
 
 
-def test_cache_and_writer(spark):
-    clock = [0.0]
-    cache, made = V.ResultCache(10, lambda: clock[0]), []
-
-    def make():
-        made.append(1)
-        return spark.range(3)
-
-    key = V.cache_key("q", 8, ["b", "a"])
-    assert key == V.cache_key("q", 8, ["a", "b"]) != V.cache_key("q", 8, None)
-    for tenant in ("t", "t", None, "u"):
-        cache.get(tenant, key, make)
-    assert len(made) == 3 and cache.invalidate("t") == 2
-    clock[0] = 11
-    cache.get("u", key, make)
-    assert len(made) == 4 and cache.invalidate(None) == 1
+def test_writer(spark):
     calls, lost = [], []
 
     def write(batch, number):
