@@ -72,14 +72,18 @@ class ChunkEncoder:
     Where each token's id is its rank among the merges (checked on loading),
     chunks go through tiktoken with the same vocabulary, which gives the same
     ids for less time a call; any other tokenizer file encodes them itself.
+    A text that holds one of the file's added tokens is encoded whole by the
+    tokenizer, which gives them their own ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        ranks = self.ranks(json.loads(tokenizer.to_str()))
+        spec = json.loads(tokenizer.to_str())
+        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
+        ranks = self.ranks(spec)
         if ranks:
             import tiktoken
 
@@ -122,6 +126,9 @@ class ChunkEncoder:
         ids_of = self.known.__getitem__
         out = []
         for text in texts:
+            if self.added.search(text):
+                out.append(self.whole(text))
+                continue
             if SPACE_THEN_SPACE.search(text):
                 chunks = self.chunks(text)
             else:
