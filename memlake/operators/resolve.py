@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import unicode as U
-from memlake.operators.search import trigrams
+from memlake.operators.index import trigrams
 from memlake.sources.scratch import written
 
 SIMILAR = 0.90

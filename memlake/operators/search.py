@@ -1,21 +1,19 @@
 """Search over memories: a stemmed index with synonyms, substrings for short results, a scan at last, one composite score.
 
-The index is built once and kept as tables: postings by stem, the vocabulary
-with document frequencies, and two numbers. A query touches the vocabulary by
-prefix and then only its own stems' postings. All queries of a table are
-answered together.
+The index is kept (``operators.index``). A query looks its stems up in the
+dictionary by prefix and then reads only the buckets with their postings. All
+queries of a table are answered together.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring as S
 from memlake.functions import text as T
 from memlake.functions import unicode as U
+from memlake.operators.index import KeptIndex
 from memlake.operators.lexical import B, K1
 from memlake.sources.scratch import written
 
@@ -24,28 +22,10 @@ OVERSAMPLE, LEAST = 4, 32
 SCAN_ROWS = 1000
 
 
-@dataclass
-class Index:
-    """``postings``: term, id, tf, dl; ``vocabulary``: term, df; ``texts``: id, folded text; numbers of active documents and mean length."""
-
-    postings: DataFrame
-    vocabulary: DataFrame
-    texts: DataFrame
-    n: int
-    mean: float
-
-
-def build_index(notes: DataFrame, id_col: str, text: Column) -> Index:
-    """Index of the active notes, by the stems of their search tokens."""
-    rows = notes.where("status = 'active'").select(F.col(id_col).alias("id"), text.alias("text"))
-    texts = written(rows.select("id", F.coalesce(U.fold(F.col("text")), F.lit("")).alias("folded"), F.coalesce(U.search_tokens(F.col("text")), F.array().cast("array<string>")).alias("terms")), "search-texts")
-    each = texts.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("word")).groupBy("id", "dl", "word").agg(F.count("*").alias("n"))
-    stems = written(each.select("word").distinct().withColumn("term", U.stem(F.col("word"))), "search-stems")
-    postings = each.join(stems, "word").groupBy("term", "id", "dl").agg(F.sum("n").alias("tf"))
-    postings = written(postings.repartition("term").sortWithinPartitions("term"), "search-postings")
-    vocabulary = written(postings.groupBy("term").agg(F.count("*").alias("df")), "search-vocabulary")
-    n, mean = texts.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    return Index(postings, vocabulary, texts.select("id", "folded", "terms"), n, float(mean or 1.0))
+def build_index(notes: DataFrame, id_col: str, text: Column, path: str | None = None) -> KeptIndex:
+    """A kept index of the active notes."""
+    rows = notes.where("status = 'active'").select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    return KeptIndex(notes.sparkSession, path).apply(rows)
 
 
 def query_groups(queries: DataFrame) -> DataFrame:
@@ -54,9 +34,9 @@ def query_groups(queries: DataFrame) -> DataFrame:
     return tokens.select("query_id", "place", "token", F.explode(T.synonyms_of(F.col("token"))).alias("word"))
 
 
-def _part(index: Index, df: Column, tf: Column, dl: Column, mean: Column) -> Column:
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(index.n) - df + 0.5) / (df + 0.5)))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+def _part(index: KeptIndex, df: Column, tf: Column, dl: Column, mean: float) -> Column:
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(index.facts["n"]) - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -64,58 +44,44 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rn", rank).where(F.col("rn") <= max(OVERSAMPLE * k, LEAST)).select("query_id", "id", S.bm25_similarity(-F.col("bm25")).alias("similarity"))
 
 
-def stem_hits(index: Index, words: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, similarity``: the best by BM25 over words that begin with a query word's stem."""
-    stems = words.select("query_id", "word").distinct().withColumn("stem", U.stem(F.col("word"))).select("query_id", "stem").distinct()
-    asked = stems.select("stem").distinct()
-    match = (F.substring("term", 1, 1) == F.substring("stem", 1, 1)) & F.col("term").startswith(F.col("stem"))
-    terms = written(asked.join(index.vocabulary.select("term"), match), "search-terms")
-    found = terms.join(index.postings, "term").groupBy("stem", "id", "dl").agg(F.sum("tf").alias("tf"))
+def _ranked(index: KeptIndex, asked: DataFrame, found: DataFrame, by: str, mean: float, k: int) -> DataFrame:
+    """Best documents of each query by BM25; asked: query_id and ``by``; found: ``by``, id, tf, dl."""
     found = written(found, "search-found")
-    df = found.groupBy("stem").agg(F.count("*").alias("df"))
-    part = _part(index, F.col("df"), F.col("tf"), F.col("dl"), F.lit(index.mean))
-    scored = stems.join(found.join(df, "stem").select("stem", "id", part.alias("part")), "stem")
+    df = found.groupBy(by).agg(F.count("*").alias("df"))
+    scored = asked.join(found.join(df, by).select(by, "id", _part(index, F.col("df"), F.col("tf"), F.col("dl"), mean).alias("part")), by)
     return _best(scored.groupBy("query_id", "id").agg(F.sum("part").alias("bm25")), k)
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+def stem_hits(index: KeptIndex, words: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, similarity``: the best by BM25 over words that begin with a query word's stem."""
+    stems = written(words.select("query_id", "word").distinct().withColumn("prefix", U.stem(F.col("word"))).select("query_id", "prefix").distinct(), "search-stems")
+    terms = index.begins_with("stems", stems.select("prefix").distinct())
+    found = index.postings("stems", terms).groupBy("prefix", "id", "dl").agg(F.sum("tf").alias("tf"))
+    return _ranked(index, stems, found, "prefix", index.facts["mean"], k)
+
 
+def substring_hits(index: KeptIndex, words: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, similarity``: the best by BM25 over places where a word of three characters or more stands in the text."""
+    terms = written(words.where(F.length("word") >= 3).select("query_id", "word").distinct(), "search-words")
+    return _ranked(index, terms, index.holders(terms.select("word").distinct()), "word", index.facts["mean_grams"], k)
 
-def substring_hits(index: Index, words: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, similarity``: the best by BM25 over places where a word of three characters or more stands in the text.
 
-    Texts are looked up by the rarest trigrams of a word, and then searched.
+def scan_hits(notes: DataFrame, index: KeptIndex, groups: DataFrame, id_col: str) -> DataFrame:
+    """``query_id, id, similarity``: of the newest rows that hold a query word somewhere, the share of the query's groups that they have as a token.
+
+    The newest rows of a query are among the newest of its words, so each word
+    keeps no more than a query may.
     """
-    terms = words.where(F.length("word") >= 3).select("query_id", "word").distinct()
-    asked = terms.select("word").distinct()
-
-    # one trigram a word, that with the fewest texts, finds the candidates
-    wanted = asked.select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
-    texts = index.texts.where(F.length("folded") >= 3)
-    places = texts.select("id", F.explode(trigrams(F.col("folded"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    places = written(places, "search-trigrams")
-    count = places.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(count, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    candidates = rarest.join(places, "gram").select("word", "id").join(texts.select("id", "folded"), "id")
-    tf = (F.length("folded") - F.length(F.replace(F.col("folded"), F.col("word"), F.lit("")))) / F.length("word")
-    found = candidates.where(F.contains("folded", "word")).select("word", "id", tf.alias("tf"), (F.length("folded") - 2).alias("dl"))
-    found = written(found, "search-substrings")
-    mean = texts.agg(F.avg(F.length("folded") - 2)).first()[0] or 1.0
-    df = found.groupBy("word").agg(F.count("*").alias("df"))
-    part = _part(index, F.col("df"), F.col("tf"), F.col("dl"), F.lit(mean))
-    scored = terms.join(found.join(df, "word").select("word", "id", part.alias("part")), "word")
-    return _best(scored.groupBy("query_id", "id").agg(F.sum("part").alias("bm25")), k)
+    rows = notes.where("status = 'active'").select(F.col(id_col).alias("id"), "updated_at")
+    asked = groups.select("query_id", "word").distinct()
 
+    def newest(by: str) -> Column:
+        return F.row_number().over(Window.partitionBy(by).orderBy(F.desc("updated_at"), "id")) <= SCAN_ROWS
 
-def scan_hits(notes: DataFrame, index: Index, groups: DataFrame, id_col: str) -> DataFrame:
-    """``query_id, id, similarity``: of the newest rows that hold a query word somewhere, the share of the query's groups that they have as a token."""
-    rows = notes.where("status = 'active'").select(F.col(id_col).alias("id"), "updated_at").join(index.texts, "id")
-    asked = groups.select("query_id", "word").distinct().groupBy("query_id").agg(F.collect_set("word").alias("words"))
-    held = asked.join(rows, F.exists("words", lambda w: F.contains(F.col("folded"), w)))
-    newest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "id"))
-    held = held.withColumn("rn", newest).where(F.col("rn") <= SCAN_ROWS)
+    of_word = index.holders(asked.select("word").distinct()).select("word", "id").join(rows, "id")
+    of_word = written(of_word.withColumn("near", newest("word")).where("near").drop("near"), "search-newest")
+    held = asked.join(of_word, "word").select("query_id", "id", "updated_at").distinct()
+    held = held.withColumn("near", newest("query_id")).where("near").join(index.docs().select("id", "terms"), "id")
     by_group = groups.groupBy("query_id", "place").agg(F.collect_set("word").alias("group"))
     size = by_group.groupBy("query_id").agg(F.count("*").alias("size"))
     hit = held.select("query_id", "id", "terms").join(by_group, "query_id").where(F.arrays_overlap("group", "terms")).groupBy("query_id", "id").agg(F.count("*").alias("hits"))
@@ -132,7 +98,7 @@ def composed(notes: DataFrame, hits: DataFrame, id_col: str, k: int, now: Column
     return full.withColumn("place", rank).where(F.col("place") <= k).select("query_id", F.col("id").alias("memory_id"), "similarity", "score", "place")
 
 
-def search(notes: DataFrame, index: Index, queries: DataFrame, k: int, now: Column, id_col: str = "memory_id", types: list[str] | None = None) -> DataFrame:
+def search(notes: DataFrame, index: KeptIndex, queries: DataFrame, k: int, now: Column, id_col: str = "memory_id", types: list[str] | None = None) -> DataFrame:
     """``query_id, memory_id, similarity, score, place``: the k best memories for each row (query_id, query) of queries.
 
     Words that begin with the stem of a query word or of one of its synonyms

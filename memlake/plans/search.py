@@ -9,10 +9,12 @@ from memlake.functions import rules as R
 from memlake.functions import scoring as S
 from memlake.functions import text as T
 from memlake.functions import unicode as U
+from memlake.operators import index as IX
 from memlake.operators import resolve as RS
 from memlake.operators import search as SE
 from memlake.operators import vector as V
 from memlake.plans import docs as D
+from memlake.plans.stems import porter_sql
 from memlake.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -51,7 +53,8 @@ D_ = lambda s, d: X.read(s, d, "documents")
 add("t01_fold", lambda s, d: D_(s, d).select("doc_id", F.md5(U.fold(F.col("text"))).alias("digest")), f"SELECT doc_id, md5({fold_sql('text')}) AS digest FROM documents")
 add("t02_tokenize", lambda s, d: D_(s, d).select("doc_id", U.search_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest")),
     f"WITH t AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM t")
-add("t05_stems", lambda s, d: D_(s, d).select(F.explode(U.search_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", U.stem(F.col("word")).alias("stem"), "n"))
+add("t05_stems", lambda s, d: D_(s, d).select(F.explode(U.search_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", U.stem(F.col("word")).alias("stem"), "n"),
+    f"WITH v AS (SELECT unnest({tokens_sql('text')}) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM v GROUP BY word), {porter_sql('n')} SELECT word, stem, n FROM n JOIN stems USING (word)")
 add("t07_normal_name", lambda s, d: D_(s, d).select("doc_id", F.md5(U.canonical_name(F.col("text"))).alias("digest")), "SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}+#]+', ' ', 'g'))) AS digest FROM documents")
 _GROUPS = "[" + ", ".join(f"[{_quoted(g)}]" for g in T.SYNONYMS) + "]"
 
@@ -86,7 +89,7 @@ def _substrings(s, d):
     words = _PROMPTS(s, d).select(t.alias("t")).where("size(t) > 0").select(F.element_at("t", 1).alias("word")).distinct()
     texts = D_(s, d).select("doc_id", U.fold(F.col("text")).alias("folded"))
     # one trigram of each word finds the candidates
-    pos = SE.trigrams(F.col("folded"))
+    pos = IX.trigrams(F.col("folded"))
     gram = words.where("length(word) >= 3").withColumn("gram", F.substring("word", 1, 3))
     places = texts.select("doc_id", F.explode(F.array_distinct(pos)).alias("gram")).join(gram, "gram")
     return places.join(texts, "doc_id").where(F.contains("folded", "word")).select("word", "doc_id")
@@ -100,16 +103,15 @@ add("k04_top_k_clamp", lambda s, d: X.mem(s, d).where("status = 'active'").withC
 
 # ---- search
 def _asked(s, d):
-    """First turns of the conversations whose number is divisible by 20, the first five words of each."""
-    return _PROMPTS(s, d).where("conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.substring_index("text", " ", 5).alias("query"))
+    """First turns of the conversations whose number is divisible by 20, whole."""
+    return _PROMPTS(s, d).where("conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _searched(s, d):
     notes = X.notes(s, d)
-    return SE.search(notes, SE.build_index(notes, "memory_id", F.col("text")), _asked(s, d), 8, NOW()).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "place")
+    return SE.search(notes, SE.build_index(notes, "memory_id", F.col("text")), _asked(s, d), 8, NOW()).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-add("q03_lexical_search", _searched)
 RECENCY = f"exp(-0.01 * greatest(0, epoch(TIMESTAMP '{X.NOW_E}' - updated_at) / 86400))"
 TIER = "CASE doc_tier WHEN 'T0' THEN 1.2 WHEN 'T1' THEN 1.1 WHEN 'T3' THEN 0.8 ELSE 1.0 END"
 
@@ -129,11 +131,68 @@ def _scanned(s, d):
     return SE.composed(notes, hits, "memory_id", 8, NOW()).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-_ASKED_SQL = f"""a AS (SELECT conv_id AS query_id, {tokens_sql("array_to_string(string_split(text, ' ')[1:5], ' ')")} AS t0 FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 20 = 0),
-    q AS (SELECT query_id, {once_sql('t0')} AS t FROM a), tx AS (SELECT memory_id, updated_at, {fold_sql('text')} AS folded, {tokens_sql('text')} AS terms FROM notes WHERE status = 'active')"""
-add("q04_scan_search", _scanned, f"""WITH {X.NOTES}, {_ASKED_SQL}, held AS (SELECT q.query_id, q.t, tx.* FROM q, tx WHERE len(list_filter(q.t, lambda w: contains(folded, w))) > 0),
+#: a: tokens of a query; g: each token's synonyms; tx: the texts.
+_ASKED_SQL = f"""a AS (SELECT conv_id AS query_id, {tokens_sql('text')} AS t0 FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 20 = 0),
+    q AS (SELECT query_id, {once_sql('t0')} AS t FROM a), sy AS (SELECT gid, unnest(grp) AS term FROM (SELECT unnest(range({len(T.SYNONYMS)})) AS gid, unnest({_GROUPS}) AS grp)),
+    qt AS (SELECT query_id, unnest(t) AS token FROM q), g AS (SELECT DISTINCT query_id, token, coalesce(b.term, token) AS word FROM qt LEFT JOIN sy a2 ON token = a2.term LEFT JOIN sy b USING (gid)),
+    tx AS (SELECT memory_id, updated_at, {fold_sql('text')} AS folded, {tokens_sql('text')} AS terms FROM notes WHERE status = 'active')"""
+_SCAN_SQL = """held AS (SELECT DISTINCT query_id, tx.memory_id, tx.updated_at, tx.terms FROM g JOIN tx ON contains(folded, word) WHERE query_id IN (SELECT query_id FROM {of})),
     newest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, memory_id) AS rn FROM held),
-    h AS (SELECT query_id, memory_id, CAST(len(list_filter(t, lambda w: list_contains(terms, w))) AS DOUBLE) / len(t) AS similarity FROM newest WHERE rn <= 1000 AND len(list_filter(t, lambda w: list_contains(terms, w))) > 0), {composed_sql('h', 8)}""")
+    sc AS (SELECT n.query_id, n.memory_id, count(DISTINCT g.token) / CAST(any_value(z.n) AS DOUBLE) AS similarity FROM newest n JOIN g ON g.query_id = n.query_id AND list_contains(n.terms, g.word) JOIN (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id) z ON z.query_id = n.query_id WHERE rn <= 1000 GROUP BY ALL)"""
+add("q04_scan_search", _scanned, f"WITH {X.NOTES}, {_ASKED_SQL}, {_SCAN_SQL.format(of='q')}, {composed_sql('sc', 8)}")
+
+
+def bm25_sql(found: str, asked: str, by: str, out: str, mean: str) -> str:
+    """found: by, memory_id, tf, dl; asked: query_id, by; the 32 best of each query."""
+    return f"""{out}_df AS (SELECT {by}, count(*) AS df FROM {found} GROUP BY ALL),
+    {out}_s AS (SELECT query_id, memory_id, sum(greatest(1e-6, ln(((SELECT count(*) FROM tx) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / {mean}))) AS s FROM {asked} JOIN {found} USING ({by}) JOIN {out}_df USING ({by}) GROUP BY ALL),
+    {out} AS (SELECT query_id, memory_id, 1 / (1 + exp(greatest(-50, least(50, -s)))) AS similarity FROM {out}_s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, memory_id) <= 32)"""
+
+
+add("q03_lexical_search", _searched, f"""WITH {X.NOTES}, {_ASKED_SQL}, ow AS (SELECT memory_id, len(terms) AS dl, unnest(terms) AS word FROM tx), vw AS (SELECT word FROM ow UNION SELECT word FROM g), {porter_sql('vw')},
+    po AS (SELECT stem AS term, memory_id, dl, count(*) AS tf FROM ow JOIN stems USING (word) GROUP BY ALL), qs AS (SELECT DISTINCT query_id, stem FROM g JOIN stems USING (word)), ds AS (SELECT DISTINCT stem FROM qs),
+    fo AS (SELECT stem, memory_id, dl, sum(tf) AS tf FROM ds JOIN po ON starts_with(term, stem) GROUP BY ALL), {bm25_sql('fo', 'qs', 'stem', 'st', '(SELECT avg(len(terms)) FROM tx)')},
+    few AS (SELECT query_id FROM q LEFT JOIN st USING (query_id) GROUP BY query_id HAVING count(st.memory_id) < 8), sw AS (SELECT DISTINCT query_id, word FROM g WHERE length(word) >= 3 AND query_id IN (SELECT query_id FROM few)), dw AS (SELECT DISTINCT word FROM sw),
+    su AS (SELECT word, memory_id, CAST((length(folded) - length(replace(folded, word, ''))) / length(word) AS DOUBLE) AS tf, length(folded) - 2 AS dl FROM dw JOIN tx ON contains(folded, word)), {bm25_sql('su', 'sw', 'word', 'tr', '(SELECT avg(length(folded) - 2) FROM tx WHERE length(folded) >= 3)')},
+    hm AS (SELECT query_id, memory_id, max(similarity) AS similarity FROM (SELECT * FROM st UNION ALL SELECT * FROM tr) GROUP BY ALL), no AS (SELECT DISTINCT query_id FROM qt WHERE query_id NOT IN (SELECT query_id FROM hm)), {_SCAN_SQL.format(of='no')},
+    hits AS (SELECT * FROM hm UNION ALL SELECT * FROM sc), {composed_sql('hits', 8)}""")
+
+
+# ---- the kept index
+def _kept(s, d):
+    """An index of four fifths of the documents; then the others are added and every seventh is replaced, at last every eleventh is removed."""
+    docs = D_(s, d).select("doc_id", F.col("doc_id").alias("id"), "text")
+    index = IX.KeptIndex(s).apply(docs.where("doc_id % 5 <> 0").select("id", "text"))
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat_ws(" ", "text", F.lit("postponed deliveries"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    index.apply(docs.where("doc_id % 5 = 0 or doc_id % 7 = 0").select("id", changed.alias("text")))
+    return index.apply(docs.where("doc_id % 11 = 0").select("id", F.lit(None).cast("string").alias("text")))
+
+
+_KEPT_SQL = f"""d AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', text, 'postponed deliveries', CAST(doc_id AS VARCHAR)) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
+    ow AS (SELECT id, unnest({tokens_sql('text')}) AS word FROM d), vw AS (SELECT DISTINCT word FROM ow), {porter_sql('vw')}"""
+
+
+def _live_terms(index):
+    return index.live(index.rows("stems")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+add("s17_kept_index", lambda s, d: _live_terms(_kept(s, d)), f"WITH {_KEPT_SQL} SELECT stem AS term, count(DISTINCT id) AS df, count(*) AS tf FROM ow JOIN stems USING (word) GROUP BY stem")
+add("s17_merged_index", lambda s, d: _live_terms(_kept(s, d).merge()), f"WITH {_KEPT_SQL} SELECT stem AS term, count(DISTINCT id) AS df, count(*) AS tf FROM ow JOIN stems USING (word) GROUP BY stem")
+add("t06_kept_grams", lambda s, d: (lambda i: i.live(i.rows("grams")).where("not contains(term, '\0')").groupBy("term").agg(F.count("*").alias("df")))(_kept(s, d)),
+    f"WITH {_KEPT_SQL}, x AS (SELECT DISTINCT id, substr(f, i, 3) AS term FROM (SELECT id, f, unnest(range(1, length(f) - 1)) AS i FROM (SELECT id, {fold_sql('text')} AS f FROM d))) SELECT term, count(*) AS df FROM x GROUP BY term")
+add("j22_index_todo", lambda s, d: _kept(s, d).todo(D_(s, d).where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"))), "SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN 'add' ELSE 'remove' END AS todo FROM documents WHERE (doc_id % 4 <> 0) <> (doc_id % 11 <> 0)")
+
+
+def _prefixed(s, d):
+    """Terms of the dictionary that begin with the stem of a word of a first turn."""
+    words = _PROMPTS(s, d).select(F.explode(U.search_tokens(F.col("text"))).alias("word")).distinct()
+    index = IX.KeptIndex(s).apply(D_(s, d).select(F.col("doc_id").alias("id"), "text"))
+    return index.begins_with("stems", words.select(U.stem(F.col("word")).alias("prefix")).distinct()).groupBy("prefix").agg(F.count_distinct("term").alias("terms"), F.sum("df").alias("df"), F.min("term").alias("first"))
+
+
+add("j24_prefix_terms", _prefixed, f"""WITH dw AS (SELECT doc_id, unnest({tokens_sql('text')}) AS word FROM documents), qw AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM conversations WHERE role = 'user' AND turn = 0), vw AS (SELECT word FROM dw UNION SELECT word FROM qw), {porter_sql('vw')},
+    v AS (SELECT stem AS term, count(DISTINCT doc_id) AS df FROM dw JOIN stems USING (word) GROUP BY stem), p AS (SELECT DISTINCT stem AS prefix FROM qw JOIN stems USING (word))
+    SELECT prefix, count(*) AS terms, CAST(sum(df) AS BIGINT) AS df, min(term) AS first FROM p JOIN v ON starts_with(term, prefix) GROUP BY prefix""")
 
 
 def _by_vector(s, d):

@@ -137,18 +137,6 @@ def _indexed(s, d):
 add("l19_index_state", _indexed, f"WITH {X.JOURNAL}, e AS (SELECT repo_id, path, seq, CASE WHEN change = 'removed' THEN 'gone' ELSE 'there' END AS state FROM journal WHERE path IS NOT NULL UNION ALL SELECT repo_id, old_path, seq, 'gone' FROM journal WHERE path IS NOT NULL AND old_path IS NOT NULL) SELECT repo_id, path, max(seq) AS seq FROM e GROUP BY ALL HAVING arg_max(state, (seq, state)) = 'there'")
 
 # ---- words and skills
-add("j24_prefix_terms", lambda s, d: _prefixed(s, d), f"""WITH v AS (SELECT DISTINCT unnest({PS.tokens_sql('text')}) AS term FROM documents), q AS (SELECT DISTINCT unnest({PS.tokens_sql('text')}) AS word FROM conversations WHERE role = 'user' AND turn = 0)
-    SELECT word, count(*) AS terms, min(term) AS first FROM q JOIN v ON starts_with(term, word) GROUP BY word""")
-
-
-def _prefixed(s, d):
-    """How many words of the documents' vocabulary begin with each word of a first turn: words meet by their first two characters."""
-    v = X.read(s, d, "documents").select(F.explode(U.search_tokens(F.col("text"))).alias("term")).distinct()
-    q = X.read(s, d, "conversations").where("role = 'user' and turn = 0").select(F.explode(U.search_tokens(F.col("text"))).alias("word")).distinct()
-    meet = (F.substring("term", 1, 2) == F.substring("word", 1, 2)) & F.col("term").startswith(F.col("word"))
-    return q.join(v, meet).groupBy("word").agg(F.count("*").alias("terms"), F.min("term").alias("first"))
-
-
 def _skilled(s, d):
     """Skills whose trigger, the first two words of every twentieth document, stands in what a user said: met by the trigger's first word."""
     skills = X.read(s, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.lower(F.substring_index("text", " ", 2)).alias("trigger")).where("contains(trigger, ' ')")
