@@ -40,17 +40,9 @@ TOKENS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), l
 # ---- ledger
 reg("s19_quarantine", lambda r: r.where("lifecycle in ('superseded', 'archived') or tier = 'TX'").alias("a").join(r.alias("b"), F.expr("a.superseded_by = b.doc_id"), "left").selectExpr("a.rel_path as rel_path", "a.lifecycle as lifecycle", "a.tier as tier", "coalesce(b.rel_path, '') as superseded_by"),
     "SELECT a.rel_path, a.lifecycle, a.tier, coalesce(b.rel_path, '') AS superseded_by FROM registry a LEFT JOIN registry b ON a.superseded_by = b.doc_id WHERE a.lifecycle IN ('superseded', 'archived') OR a.tier = 'TX'")
-reg("s20_proposals", lambda r: r.where("doc_type = 'plan' and lifecycle = 'active' and age_days >= 90").select("doc_id", "rel_path"), "SELECT doc_id, rel_path FROM registry WHERE doc_type = 'plan' AND lifecycle = 'active' AND age_days >= 90")
-_WINDOW = "CASE doc_type WHEN 'plan' THEN 30 WHEN 'brainstorm' THEN 14 ELSE 90 END"
-reg("q21_rot_report", lambda r: r.withColumn("stale", F.expr(f"lifecycle = 'active' and age_days > {_WINDOW}")).withColumn("archive", F.expr("lifecycle in ('fulfilled', 'superseded') and tier not in ('T0', 'T1')")).groupBy("doc_type", "tier").agg(F.count_if("stale").alias("stale"), F.count_if("archive").alias("archive_candidates")),
-    f"SELECT doc_type, tier, count(*) FILTER (lifecycle = 'active' AND age_days > {_WINDOW}) AS stale, count(*) FILTER (lifecycle IN ('fulfilled', 'superseded') AND tier NOT IN ('T0', 'T1')) AS archive_candidates FROM registry GROUP BY ALL")
-QUERIES["a16_rot_rollup"], ORACLES["a16_rot_rollup"] = QUERIES["q21_rot_report"], ORACLES["q21_rot_report"]
 reg("q23_knowledge_map", lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("tier", "lifecycle").orderBy("rel_path"))).groupBy("tier", "lifecycle").agg(F.count("*").alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("rn") <= 3, F.col("rel_path"))))).alias("first_paths")),
     ", k AS (SELECT *, row_number() OVER (PARTITION BY tier, lifecycle ORDER BY rel_path) AS rn FROM registry) SELECT tier, lifecycle, count(*) AS n, string_agg(rel_path, ', ' ORDER BY rel_path) FILTER (rn <= 3) AS first_paths FROM k GROUP BY ALL")
-reg("l14_verdicts", lambda r: r.select("doc_id", F.when(F.col("tier").isin("T0", "T1"), F.col("lifecycle")).when(F.col("age_days") > 100, "archived").otherwise(F.col("lifecycle")).alias("lifecycle")), "SELECT doc_id, CASE WHEN tier IN ('T0', 'T1') THEN lifecycle WHEN age_days > 100 THEN 'archived' ELSE lifecycle END AS lifecycle FROM registry")
-reg("l23_judgement_kept", lambda r: r.select("doc_id", F.when(F.col("num") % 4 == 0, F.col("doc_type")).otherwise(F.lit("guide")).alias("doc_type")), "SELECT doc_id, CASE WHEN num % 4 = 0 THEN doc_type ELSE 'guide' END AS doc_type FROM registry")
 add("a06_link_indegree", lambda s, d: X.doc_refs(s, d).groupBy("ref_value").agg(F.count("*").alias("n")), f"WITH {X.REFS} SELECT ref_value, count(*) AS n FROM refs GROUP BY ALL")
-QUERIES["j15_refs_by_value"], ORACLES["j15_refs_by_value"] = QUERIES["a06_link_indegree"], ORACLES["a06_link_indegree"]
 add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("doc_id % 3 <> 0 or length(ref_value) % 2 = 0"), X.doc_refs(s, d).withColumnRenamed("page_id", "doc_id").where("length(ref_value) % 3 <> 0"), 50),
     f"""WITH {X.REFS}, k AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE page_id % 3 <> 0 OR length(ref_value) % 2 = 0), c AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE length(ref_value) % 3 <> 0)
     SELECT doc_id, ref_value, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL

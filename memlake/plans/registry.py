@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memlake.plans import docs, graph, ledger, search, store, streams, upkeep
+from memlake.plans import docs, graph, ledger, scans, search, store, streams, upkeep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (store, graph, docs, search, ledger, upkeep, streams):
+for _part in (store, graph, docs, search, ledger, upkeep, streams, scans):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -156,3 +156,35 @@ class VersionedTable:
         new = self.files.stage(rows.repartition(F.col(self.by), F.pmod(F.xxhash64(self.key), F.lit(8))), self.by)
         left = [p | {"values": [v for v in p["values"] if v not in touched]} for p in parts]
         return self.files.publish([p for p in left if p["values"]] + [new | {"values": sorted(touched)}], base)
+
+
+class Tables(Versions):
+    """Several tables that are published together, each in folders by the hash of a column; a change rewrites the folders that it touches."""
+
+    BUCKETS = 16
+
+    def _bucketed(self, df: DataFrame, by: str) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(self.BUCKETS)).cast("int"))
+
+    def rows(self, parts: list[dict], what: str, schema: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table's rows, or those of some of its folders."""
+        out = self.spark.createDataFrame([], schema)
+        for p in parts:
+            if p["what"] == what and (here := [b for b in p["buckets"] if buckets is None or b in buckets]):
+                out = out.unionByName(self.load(p).where(F.col("bucket").isin(*here)).drop("bucket"))
+        return out
+
+    def near(self, parts: list[dict], what: str, by: str, schema: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table whose column ``by`` is among keys (one column of that name); only their folders are read."""
+        buckets = {r[0] for r in self._bucketed(keys, by).select("bucket").distinct().collect()}
+        return self.rows(parts, what, schema, buckets).join(keys.distinct(), by, "left_semi")
+
+    def change(self, parts: list[dict], what: str, by: str, schema: str, gone: DataFrame, new: DataFrame) -> list[dict]:
+        """The parts after rows that agree with ``gone`` in its columns (``by`` is one) went and ``new`` came; staged, not published."""
+        touched = {r[0] for r in self._bucketed(gone, by).select("bucket").union(self._bucketed(new, by).select("bucket")).distinct().collect()}
+        if not touched:
+            return parts
+        left = self.rows(parts, what, schema, touched).join(gone.distinct(), gone.columns, "left_anti")
+        part = self.stage(self._bucketed(left.unionByName(new), by).repartition("bucket"), "bucket")
+        kept = [p | {"buckets": [b for b in p["buckets"] if b not in touched]} if p["what"] == what else p for p in parts]
+        return [p for p in kept if p["buckets"]] + [part | {"what": what, "buckets": sorted(touched)}]
