@@ -12,6 +12,7 @@ TIER_FACTORS = {"T0": 1.2, "T1": 1.1, "T2": 1.0, "T3": 0.8}
 SOURCE_WEIGHTS = {"user_direct": 1.0, "user_indirect": 0.7, "tool_api": 0.85, "system": 0.75, "agent_inference": 0.5, "agent_reflection": 0.5}
 ARCHIVE_BELOW = 0.15
 SKILL_GAIN, SKILL_LOSS, SKILL_FLOOR = 0.10, 0.85, 0.15
+SKILL_START = 0.5
 HOP_DECAY = 0.6
 SIMILAR = 0.82
 

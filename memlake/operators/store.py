@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring as S
+from memlake.operators import folds as FO
 
 SCAN_LIMIT = 1000
 
@@ -109,21 +110,29 @@ def patterns(mem: DataFrame, now: Column, days: int = 7, least: int = 3) -> Data
 
 
 def fold_reinforcements(mem: DataFrame, source_weight: float = 0.7) -> DataFrame:
-    """Beliefs of one (tenant, subject, relation, object) reinforced in order of creation: an ordered fold by the Bayesian update.
+    """Beliefs of one (tenant, subject, relation, object) reinforced in order of creation by the Bayesian update.
 
     The first belief sets confidence and weight 1; each further one moves both.
-    Groups are the repetitions of one statement.
+    An update is linear in the confidence before it, as its weight is its number, so updates are composed (``operators.folds``).
     """
-    rows = mem.where("memory_type = 'belief'").withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
-    grouped = rows.groupBy("user_id", "subject", "relation", "object").agg(F.sort_array(F.collect_list(F.struct("at", "memory_id", "confidence", "decay_rate"))).alias("seen"))
-    start = F.struct(F.col("seen")[0]["confidence"].alias("c"), F.lit(1.0).alias("w"), F.col("seen")[0]["at"].alias("at"))
-
-    def step(state: Column, x: Column) -> Column:
-        days = (x["at"] - state["at"]) / F.lit(S.DAY * 1e6)
-        return F.struct(S.bayes_update(state["c"], state["w"], x["decay_rate"], days, F.lit(source_weight), x["confidence"]).alias("c"), (state["w"] + 1).alias("w"), x["at"].alias("at"))
-
-    final = F.aggregate(F.slice("seen", 2, F.size("seen")), start, step)
-    return grouped.select("user_id", "subject", "relation", "object", F.size("seen").alias("times"), final["c"].alias("confidence"), final["w"].alias("prior_weight"))
+    keys = ["user_id", "subject", "relation", "object"]
+    rows = mem.where("memory_type = 'belief'").select(*keys, F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "memory_id", "confidence", "decay_rate")
+    rows = FO.numbered(rows, keys, ["at", "memory_id"], "reinforced")
+    days = (F.col("at") - F.col("before.at")) / F.lit(S.DAY * 1e6)
+    first, i = F.col("i") == 1, F.col("i")
+    kept = F.when(first, 0.0).otherwise((i - 1) * F.exp(-F.col("decay_rate") * days) / i)
+    told = F.when(first, F.col("confidence")).otherwise(F.lit(source_weight) * F.col("confidence") / i)
+    lo, hi = F.when(first, -FO.BIG).otherwise(0.0), F.when(first, FO.BIG).otherwise(1.0)
+    done = FO.folded(rows.withColumn("u", FO.update(kept, told, lo, hi)), keys)
+    return done.select(*keys, F.col("n").alias("times"), FO.apply(F.col("u"), F.lit(0.0)).alias("confidence"), F.col("n").cast("double").alias("prior_weight"))
+
+
+def fold_outcomes(rows: DataFrame, key: str, order: list[str], success: Column) -> DataFrame:
+    """``key, confidence, outcomes``: a skill's confidence after its outcomes in order; it begins with SKILL_START, which the first row stands for."""
+    rows = FO.numbered(rows, [key], order, "outcomes")
+    one = F.when(F.col("i") == 1, FO.update(0.0, S.SKILL_START)).when(success, FO.update(1.0, S.SKILL_GAIN, hi=1.0)).otherwise(FO.update(S.SKILL_LOSS, 0.0))
+    done = FO.folded(rows.withColumn("u", one), [key])
+    return done.select(key, FO.apply(F.col("u"), F.lit(0.0)).alias("confidence"), F.col("n").alias("outcomes"))
 
 
 def classify(relation: Column, event: set[str], skill: set[str], world: set[str]) -> Column:

@@ -276,9 +276,9 @@ simple(
 
 
 def _skills(m):
-    rows = m.where("memory_type = 'skill'").groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("created_at", "memory_id", "event_id"))).alias("seen"))
-    final = F.aggregate(F.slice("seen", 2, F.size("seen")), F.lit(0.5), lambda c, x: S.skill_outcome(c, x["event_id"] % 3 > 0))
-    return rows.select("subject", F.round(final, 6).alias("confidence"), F.size("seen").cast("long").alias("outcomes"), (final <= S.SKILL_FLOOR).alias("deprecated"))
+    rows = m.where("memory_type = 'skill'").select("subject", "created_at", "memory_id", "event_id")
+    done = O.fold_outcomes(rows, "subject", ["created_at", "memory_id"], F.col("event_id") % 3 > 0)
+    return done.select("subject", F.round("confidence", 6).alias("confidence"), "outcomes", (F.col("confidence") <= S.SKILL_FLOOR).alias("deprecated"))
 
 
 simple(
