@@ -11,6 +11,7 @@ from memlake.functions import unicode as U
 from memlake.operators import documents as D
 from memlake.operators import graph as G
 from memlake.operators import ledger as L
+from memlake.operators import phrases as PH
 from memlake.operators import vector as V
 from memlake.plans import graph as PG
 from memlake.plans import search as PS
@@ -138,18 +139,13 @@ add("l19_index_state", _indexed, f"WITH {X.JOURNAL}, e AS (SELECT repo_id, path,
 
 # ---- words and skills
 def _skilled(s, d):
-    """Skills whose trigger, the first two words of every twentieth document, stands in what a user said: met by the trigger's first word."""
-    skills = X.read(s, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.lower(F.substring_index("text", " ", 2)).alias("trigger")).where("contains(trigger, ' ')")
-    said = X.read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").alias("text"))
-    words = said.select("conv_id", "turn", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    # the trigger may begin within a word, so its second word, or what a word begins with, finds the candidates
-    last = skills.withColumn("key", F.substring_index("trigger", " ", -1))
-    near = words.join(last, F.col("word").startswith(F.col("key")) & (F.substring("word", 1, 1) == F.substring("key", 1, 1)))
-    found = near.select("conv_id", "turn", "doc_id", "trigger").distinct().join(said, ["conv_id", "turn"]).where(F.contains("text", "trigger"))
-    return found.select("conv_id", "turn", "doc_id")
-
-
-add("j25_q06_trigger_match", _skilled, "WITH k AS (SELECT doc_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS t FROM documents WHERE doc_id % 20 = 0) SELECT conv_id, turn, doc_id FROM conversations c, k WHERE role = 'user' AND contains(t, ' ') AND contains(lower(c.text), t)")
+    """Skills whose trigger, the first two words of any document, stands in what a user said."""
+    skills = X.read(s, d, "documents").select(F.col("doc_id").alias("skill_id"), F.substring_index("text", " ", 2).alias("trigger")).where("contains(trigger, ' ')")
+    said = X.read(s, d, "conversations").where("role = 'user'").selectExpr("conv_id * 1000 + turn as text_id", "text")
+    return PH.matched_skills(said, skills).selectExpr("text_id div 1000 as conv_id", "text_id % 1000 as turn", "skill_id as doc_id")
+
+
+add("j25_q06_trigger_match", _skilled, "WITH k AS (SELECT doc_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS t FROM documents) SELECT conv_id, CAST(turn AS BIGINT) AS turn, doc_id FROM conversations c, k WHERE role = 'user' AND contains(t, ' ') AND contains(lower(c.text), t)")
 add("x04_seed_rows", lambda s, d: X.read(s, d, "events").selectExpr("event_id", "concat('[\"a', user_id, '\",\"b', event_id % 7, '\"]') as seeds").select("event_id", F.posexplode(F.from_json("seeds", "array<string>")).alias("place", "seed")), "SELECT event_id, unnest([0, 1]) AS place, unnest(['a' || user_id, 'b' || (event_id % 7)]) AS seed FROM events")
 
 
