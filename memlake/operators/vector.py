@@ -52,7 +52,7 @@ def _best(k: int):
 
 def nearest_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As ``nearest``, for queries that grow with the table: every block of queries meets every block of vectors in a task of its own."""
-    vectors, queries = (t.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("embedding is not null") for t in (vectors, queries))
+    vectors, queries = (t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where("embedding is not null") for t in (vectors, queries))
     blocks = {side: max(1, -(-t.count() // BLOCK)) for side, t in (("v", vectors), ("q", queries))}
 
     def dealt(t: DataFrame, side: str, other: str):

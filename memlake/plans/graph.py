@@ -118,34 +118,6 @@ add(
 )
 
 
-def _maintenance(s, d):
-    edges, nodes, beliefs = X.edges(s, d), X.nodes(s, d), _beliefs(s, d)
-    fresh = edges.join(G.refreshed_confidence(edges, beliefs).withColumnRenamed("confidence", "fresh"), "edge_id", "left").withColumn("confidence", F.coalesce("fresh", "confidence")).drop("fresh")
-    kept = fresh.join(G.orphaned(fresh, beliefs).withColumn("orphan", F.lit(True)), "edge_id", "left")
-    closed = F.col("orphan").isNotNull() | (F.col("confidence") < 0.15)
-    after = kept.withColumn("invalid_at", F.when(F.col("invalid_at").isNull() & closed, F.lit(X.NOW_O).cast("timestamp_ntz")).otherwise(F.col("invalid_at")))
-    counts = after.groupBy("relation").agg(F.count_if(F.col("invalid_at").isNull()).alias("n"))
-    pruned = G.stale_nodes(nodes, after, F.lit("2001-10-03 00:00:00").cast("timestamp_ntz")).agg(F.count("*").alias("n")).select(F.lit("pruned nodes").alias("relation"), "n")
-    return counts.unionByName(pruned)
-
-
-add(
-    "q13_graph_maintenance",
-    _maintenance,
-    f"""WITH {KG}, {X.MEM}, {_BELIEFS}, f AS (SELECT e.edge_id, e.src_id, e.dst_id, e.relation, e.invalid_at, e.belief_id, CASE WHEN e.invalid_at IS NULL THEN coalesce(b.confidence, e.confidence) ELSE e.confidence END AS confidence, b.memory_id AS held FROM edges e LEFT JOIN b ON b.memory_id = e.belief_id),
-    a AS (SELECT * FROM f WHERE invalid_at IS NULL AND NOT (belief_id IS NOT NULL AND held IS NULL) AND confidence >= 0.15), x AS (SELECT src_id AS node_id FROM a UNION SELECT dst_id FROM a)
-    SELECT r.relation, count(a.edge_id) AS n FROM (SELECT DISTINCT relation FROM edges) r LEFT JOIN a ON a.relation = r.relation GROUP BY r.relation
-    UNION ALL SELECT 'pruned nodes', count(*) FROM nodes WHERE mention_count <= 1 AND updated_at < TIMESTAMP '2001-10-03 00:00:00' AND node_id NOT IN (SELECT node_id FROM x)""",
-)
-add(
-    "q12_projection",
-    lambda s, d: G.project(X.mem(s, d).where("status = 'active' and memory_type = 'belief'").selectExpr("subject as s", "relation as r", "object as o", "created_at as at", "memory_id as id", "is_negation"))
-    .groupBy("s", "r")
-    .agg(F.count("*").alias("edges"), F.count_if(F.col("invalid_at").isNull()).alias("open_edges")),
-    f"""WITH {X.MEM}, t AS (SELECT subject AS s, relation AS r, object AS o, created_at AS made, memory_id AS id, is_negation AS neg, lag(is_negation) OVER (PARTITION BY subject, relation, object ORDER BY created_at, memory_id) AS prev FROM mem WHERE status = 'active' AND memory_type = 'belief'),
-    k AS (SELECT *, lead(made) OVER (PARTITION BY s, r, o ORDER BY made, id) AS invalid_at FROM t WHERE prev IS NULL OR prev <> neg)
-    SELECT s, r, count(*) AS edges, count(*) FILTER (invalid_at IS NULL) AS open_edges FROM k WHERE NOT neg GROUP BY ALL""",
-)
 add("q14_merge_nodes", lambda s, d: G.merge_node(X.edges(s, d), "S2", "S1"), f"WITH {KG} SELECT edge_id, CASE WHEN src_id = 'S2' THEN 'S1' ELSE src_id END AS src_id, CASE WHEN dst_id = 'S2' THEN 'S1' ELSE dst_id END AS dst_id FROM edges WHERE src_id = 'S2' OR dst_id = 'S2'")
 QUERIES["j27_merge_remap"], ORACLES["j27_merge_remap"] = QUERIES["q14_merge_nodes"], ORACLES["q14_merge_nodes"]
 

@@ -303,33 +303,6 @@ simple(
 )
 
 
-def _conflicts(m):
-    """Facts against active beliefs of the same subject and relation: polarity before object conflicts, then what follows from them."""
-    facts = m.where("event_id % 20 = 0 and memory_type = 'belief'").selectExpr("memory_id as fact_id", "lower(subject) as s", "lower(relation) as r", "lower(object) as fo", "is_negation as fn", "domain as fd", "confidence as fc")
-    held = O.active(m, "belief").where("event_id % 20 <> 0").selectExpr("memory_id", "lower(subject) as s", "lower(relation) as r", "lower(object) as o", "is_negation as n", "domain as d", "confidence as c")
-    both = facts.join(held, ["s", "r"], "left")
-    kind = F.when(F.col("memory_id").isNull(), 0).when((F.col("fo") == F.col("o")) & (F.col("fn") != F.col("n")), 2).when((F.col("fo") != F.col("o")) & ~F.col("fn") & ~F.col("n"), 1).otherwise(0)
-    same = (F.col("fo") == F.col("o")) & (F.col("fn") == F.col("n"))
-    best = both.withColumn("kind", kind).groupBy("fact_id", "fd", "fc").agg(
-        F.max(F.struct("kind", F.col("c"), F.col("memory_id"), F.coalesce("d", F.lit("")).alias("d"))).alias("top"), F.max(F.coalesce(same, F.lit(False)).cast("int")).alias("same")
-    )
-    differs = F.col("fd").isNotNull() & (F.col("top.d") != "") & (F.col("fd") != F.col("top.d"))
-    action = F.when((F.col("top.kind") > 0) & differs, "retain_both").when((F.col("top.kind") > 0) & (F.col("fc") > 0.6), "supersede").when(F.col("top.kind") > 0, "retain_both").when(F.col("same") == 1, "reinforce").otherwise("create")
-    return best.select("fact_id", action.alias("action"))
-
-
-simple(
-    "l07_process_fact",
-    _conflicts,
-    """, f AS (SELECT memory_id AS fact_id, lower(subject) AS s, lower(relation) AS r, lower(object) AS fo, is_negation AS fn, domain AS fd, confidence AS fc FROM mem WHERE event_id % 20 = 0 AND memory_type = 'belief'),
-    h AS (SELECT memory_id, lower(subject) AS s, lower(relation) AS r, lower(object) AS o, is_negation AS n, domain AS d, confidence AS c FROM mem WHERE status = 'active' AND memory_type = 'belief' AND event_id % 20 <> 0),
-    b AS (SELECT f.*, h.memory_id, h.o, h.n, h.d, h.c, CASE WHEN h.memory_id IS NULL THEN 0 WHEN fo = o AND fn <> n THEN 2 WHEN fo <> o AND NOT fn AND NOT n THEN 1 ELSE 0 END AS kind, coalesce(fo = o AND fn = n, FALSE) AS same FROM f LEFT JOIN h ON f.s = h.s AND f.r = h.r),
-    t AS (SELECT fact_id, fd, fc, bool_or(same) AS same, max(kind) AS k FROM b GROUP BY ALL),
-    m AS (SELECT fact_id, d FROM (SELECT fact_id, d, row_number() OVER (PARTITION BY fact_id ORDER BY kind DESC, c DESC NULLS LAST, memory_id DESC) AS i FROM b) WHERE i = 1)
-    SELECT fact_id, CASE WHEN k > 0 AND fd IS NOT NULL AND d IS NOT NULL AND fd <> d THEN 'retain_both' WHEN k > 0 AND fc > 0.6 THEN 'supersede' WHEN k > 0 THEN 'retain_both' WHEN same THEN 'reinforce' ELSE 'create' END AS action
-    FROM t JOIN m USING (fact_id)""",
-)
-QUERIES["j21_conflict_candidates"], ORACLES["j21_conflict_candidates"] = QUERIES["l07_process_fact"], ORACLES["l07_process_fact"]
 simple("l26_session_partition", lambda m: m.select("memory_id", F.concat(F.lit("session:"), F.coalesce("user_id", F.lit(""))).alias("tenant")), "SELECT memory_id, 'session:' || coalesce(user_id, '') AS tenant FROM mem")
 simple("k05_keyset_page", lambda m: m.where("memory_id > 'm0000000100'").orderBy("memory_id").limit(500).select("memory_id"), "SELECT memory_id FROM mem WHERE memory_id > 'm0000000100' ORDER BY memory_id LIMIT 500")
 simple(
