@@ -168,3 +168,32 @@ def reflection_text(kind: Column, subject: Column, relation: Column, obj: Column
     skill = F.concat(F.lit("Reflection: "), subject, F.lit(" consistently demonstrates "), obj, F.lit(" ("), times, F.lit(" observations)."))
     other = F.concat(F.lit("Reflection: "), F.concat_ws(" ", subject, relation, obj), F.lit(" ("), times, F.lit(" supporting memories)."))
     return F.when(kind == "recurring_entity", recurring).when(kind == "repeated_event_type", event).when(kind == "skill_generalization", skill).otherwise(other)
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def git_place(remote: Column) -> Column:
+    """'host/path' of a remote in lower case, from an address or the short form host:path; without scheme, user, port, query and the ending .git.
+
+    A host of one letter is a drive, and what has neither form is a path. Null stays null.
+    """
+
+    def parts(text: Column) -> Column:
+        """Host and path of one remote."""
+        address = _let(F.regexp_replace(F.substr(text, F.instr(text, "://") + 3), "[?#].*$", ""), lambda a: F.array(F.regexp_replace(F.substring_index(F.substring_index(a, "/", 1), "@", -1), ":[0-9]*$", ""), F.regexp_extract(a, "/(.*)$", 1)))
+        short = _let(F.regexp_replace(F.substring_index(text, ":", 1), "^[^@/]*@", ""), lambda h: F.when((F.instr(text, ":") > 0) & (F.length(h) > 1) & ~h.rlike(r"[/\\@]"), F.array(h, F.regexp_extract(text, ":(.*)$", 1))))
+        return F.when(F.instr(text, "://") > 0, address).otherwise(F.coalesce(short, F.array(F.lit(""), text)))
+
+    def joined(p: Column) -> Column:
+        path = F.regexp_replace(F.regexp_replace(F.element_at(p, 2), "^/+|/+$", ""), "[.]git$", "")
+        return F.lower(F.regexp_replace(F.concat(F.element_at(p, 1), F.lit("/"), path), "^/+|/+$", ""))
+
+    return F.when(remote.isNotNull(), _let(_let(F.trim(remote), parts), joined))
+
+
+def repo_id(root_commit: Column, remote: Column, path: Column) -> Column:
+    """16 hex digits of a repository: by its first commit, else its remote's place, else its path."""
+    return F.substring(F.sha2(F.coalesce(root_commit, git_place(remote), path), 256), 1, 16)

@@ -150,3 +150,18 @@ def merge_records(existing: DataFrame, incoming: DataFrame, policy: str) -> Data
     action = F.when(fresh, "inserted").when(alone, "untouched").when(F.coalesce(take, F.lit(False)), "updated").otherwise("skipped")
     use = fresh | (~alone & F.coalesce(take, F.lit(False)))
     return both.select(*[F.when(use, F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in existing.columns], action.alias("action"))
+
+
+def flattened_text() -> Column:
+    """One lower-case text of a memory's named fields, its lists, 'key value' of its properties, and its tags; empty fields are left out."""
+    names = [F.nullif(F.col(c), F.lit("")) for c in ("subject", "relation", "object", "name", "description", "entity_type", "domain")]
+    properties = F.transform(F.map_entries("properties"), lambda e: F.concat_ws(" ", e["key"], e["value"]))
+    lists = [F.array_join(c, " ") for c in (F.col("trigger_conditions"), F.col("steps"), properties, F.col("tags"))]
+    return F.lower(F.concat_ws(" ", *names, *lists))
+
+
+def with_access(mem: DataFrame, log: DataFrame) -> DataFrame:
+    """mem with the reads of a log (memory_id, at) added to access_count and last_used; updated_at stays, as reading changes nothing."""
+    reads = log.groupBy("memory_id").agg(F.count("*").alias("_reads"), F.max("at").alias("_last"))
+    both = mem.join(reads, "memory_id", "left")
+    return both.withColumn("access_count", F.col("access_count") + F.coalesce("_reads", F.lit(0))).withColumn("last_used", F.greatest("last_used", "_last")).drop("_reads", "_last")

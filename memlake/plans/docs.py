@@ -47,7 +47,6 @@ add("u05_reference_changes", lambda s, d: D.reference_changes(X.doc_refs(s, d).w
     f"""WITH {X.REFS}, k AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE page_id % 3 <> 0 OR length(ref_value) % 2 = 0), c AS (SELECT page_id AS doc_id, ref_value FROM refs WHERE length(ref_value) % 3 <> 0)
     SELECT doc_id, ref_value, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL
     SELECT doc_id, ref_value, 'add' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_value) AS rn FROM (SELECT * FROM c EXCEPT SELECT * FROM k)) WHERE rn <= 50""")
-QUERIES["l27_document_edges"], ORACLES["l27_document_edges"] = QUERIES["u05_reference_changes"], ORACLES["u05_reference_changes"]
 doc("j16_renames", lambda t: D.renames(t.where("doc_id % 2 = 0").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("hash")), t.where("doc_id % 2 = 1").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("hash"))),
     """WITH v AS (SELECT source || '/' || doc_id AS path, md5(text) AS h, doc_id % 2 AS side FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY side, h ORDER BY path) AS rn FROM v)
     SELECT a.path AS old_path, b.path AS new_path FROM n a JOIN n b ON a.h = b.h AND a.rn = b.rn AND a.side = 0 AND b.side = 1""")
@@ -81,7 +80,6 @@ doc("t19_shingles", lambda t: t.select("doc_id", F.size(T.shingles(F.col("text")
 doc("t23_origin_hash", lambda t: t.select("doc_id", F.substring(F.sha2(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), 256), 1, 12).alias("origin")), "SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 1, 12) AS origin FROM documents")
 doc("t15_clean_text", lambda t: t.select("doc_id", F.length(F.nullif(F.trim("text"), F.lit(""))).cast("long").alias("n")), "SELECT doc_id, length(nullif(trim(text), '')) AS n FROM documents")
 doc("f15_tokens_budget", lambda t: t.select("doc_id", approx_tokens(F.col("text")).cast("long").alias("tokens")), "SELECT doc_id, CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM documents")
-doc("t22_repo_digest", lambda t: t.select("source").distinct().select("source", F.substring(F.sha2("source", 256), 1, 16).alias("repo_id")), "SELECT DISTINCT source, substr(sha256(source), 1, 16) AS repo_id FROM documents")
 add("t21_url_normalise", lambda s, d: X.read(s, d, "pages").select("page_id", F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "([.]html|/)?([?#].*)?$", "")).alias("place")), "SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '([.]html|/)?([?#].*)?$', '')) AS place FROM pages")
 
 # ---- keyword search
@@ -111,7 +109,6 @@ doc("q03_bm25_prefix", lambda t: _bm25(t, True), _bm25_sql("starts_with(term, qu
 GROUPS = [["then", "than"], ["intion"], ["heiter", "heit"]]
 doc("q04_overlap_search", lambda t: L.overlap(t, "doc_id", T.tokens(F.col("text")), GROUPS).select("id", F.round("similarity", 6).alias("similarity")), f"WITH t AS (SELECT doc_id, {TOKENS} AS terms FROM documents) SELECT * FROM (SELECT doc_id AS id, round(({' + '.join(f'CAST(list_has_any(terms, [{_quoted(g)}]) AS INT)' for g in GROUPS)}) / 3.0, 6) AS similarity FROM t) WHERE similarity > 0")
 QUERIES["f08_overlap"], ORACLES["f08_overlap"] = QUERIES["q04_overlap_search"], ORACLES["q04_overlap_search"]
-add("l25_interaction_sources", lambda s, d: X.read(s, d, "conversations").groupBy(F.when(F.col("role") == "assistant", "agent_inference").otherwise("user_direct").alias("source_type")).agg(F.count("*").alias("n")), "SELECT CASE WHEN role = 'assistant' THEN 'agent_inference' ELSE 'user_direct' END AS source_type, count(*) AS n FROM conversations GROUP BY ALL")
 # ---- vectors
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 

@@ -158,8 +158,6 @@ def _named(s, d, reverse):
 
 add("q16_dependencies", lambda s, d: _named(s, d, False), _reach_sql(False))
 add("q17_impact", lambda s, d: _named(s, d, True), _reach_sql(True))
-ENTRY = "(^|/)(test_|conftest)|/1[0-9]*[.]py$"
-add("q18_unused_modules", lambda s, d: G.unused(X.code_nodes(s, d), _imports(s, d), F.col("file_path").rlike(ENTRY)).select("qualified_name"), f"WITH {CODE} SELECT qualified_name FROM code_nodes WHERE file_path IS NOT NULL AND NOT regexp_matches(file_path, '(^|/)(test_|conftest)|/1[0-9]*[.]py$') AND node_id NOT IN (SELECT dst_id FROM imports)")
 add("j12_both_ways", lambda s, d: _imports(s, d).select(F.col("src_id").alias("node_id")).intersect(_imports(s, d).select(F.col("dst_id").alias("node_id"))), f"WITH {CODE} SELECT src_id AS node_id FROM imports INTERSECT SELECT dst_id FROM imports")
 add(
     "q19_import_cycles",

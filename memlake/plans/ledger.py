@@ -222,7 +222,6 @@ def _reflected(s, d):
 add("t39_reflections", _reflected, f"""WITH {X.MEM}, g AS (SELECT subject, relation, count(*) AS n, min(object) AS o FROM mem GROUP BY ALL)
     SELECT subject, relation, 'Reflection: ' || CASE n % 4 WHEN 0 THEN subject || ' appears repeatedly in recent memory activity (' || n || ' occurrences).' WHEN 1 THEN subject || ' repeatedly ' || relation || ' ' || o || ' (' || n || ' occurrences).' WHEN 2 THEN subject || ' consistently demonstrates ' || o || ' (' || n || ' observations).'
       ELSE subject || ' repeatedly_' || relation || ' ' || o || ' (' || n || ' supporting memories).' END AS text FROM g""")
-add("p20_flattened_text", lambda s, d: _MEM(s, d).select("memory_id", F.lower(F.concat_ws(" ", "subject", "relation", "object", "domain", "doc_tier")).alias("text")), f"WITH {X.MEM} SELECT memory_id, lower(concat_ws(' ', subject, relation, object, domain, doc_tier)) AS text FROM mem")
 
 # ---- short strings
 add("t16_one_line", lambda s, d: X.read(s, d, "conversations").select("conv_id", "turn", F.md5(R.one_line(F.col("text"))).alias("digest")), "SELECT conv_id, turn, md5(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '')) AS digest FROM conversations")

@@ -137,7 +137,6 @@ simple("p15_recent_window", lambda m: O.active(m).where(S.days_between(NOW(), F.
 simple("p16_low_confidence", lambda m: O.active(m, "belief").where("confidence < 0.25").orderBy("confidence", "updated_at", "memory_id").limit(100).select("memory_id", "confidence"), "SELECT memory_id, confidence FROM mem WHERE status = 'active' AND memory_type = 'belief' AND confidence < 0.25 ORDER BY confidence, updated_at, memory_id LIMIT 100")
 simple("p17_superseded_report", lambda m: m.where("status = 'superseded'").orderBy(F.desc("updated_at"), "memory_id").limit(100).select("memory_id", "subject", "relation"), "SELECT memory_id, subject, relation FROM mem WHERE status = 'superseded' ORDER BY updated_at DESC, memory_id LIMIT 100")
 simple("p19_search_text", lambda m: O.active(m).select("memory_id", F.lower(F.concat_ws(" ", "subject", "relation", "object", "domain", "doc_tier")).alias("search_text")), "SELECT memory_id, lower(concat_ws(' ', subject, relation, object, domain, doc_tier)) AS search_text FROM mem WHERE status = 'active'")
-simple("p22_serialise", lambda m: O.active(m).select("memory_id", F.round("confidence", 1).alias("confidence")), "SELECT memory_id, round(confidence, 1) AS confidence FROM mem WHERE status = 'active'")
 
 TRANSITIONS = {"created": ("in_progress", "completed", "failed", "abandoned"), "in_progress": ("completed", "failed", "abandoned")}
 _STATES = "array('created','in_progress','completed','failed','abandoned')"
@@ -196,7 +195,6 @@ _context = f""", {NEWEST}, {SCORED}, l AS (SELECT *, CASE WHEN repo_id IS NULL O
     p AS (SELECT *, row_number() OVER (PARTITION BY is_foreign ORDER BY score DESC, memory_id) AS place FROM l)
     SELECT memory_id, is_foreign, round(score, 6) AS score FROM p WHERE is_foreign = 0 OR place <= 3 ORDER BY is_foreign, p.score DESC, memory_id LIMIT 12"""
 simple("q02_session_context", lambda m: O.context_rows(m, NOW(), "r2").select("memory_id", "is_foreign", F.round("score", 6).alias("score")), _context)
-QUERIES["w04_foreign_cap"], ORACLES["w04_foreign_cap"] = QUERIES["q02_session_context"], ORACLES["q02_session_context"]
 simple(
     "q31_store_health",
     lambda m: O.active(m).agg(F.count("*").alias("active"), F.count_if(O.is_local("r1")).alias("local"), F.count_if(~O.is_local("r1")).alias("foreign_rows")),
@@ -286,11 +284,6 @@ simple(
     lambda m: m.select("memory_id", F.when(F.col("event_id") % 10 == 0, "deprecated").when(F.col("event_id") % 10 == 1, "archived").otherwise(F.col("status")).alias("status"), S.clamp01(F.when(F.col("event_id") % 10 == 2, F.col("confidence") + 0.5).otherwise(F.col("confidence"))).alias("confidence")),
     "SELECT memory_id, CASE event_id % 10 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'archived' ELSE status END AS status, greatest(0, least(1, CASE WHEN event_id % 10 = 2 THEN confidence + 0.5 ELSE confidence END)) AS confidence FROM mem",
 )
-simple(
-    "l12_access_log",
-    lambda m: m.where("last_used is not null").groupBy("subject").agg(F.sum(F.col("access_count") + 1).cast("long").alias("accesses"), F.max(F.floor(F.unix_micros(F.col("last_used").cast("timestamp")) / 1000000)).cast("long").alias("last_accessed")),
-    "SELECT subject, CAST(sum(access_count + 1) AS BIGINT) AS accesses, CAST(floor(max(epoch_us(last_used)) / 1000000) AS BIGINT) AS last_accessed FROM mem WHERE last_used IS NOT NULL GROUP BY subject",
-)
 simple(
     "j01_hydrate",
     lambda m: m.where("event_id % 50 = 0").select("memory_id", (F.col("event_id") / 50).cast("long").alias("hit_pos")).join(O.active(m), "memory_id").where("doc_tier is null or doc_tier <> 'TX'").select("memory_id", "hit_pos", "memory_type"),

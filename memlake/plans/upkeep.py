@@ -97,18 +97,6 @@ def _like(value) -> str:
 add("p18_path_types", _typed, f"WITH p AS (SELECT {PLACES}[CAST(doc_id % 8 + 1 AS INT)] || {FILES}[CAST((doc_id // 8) % 8 + 1 AS INT)] || doc_id || '.md' AS path FROM documents) SELECT path, {_like(lambda n, t: n)} ELSE 'unknown' END AS kind, {_like(lambda n, t: t or 'T2')} ELSE 'T2' END AS tier FROM p")
 
 
-def _status(r):
-    """What is known of each tenth path that is asked for, also of unknown ones, and what took its place."""
-    asked = r.where("num % 10 < 2").select(F.when(F.col("num") % 30 == 1, F.concat(F.lit("old/"), "rel_path")).otherwise(F.col("rel_path")).alias("rel_path"))
-    known = asked.join(r.select("rel_path", "doc_id", "doc_type", "tier", "lifecycle", "superseded_by"), "rel_path", "left")
-    by = r.select(F.col("doc_id").alias("superseded_by"), F.col("rel_path").alias("successor"))
-    return known.join(by, "superseded_by", "left").select("rel_path", "doc_type", "tier", F.coalesce("lifecycle", F.lit("unknown")).alias("lifecycle"), "successor")
-
-
-reg("q22_doc_status", _status, """, a AS (SELECT CASE WHEN num % 30 = 1 THEN 'old/' || rel_path ELSE rel_path END AS rel_path FROM registry WHERE num % 10 < 2)
-    SELECT a.rel_path, r.doc_type, r.tier, coalesce(r.lifecycle, 'unknown') AS lifecycle, s.rel_path AS successor FROM a LEFT JOIN registry r ON r.rel_path = a.rel_path LEFT JOIN registry s ON s.doc_id = r.superseded_by""")
-
-
 def _dead(s, d):
     refs = X.markdown(s, d).select("page_id", F.explode(L.extract_refs(F.col("text"))).alias("r")).select("page_id", "r.kind", "r.value")
     files = X.read(s, d, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("src/p"), (F.col("page_id") % 5).cast("string"), F.lit(".py")).alias("path")).distinct()

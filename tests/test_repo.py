@@ -117,3 +117,11 @@ def test_synthetic_store(spark):
     share = {r.memory_type: r["count"] / 4000 for r in rows.groupBy("memory_type").count().collect()}
     assert abs(share["belief"] - 0.55) < 0.03 and abs(share["world_model"] - 0.08) < 0.02
     assert rows.where("age_days < 0 or age_days > 730 or size(tags) > 2").count() == 0 and rows.collect() == S.synthetic_store(spark, 4000, 3).collect()
+
+
+REMOTES = {"https://User@Host.org:8443/Org/r.git/": "host.org/org/r", "git@host.org:Org/R.git": "host.org/org/r", "host.org:r": "host.org/r", "C:\\work\\x": "c:\\work\\x", "C:/work/x": "c:/work/x", "/srv/x.git": "srv/x", "http://h.org/a?x#y": "h.org/a", "ssh://h": "h", "a/b:c": "a/b:c", "": "", None: None}
+
+
+def test_git_place(spark):
+    rows = spark.createDataFrame([(k,) for k in REMOTES], "r string")
+    assert {r.r: r.p for r in rows.select("r", R.git_place(F.col("r")).alias("p")).collect()} == REMOTES
