@@ -65,8 +65,16 @@ add("l12_access_log", _accessed, f"""WITH {X.MEM}, g AS (SELECT 'm' || lpad(CAST
     SELECT memory_id, access_count + coalesce(n, 0) AS access_count, coalesce(epoch_us(greatest(coalesce(last_used, last), coalesce(last, last_used))), -1) AS last_used, epoch_us(updated_at) AS updated_at FROM mem LEFT JOIN g USING (memory_id)""")
 
 # ---- feeds
-_PLACED = Window.partitionBy("user_id", "is_foreign").orderBy(F.desc("confidence"), "memory_id")
-add("w04_foreign_cap", lambda s, d: O.active(X.mem(s, d)).where("user_id is not null").withColumn("is_foreign", F.when(O.is_local("r2"), 0).otherwise(1)).withColumn("place", F.row_number().over(_PLACED)).where("is_foreign = 0 or place <= 3").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("is_foreign", F.desc("confidence"), "memory_id"))).where("rank <= 12").select("user_id", "memory_id", "is_foreign", "rank"),
+def _capped(s, d):
+    """Of each tenant's feed three rows of other repositories at most, and twelve in all."""
+    rows = O.active(X.mem(s, d)).where("user_id is not null").withColumn("is_foreign", F.when(O.is_local("r2"), 0).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("user_id", "is_foreign").orderBy(F.desc("confidence"), "memory_id"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("is_foreign", F.desc("confidence"), "memory_id"))
+    kept = rows.withColumn("place", place).where("is_foreign = 0 or place <= 3").withColumn("rank", rank)
+    return kept.where("rank <= 12").select("user_id", "memory_id", "is_foreign", "rank")
+
+
+add("w04_foreign_cap", _capped,
     f"""WITH {X.MEM}, l AS (SELECT *, CASE WHEN repo_id IS NULL OR repo_id = 'r2' OR lower(trim(subject)) = 'user' THEN 0 ELSE 1 END AS is_foreign FROM mem WHERE status = 'active' AND user_id IS NOT NULL),
     p AS (SELECT *, row_number() OVER (PARTITION BY user_id, is_foreign ORDER BY confidence DESC, memory_id) AS place FROM l), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY is_foreign, confidence DESC, memory_id) AS INT) AS rank FROM p WHERE is_foreign = 0 OR place <= 3)
     SELECT user_id, memory_id, is_foreign, rank FROM r WHERE rank <= 12""")
