@@ -141,7 +141,7 @@ def _unused(s, d):
     return G.unused(nodes.join(declared, "file_path", "left_anti"), _few_imports(s, d), R.is_entry_file(F.col("file_path")) | F.col("guarded")).select("qualified_name", "file_path")
 
 
-add("q18_unused_modules", _unused, f"""WITH {CODE}, m AS (SELECT p_partkey, 'P' || p_partkey AS node_id, CASE WHEN p_size = 1 THEN NULL ELSE {_ENTRIES_SQL} END AS file_path, p_size % 9 = 0 AS guarded, p_size % 7 IN (1, 2, 3) OR p_partkey % 6 IN (1, 3) OR (p_size % 7 = 0 AND p_partkey % 6 = 0) AS known FROM part),
+add("q18_modules_without_use", _unused, f"""WITH {CODE}, m AS (SELECT p_partkey, 'P' || p_partkey AS node_id, CASE WHEN p_size = 1 THEN NULL ELSE {_ENTRIES_SQL} END AS file_path, p_size % 9 = 0 AS guarded, p_size % 7 IN (1, 2, 3) OR p_partkey % 6 IN (1, 3) OR (p_size % 7 = 0 AND p_partkey % 6 = 0) AS known FROM part),
     dc AS (SELECT regexp_replace({_ENTRIES_SQL}, '^[./]+', '') AS file_path FROM part WHERE p_partkey % 4 = 0)
     SELECT 'mod.' || p_partkey AS qualified_name, file_path FROM m WHERE file_path IS NOT NULL AND NOT known AND NOT guarded AND file_path NOT IN (SELECT file_path FROM dc) AND node_id NOT IN (SELECT dst_id FROM code_edges WHERE invalid)""")
 
@@ -154,7 +154,7 @@ def _described(s, d):
     return D.reference_changes(known, current).select(F.col("doc_id").alias("document"), F.col("ref_value").alias("file"), F.lit("describes").alias("relation"), "change")
 
 
-add("l27_document_edges", _described, """WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) || '.md' AS h FROM pages),
+add("l27_described_edges", _described, """WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) || '.md' AS h FROM pages),
     v AS (SELECT DISTINCT page_id, regexp_replace(h, '#.*$', '') AS value FROM h WHERE NOT regexp_matches(h, '^https?://') AND NOT regexp_matches(h, '[)\\s]')),
     r AS (SELECT 'docs/p' || page_id || '.md' AS document, value AS file FROM v WHERE regexp_matches(value, '^[A-Za-z0-9_.@/\\\\-]+$') AND (contains(value, '/') OR ends_with(value, '.md')) UNION SELECT 'docs/p' || page_id || '.md', 'src/p' || (page_id % 7) || '.py' FROM pages UNION SELECT 'docs/p' || page_id || '.md', 'src/p' || (page_id % 5) || '.py' FROM pages),
     k AS (SELECT * FROM r WHERE length(file) % 2 = 0), c AS (SELECT * FROM r WHERE length(file) % 3 <> 0)
