@@ -76,7 +76,7 @@ class Registry:
         action = (
             F.when((F.col("verdict") == "classify") & ~shape, "invalid")
             .when((F.col("verdict") == "fulfill") & (F.coalesce(F.size("facts"), F.lit(0)) <= 0), "invalid")
-            .when(~F.col("verdict").isin("classify", "supersede", "fulfill", "archive", "restore"), "invalid")
+            .when(~F.coalesce(F.col("verdict").isin("classify", "supersede", "fulfill", "archive", "restore"), F.lit(False)), "invalid")
             .when(F.col("doc_id").isNull() | ((F.col("verdict") == "supersede") & F.col("by_id").isNull()) | ((F.col("verdict") == "restore") & (F.col("lifecycle") != "archived")), "missing")
             .when(~F.col("first"), "later")
             .when(F.col("again"), "unchanged")

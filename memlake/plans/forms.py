@@ -160,3 +160,42 @@ add("l27_described_edges", _described, """WITH h AS (SELECT DISTINCT page_id, un
     k AS (SELECT * FROM r WHERE length(file) % 2 = 0), c AS (SELECT * FROM r WHERE length(file) % 3 <> 0)
     SELECT document, file, 'describes' AS relation, 'invalidate' AS change FROM (SELECT * FROM k EXCEPT SELECT * FROM c) UNION ALL
     SELECT document, file, 'describes', 'add' FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY file) AS rn FROM (SELECT * FROM c EXCEPT SELECT * FROM k)) WHERE rn <= 50""")
+
+
+# ---- scan by words
+def _holding(s, d):
+    """Active notes that hold any word of a first turn, as they are written, case aside."""
+    words = X.read(s, d, "conversations").where("role = 'user' and turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))).alias("phrase"))
+    notes = X.notes(s, d).where("status = 'active'").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    return PH.phrase_hits(notes, words).join(words, "phrase").select("query_id", F.col("text_id").alias("doc_id")).distinct()
+
+
+add("p09_scan_words", _holding, f"""WITH {X.NOTES}, w AS (SELECT DISTINCT conv_id AS query_id, unnest(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)) AS w FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 20 = 0)
+    SELECT DISTINCT query_id, doc_id FROM w JOIN notes ON status = 'active' AND contains(lower(text), w)""")
+
+
+# ---- export
+_STAMP, _STAMP_SQL = "date_format({}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _export(s, d):
+    """A store as lines: memories with content and metadata, the graph's edges and the documents, after a header with their numbers; ``place`` and ``made`` are the order."""
+    m = X.mem(s, d)
+    content, meta = F.struct("subject", "relation", "object", "domain", "is_negation"), F.struct("access_count", "doc_tier", "repo_id")
+    memories = m.select(F.lit("memory").alias("section"), F.lit(1).alias("place"), F.expr(_STAMP.format("created_at")).alias("made"), "memory_id", F.struct("memory_id", "memory_type", "user_id", "status", content.alias("content"), meta.alias("metadata")).alias("row"))
+    lines = memories.select("section", "place", "made", F.col("memory_id").alias("id"), F.to_json("row", {"ignoreNullFields": "false"}).alias("line"))
+    e = X.edges(s, d)
+    edges = e.select(F.lit("edge").alias("section"), F.lit(2).alias("place"), F.expr(_STAMP.format("valid_from")).alias("made"), F.col("edge_id").alias("id"), F.to_json(F.struct("edge_id", "src_id", "dst_id", "relation", "belief_id"), {"ignoreNullFields": "false"}).alias("line"))
+    r = X.doc_registry(s, d)
+    docs = r.select(F.lit("document").alias("section"), F.lit(3).alias("place"), F.lit("").alias("made"), F.col("doc_id").alias("id"), F.to_json(F.struct("doc_id", "rel_path", "doc_type", "tier", "lifecycle", "superseded_by"), {"ignoreNullFields": "false"}).alias("line"))
+    body = lines.unionByName(edges).unionByName(docs)
+    counts = body.agg(F.count_if(F.col("section") == "memory").alias("memories"), F.count_if(F.col("section") == "edge").alias("edges"), F.count_if(F.col("section") == "document").alias("documents"))
+    header = counts.select(F.lit("header").alias("section"), F.lit(0).alias("place"), F.lit("").alias("made"), F.lit("").alias("id"), F.to_json(F.struct("memories", "edges", "documents")).alias("line"))
+    return header.unionByName(body).orderBy("place", "made", "id")
+
+
+add("s04_export_store", _export, f"""WITH {X.MEM}, {X.EDGES}, {X.REGISTRY}, b AS (
+    SELECT 'memory' AS section, 1 AS place, {_STAMP_SQL.format('created_at')} AS made, memory_id AS id, CAST(json_object('memory_id', memory_id, 'memory_type', memory_type, 'user_id', user_id, 'status', status, 'content', json_object('subject', subject, 'relation', relation, 'object', object, 'domain', domain, 'is_negation', is_negation), 'metadata', json_object('access_count', access_count, 'doc_tier', doc_tier, 'repo_id', repo_id)) AS VARCHAR) AS line FROM mem
+    UNION ALL SELECT 'edge', 2, {_STAMP_SQL.format('valid_from')}, edge_id, CAST(json_object('edge_id', edge_id, 'src_id', src_id, 'dst_id', dst_id, 'relation', relation, 'belief_id', belief_id) AS VARCHAR) FROM edges
+    UNION ALL SELECT 'document', 3, '', doc_id, CAST(json_object('doc_id', doc_id, 'rel_path', rel_path, 'doc_type', doc_type, 'tier', tier, 'lifecycle', lifecycle, 'superseded_by', superseded_by) AS VARCHAR) FROM registry)
+    SELECT * FROM b UNION ALL SELECT 'header', 0, '', '', '{{"memories":' || count(*) FILTER (section = 'memory') || ',"edges":' || count(*) FILTER (section = 'edge') || ',"documents":' || count(*) FILTER (section = 'document') || '}}' FROM b""")

@@ -189,3 +189,9 @@ def _kept_judgement(s, d):
 
 add("l23_judgement_kept", _kept_judgement, f"""{_VERDICTS}, c AS (SELECT doc_id, to_tier FROM k1 WHERE action = 'classified')
     SELECT r.doc_id, CASE WHEN c.doc_id IS NOT NULL THEN 'runbook' WHEN num % 3 <> 1 THEN 'spec' ELSE doc_type END AS doc_type, CASE WHEN c.doc_id IS NOT NULL THEN coalesce(to_tier, tier) WHEN num % 3 <> 1 THEN 'T3' ELSE tier END AS tier, CASE WHEN c.doc_id IS NOT NULL THEN 'claude' ELSE 'heuristic' END AS type_source FROM registry r LEFT JOIN c USING (doc_id)""")
+
+
+# ---- dead references
+add("q24_dead_refs", lambda s, d: _signals_of(s, d).where("dead_files + dead_symbols > 0").select("path", "dead_files", "dead_symbols"), f"""WITH {_AT},
+    df AS (SELECT k, count(*) AS n FROM fr WHERE value NOT IN (SELECT path FROM fl) GROUP BY k), dy AS (SELECT k, count(*) AS n FROM sy WHERE 'src/p' || n || '.py' NOT IN (SELECT path FROM fl) OR n % 3 <> 0 GROUP BY k)
+    SELECT 'docs/p' || k || '.md' AS path, CAST(coalesce(df.n, 0) AS BIGINT) AS dead_files, CAST(coalesce(dy.n, 0) AS BIGINT) AS dead_symbols FROM pg LEFT JOIN df USING (k) LEFT JOIN dy USING (k) WHERE coalesce(df.n, 0) + coalesce(dy.n, 0) > 0""")

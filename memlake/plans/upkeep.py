@@ -97,20 +97,6 @@ def _like(value) -> str:
 add("p18_path_types", _typed, f"WITH p AS (SELECT {PLACES}[CAST(doc_id % 8 + 1 AS INT)] || {FILES}[CAST((doc_id // 8) % 8 + 1 AS INT)] || doc_id || '.md' AS path FROM documents) SELECT path, {_like(lambda n, t: n)} ELSE 'unknown' END AS kind, {_like(lambda n, t: t or 'T2')} ELSE 'T2' END AS tier FROM p")
 
 
-def _dead(s, d):
-    refs = X.markdown(s, d).select("page_id", F.explode(L.extract_refs(F.col("text"))).alias("r")).select("page_id", "r.kind", "r.value")
-    files = X.read(s, d, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("src/p"), (F.col("page_id") % 5).cast("string"), F.lit(".py")).alias("path")).distinct()
-    needed = refs.where("kind in ('file', 'doc', 'symbol')").withColumn("path", F.substring_index("value", "::", 1))
-    gone = needed.join(files, "path", "left_anti")
-    return gone.groupBy("page_id").agg(F.count_if(F.col("kind") != "symbol").alias("files"), F.count_if(F.col("kind") == "symbol").alias("symbols"))
-
-
-add("q24_dead_refs", _dead, """WITH h AS (SELECT DISTINCT page_id, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) || '.md', '#.*$', '') AS value FROM pages),
-    l AS (SELECT DISTINCT page_id, value FROM h WHERE regexp_matches(value, '^[A-Za-z0-9_.@/\\\\-]+$') AND (contains(value, '/') OR ends_with(value, '.md'))),
-    s AS (SELECT page_id, 'src/p' || (page_id % 7) || '.py' AS value FROM pages UNION SELECT page_id, 'src/p' || (page_id % 5) || '.py' FROM pages),
-    f AS (SELECT DISTINCT 'src/p' || (page_id % 5) || '.py' AS path FROM pages WHERE page_id % 2 = 0),
-    g AS (SELECT page_id FROM l WHERE value NOT IN (SELECT path FROM f) UNION ALL SELECT page_id FROM s WHERE value NOT IN (SELECT path FROM f))
-    SELECT page_id, count(*) AS files, CAST(0 AS BIGINT) AS symbols FROM g GROUP BY page_id""")
 reg("j18_supersession_chain", lambda r: D.superseding_chain(r.withColumn("superseded_by", F.when(F.col("num") % 50 < 49, F.concat(F.lit("D"), (F.col("num") + 1).cast("string"))))), """, c AS (SELECT doc_id, num, num - num % 50 + 49 AS target FROM registry WHERE num % 50 < 49), m AS (SELECT max(num) AS most FROM registry)
     SELECT doc_id, 'D' || least(target, most + 1) AS last, CAST(least(target, most + 1) - num AS INT) AS hops FROM c, m""")
 
