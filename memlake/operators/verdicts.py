@@ -96,7 +96,7 @@ class Registry:
             F.when(was == "classified", F.trim("doc_type")).otherwise(F.col("old_type")).alias("doc_type"),
             F.when(was == "classified", F.coalesce("tier", "old_tier")).otherwise(F.col("old_tier")).alias("tier"),
             lifecycle.alias("lifecycle"),
-            F.when(was == "classified", "claude").otherwise(F.col("type_source")).alias("type_source"),
+            F.when(was == "classified", "agent").otherwise(F.col("type_source")).alias("type_source"),
             F.when(was == "superseded", F.col("by_id")).otherwise(F.col("superseded_by")).alias("superseded_by"),
             F.when(was == "fulfilled", F.to_json(F.struct("evidence", ids.alias("memory_ids")))).otherwise(F.col("fulfilled_by")).alias("fulfilled_by"),
         )
@@ -111,7 +111,7 @@ class Registry:
 
 def rescanned(registry: DataFrame, found: DataFrame) -> DataFrame:
     """Registry rows after a scan found (rel_path, hash, doc_type, tier, type_source): types and tiers that a person or a reviewer has set stay."""
-    own = F.col("r.type_source").isin("claude", "user")
+    own = F.col("r.type_source").isin("agent", "user")
     both = registry.alias("r").join(found.alias("f"), F.col("r.rel_path") == F.col("f.rel_path"), "left")
     pick = lambda c: F.when(own | F.col("f.rel_path").isNull(), F.col(f"r.{c}")).otherwise(F.col(f"f.{c}")).alias(c)
     return both.select("r.doc_id", "r.rel_path", F.coalesce("f.hash", "r.hash").alias("hash"), pick("doc_type"), pick("tier"), "r.lifecycle", pick("type_source"), "r.superseded_by", "r.fulfilled_by")

@@ -188,7 +188,7 @@ def _kept_judgement(s, d):
 
 
 add("l23_judgement_kept", _kept_judgement, f"""{_VERDICTS}, c AS (SELECT doc_id, to_tier FROM k1 WHERE action = 'classified')
-    SELECT r.doc_id, CASE WHEN c.doc_id IS NOT NULL THEN 'runbook' WHEN num % 3 <> 1 THEN 'spec' ELSE doc_type END AS doc_type, CASE WHEN c.doc_id IS NOT NULL THEN coalesce(to_tier, tier) WHEN num % 3 <> 1 THEN 'T3' ELSE tier END AS tier, CASE WHEN c.doc_id IS NOT NULL THEN 'claude' ELSE 'heuristic' END AS type_source FROM registry r LEFT JOIN c USING (doc_id)""")
+    SELECT r.doc_id, CASE WHEN c.doc_id IS NOT NULL THEN 'runbook' WHEN num % 3 <> 1 THEN 'spec' ELSE doc_type END AS doc_type, CASE WHEN c.doc_id IS NOT NULL THEN coalesce(to_tier, tier) WHEN num % 3 <> 1 THEN 'T3' ELSE tier END AS tier, CASE WHEN c.doc_id IS NOT NULL THEN 'agent' ELSE 'heuristic' END AS type_source FROM registry r LEFT JOIN c USING (doc_id)""")
 
 
 # ---- dead references
