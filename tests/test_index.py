@@ -108,3 +108,18 @@ def test_one_of_many_writers_wins(spark, tmp_path):
     threads = [threading.Thread(target=write, args=(k,)) for k in range(6)]
     [t.start() for t in threads], [t.join() for t in threads]
     assert files.versions() == [1] and files.manifest()["parts"][0]["folder"] in map(str, won)
+
+
+def test_postings_are_by_block(spark):
+    """A word of every document is a row a block of them, and totals count what is there; before, it was a row a document."""
+    rows = {i: "zone retry" + " zone" * (i % 3) + (" 𐐷𐐷𐐲" if i % 2 else "") for i in range(200)}
+    index = IX.KeptIndex(spark).apply(made(spark, rows).coalesce(1))
+    for kind, term in (("stems", "zone"), ("grams", "zon")):
+        assert index.stored(kind).where(f"term = '{term}'").count() == 4
+    index.apply(made(spark, {0: None, 5: "retry", 300: "zone zone zone"}))
+    left = (rows | {5: "retry", 300: "zone zone zone"}).items()
+    for i in (index, index.merge()):
+        got = {r.term: (r.df, r.tf) for r in i.totals("stems").collect()}
+        assert got["zone"] == (199, sum(t.split().count("zone") for k, t in left if k)) and got["retri"] == (199, 199)
+        assert {r.term: r.df for r in i.totals("grams").collect()}["zon"] == 199
+    assert index.holders(spark.createDataFrame([("𐐷𐐷𐐲",)], "word string")).count() == 99  # letters outside the basic plane
