@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from memlake.operators import graph as G
 from memlake.plans import graph as P
 from memlake.plans import registry
 from memlake.sources import fixtures as X
@@ -77,3 +78,31 @@ def test_cycles(spark, tables):
     want = sorted((len(k), c) for k, c in found.items())[:20]
     got = [(r.length, r.cycle) for r in P.QUERIES["q19_import_cycles"](spark, d).collect()]
     assert got == want and want
+
+
+def test_reach_of_many_seeds_by_masks(spark):
+    """More seeds than a mask has bits, against a plain walk; with ``enough`` the nearest are all there. A seed was a row a node before."""
+    from pathlib import Path
+
+    rng = random.Random(12)
+    links = {(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(450)}
+    edges = spark.createDataFrame(sorted(links), "src_id string, dst_id string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(150)], "node_id string").coalesce(1)
+    want = {}
+    for i in range(150):
+        seen, here = {f"n{i}"}, {f"n{i}"}
+        for d in (1, 2, 3):
+            here = {b for a, b in links if a in here} - seen
+            seen |= here
+            want |= {(f"n{i}", b): d for b in here}
+    rows = G.reach(edges, seeds, 3).collect()
+    assert {(r.seed, r.node_id): r.depth for r in rows} == want and len(rows) == len(want)
+    level = max(Path(spark.conf.get("spark.checkpoint.dir")[7:]).glob("memlake/reach-2-*"), key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(f"file://{level}").count() < sum(d == 2 for d in want.values()) / 2
+    labels = spark.createDataFrame([(f"n{i}", f"name {i}") for i in range(0, 150, 2)], "node_id string, name string")
+    named = {(s, n): d for (s, n), d in want.items() if int(n[1:]) % 2 == 0}
+    got = {(r.seed, r.node_id): r.depth for r in G.reach(edges, seeds, 3, labels=labels, enough=4).collect()}
+    assert set(got.items()) <= set(named.items()) and len(got) < len(named)
+    for i in range(150):
+        nearest = sorted((d, n) for (s, n), d in named.items() if s == f"n{i}")[:4]
+        assert sorted((d, n) for (s, n), d in got.items() if s == f"n{i}")[:4] == nearest
