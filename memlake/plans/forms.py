@@ -165,9 +165,9 @@ add("l27_described_edges", _described, """WITH h AS (SELECT DISTINCT page_id, un
 # ---- scan by words
 def _holding(s, d):
     """Active notes that hold any word of a first turn, as they are written, case aside."""
-    words = X.read(s, d, "conversations").where("role = 'user' and turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))).alias("phrase"))
+    words = X.read(s, d, "conversations").where("role = 'user' and turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("owner"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 3))).alias("phrase"))
     notes = X.notes(s, d).where("status = 'active'").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
-    return PH.phrase_hits(notes, words).join(words, "phrase").select("query_id", F.col("text_id").alias("doc_id")).distinct()
+    return PH.owners_in(notes, words).select(F.col("owner").alias("query_id"), F.col("text_id").alias("doc_id"))
 
 
 add("p09_scan_words", _holding, f"""WITH {X.NOTES}, w AS (SELECT DISTINCT conv_id AS query_id, unnest(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)) AS w FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 20 = 0)

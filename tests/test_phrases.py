@@ -46,3 +46,10 @@ def test_sole_triggers_are_not_shuffled_as_pairs(spark):
     k = spark.createDataFrame([("a", "Run"), ("a", "run"), ("b", "it")], "skill_id string, trigger string")
     pairs = PH.matched_skills(t, k)
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, "a"), (1, "b")] and not any("Exchange" in x for x in above_cells(pairs))
+
+
+def test_scan_by_words_makes_pairs_in_cells(spark):
+    import __spark_entry__ as E
+
+    found = E.queries()["p09_scan_words"](spark, E.SMOKE_DIR)
+    assert not any("Exchange" in x for x in above_cells(found)) and found.count() == found.distinct().count() > 0
