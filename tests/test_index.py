@@ -123,3 +123,25 @@ def test_postings_are_by_block(spark):
         assert got["zone"] == (199, sum(t.split().count("zone") for k, t in left if k)) and got["retri"] == (199, 199)
         assert {r.term: r.df for r in i.totals("grams").collect()}["zon"] == 199
     assert index.holders(spark.createDataFrame([("𐐷𐐷𐐲",)], "word string")).count() == 99  # letters outside the basic plane
+
+
+def test_prefixes_are_dealt_over_tasks(spark, monkeypatch):
+    """Buckets of few bytes are looked up in a task each, in parts of few prefixes; their sums are those of all terms, also where a term fills several buckets."""
+    monkeypatch.setattr(IX, "BUCKET_ROWS", 12)
+    monkeypatch.setattr(IX, "PREFIXES", 2)
+    rows = {i: f"zone w{i % 20:02d} v{i}" for i in range(64)} | {i: "zone" for i in range(64, 200)}
+    index = IX.KeptIndex(spark, kinds=("stems",)).apply(made(spark, rows))
+    assert index.kinds == ("stems",) and {p["what"] for p in index.parts} == {"docs", "stems", "stems-pages", "stems-bounds"}
+    assert index.rows("stems").where("term = 'zone'").select("bucket").distinct().count() > 1
+    asked = spark.createDataFrame([(p,) for p in ("", "w", "w1", "w17", "v", "v19", "zone", "zones", "x", None)], "prefix string")
+    met = index.begins_with("stems", asked)
+    assert met.rdd.getNumPartitions() >= index.stored("stems-bounds").count() > 5
+
+    def totals(i):
+        df = {r.term: r.df for r in i.begins_with("stems", spark.createDataFrame([("",)], "prefix string")).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        return {(p, len(t), sum(df[x] for x in t), min(t)) for p in ("", "w", "w1", "w17", "v", "v19", "zone", "zones", "x") if (t := [x for x in df if x.startswith(p)])}
+
+    assert {tuple(r) for r in index.prefix_totals("stems", asked).collect()} == totals(index)
+    index.apply(made(spark, {7: "zone w01", 500: "zoned"}))
+    assert index.kinds == ("stems",) and {tuple(r) for r in index.prefix_totals("stems", asked).collect()} == totals(index)
+    assert {r.term for r in index.merge().begins_with("stems", asked.where("prefix = 'w1'")).collect()} == {f"w1{k}" for k in range(10)}
