@@ -17,6 +17,8 @@ from memlake.sources.versions import Versions
 #: Folders of the gate's state, by hash of the path; a batch rewrites those that it touches.
 BUCKETS = 16
 STATE = "path string, hash string, seq long, bucket int"
+#: Rows of a file of ``in_pieces``.
+FILE_ROWS = 250_000
 EFFECT = "seq long, path string, hash string, action string"
 
 
@@ -75,14 +77,25 @@ def run(spark: SparkSession, changes: DataFrame, drain: Drain, checkpoint: str)
 
 
 def in_pieces(rows: DataFrame, order: str, pieces: int, path: str) -> DataFrame:
-    """rows as a stream of ``pieces`` batches, in the order of a numeric column: each is written as files of its own, one after the other."""
+    """rows as a stream of ``pieces`` batches, in the order of a numeric column: each is written as files of its own, one after the other.
+
+    A batch is a number of files, so each piece has as many: by the rows of
+    all, and empty ones where a piece has too few.
+    """
+    spark = rows.sparkSession
     cuts = rows.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [k / pieces for k in range(1, pieces)], 0.01)
     edges = [None, *cuts, None]
+    files = max(1, -(-rows.count() // (pieces * FILE_ROWS)))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     for k in range(pieces):
         some = rows
         if edges[k] is not None:
             some = some.where(F.col(order) > edges[k])
         if edges[k + 1] is not None:
             some = some.where(F.col(order) <= edges[k + 1])
-        some.coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some.repartition(files).write.mode("append").parquet(path)
+        there = sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(place))
+        for _ in range((k + 1) * files - there):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)

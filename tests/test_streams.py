@@ -98,3 +98,57 @@ def test_killed_process(spark, tmp_path):
     assert ended.returncode == -signal.SIGKILL and drain.files.versions() == [1, 2]
     DR.run(spark, changes, drain, f"{path}/check")
     assert sorted(tuple(r) for r in drain.effects().collect()) == EFFECTS and drain.files.versions() == [1, 2, 3]
+
+
+def test_pieces_are_several_files(spark, tmp_path, monkeypatch):
+    """Each batch is one piece, all its files, also where a piece has fewer rows than files."""
+    monkeypatch.setattr(DR, "FILE_ROWS", 10)
+    ms = [1] * 97 + [2, 3, *range(100, 161)]
+    rows = spark.createDataFrame([(f"k{i % 7}", i, m) for i, m in enumerate(ms)], "key string, seq long, ms long")
+    batches = []
+    stream = DR.in_pieces(rows, "ms", 4, f"file://{tmp_path}/in")
+    stream.writeStream.foreachBatch(lambda b, n: batches.append([r.ms for r in b.select("ms").collect()])).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 4 and sorted(m for b in batches for m in b) == sorted(ms)
+    assert len(list((tmp_path / "in").glob("part-*"))) == 16
+    seen = [b for b in batches if b]
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))
+
+
+def test_state_is_read_once_a_batch():
+    """However many rows a key has in a batch."""
+
+    class Value:
+        asked = 0
+        value = ("created", 0)
+
+        def exists(self):
+            Value.asked += 1
+            return True
+
+        def get(self):
+            Value.asked += 1
+            return self.value
+
+        def update(self, value):
+            Value.asked += 1
+
+    class Handle:
+        def registerTimer(self, at):
+            Value.asked += 1
+
+        deleteTimer = registerTimer
+
+        def getValueState(self, name, schema):
+            return Value()
+
+    import pandas as pd
+
+    n = 500
+    cycle, claims = ST.LifeCycle(), ST.Claims()
+    cycle.init(Handle())
+    out = list(cycle.handleInputRows(("a",), iter([pd.DataFrame({"seq": range(n), "ms": [k * ST.FORGET_MS for k in range(n)], "wanted": ["failed"] * n})]), None))[0]
+    assert out["accepted"].all() and len(out) == n and Value.asked <= 5
+    Value.asked, Value.value = 0, (1, 0)
+    claims.init(Handle())
+    out = list(claims.handleInputRows(("a",), iter([pd.DataFrame({"seq": range(n), "ms": [k * ST.STALE_MS for k in range(n)], "worker": [1] * n, "kind": ["claim"] * n})]), None))[0]
+    assert (out["kind"] == "free").sum() == n - 1 and Value.asked <= 5
