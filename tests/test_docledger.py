@@ -1,4 +1,5 @@
 from memlake.operators import docledger as DL
+from memlake.sources.versions import Tables
 
 
 def made(spark, rows):
@@ -33,3 +34,16 @@ def test_first_symbols_count(spark):
     ledger = DL.DocLedger(spark)
     ledger.scan(made(spark, {"a.md": " ".join(f"m.py::f{k}" for k in range(12)), "m.py": "f0 f1 f11"}))
     assert state(ledger) == {"a.md": (None, None, 0, DL.PROBES - 2)}
+
+
+def test_a_folder_is_written_by_several_tasks(spark):
+    """Rows of one key, as of a file that all documents refer to, aren't one task's."""
+    tables, schema = Tables(spark), "target string, path string"
+    new = spark.range(4000).selectExpr("'m.py' as target", "concat('d', id, '.md') as path")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = tables.change([], "targets", "target", schema, new.limit(0), new)
+        rows = tables.rows(parts, "targets", schema)
+        assert rows.count() == 4000 and len(rows.inputFiles()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
