@@ -53,3 +53,13 @@ def test_scan_by_words_makes_pairs_in_cells(spark):
 
     found = E.queries()["p09_scan_words"](spark, E.SMOKE_DIR)
     assert not any("Exchange" in x for x in above_cells(found)) and found.count() == found.distinct().count() > 0
+
+
+def test_first_turns_without_tokens(spark, tmp_path):
+    """A turn of stop words or signs has no longest word; asking for it ended the whole query."""
+    from memlake.plans import search as P
+
+    said = [(k, 0, "user", text) for k, text in enumerate(["the and", "", "?!", None, "deploy the app", "it"])] + [(9, 1, "user", "the")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "We deployed it"), (2, "the and"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in P.QUERIES["t06_substring_match"](spark, str(tmp_path)).collect()] == [("deploy", 1)]
