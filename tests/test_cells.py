@@ -40,3 +40,17 @@ def test_recall_keeps_the_best_of_a_cell(spark, monkeypatch):
     got = SE.prompt_recall(notes, prompts, shown)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.session, r.memory_id, r.place) for r in got.collect()} == {(1, "D57", 1), (1, "D55", 2), (1, "D53", 3), (2, "D59", 1), (2, "D58", 2), (2, "D57", 3)}
+
+
+def test_words_of_a_cell_are_hashed_once(monkeypatch):
+    """Prompts of a cell are looked up together: each look-up hashes all words of the cell, and there was one a prompt."""
+    import pyarrow as pa
+
+    calls, look_up = [], CE.pc.index_in
+    monkeypatch.setattr(CE.pc, "index_in", lambda *a, **k: calls.append(1) or look_up(*a, **k))
+    held = pa.table({"memory_id": ["a", "a", "b", None], "token": ["x", "y", "x", None], "naming": [False, False, True, None], "repo_id": ["r", "r", "r", None], "anywhere": [False, False, False, None], "confidence": [0.5, 0.5, 0.5, None]})
+    held = held.append_column("session", pa.array([None, None, None, 3], pa.int64())).set_column(0, "memory_id", pa.array(["a", "a", "b", "b"]))
+    asked = pa.table({"session": pa.array([*range(20)], pa.int64()), "here": ["r"] * 20, "tokens": pa.array([["y", "x"], [], ["none"], ["x"]] + [["x", "zz", "y"]] * 16, pa.list_(pa.string()))})
+    got = [(r["session"], r["memory_id"], r["hits"]) for r in CE.recalled_in_cell(asked, held, 3).to_pylist()]
+    assert got == [(0, "a", 2), (0, "b", 2)] + [x for s in range(4, 20) for x in ((s, "a", 2), (s, "b", 2))]
+    assert len(calls) <= 2
