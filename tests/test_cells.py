@@ -54,3 +54,20 @@ def test_words_of_a_cell_are_hashed_once(monkeypatch):
     got = [(r["session"], r["memory_id"], r["hits"]) for r in CE.recalled_in_cell(asked, held, 3).to_pylist()]
     assert got == [(0, "a", 2), (0, "b", 2)] + [x for s in range(4, 20) for x in ((s, "a", 2), (s, "b", 2))]
     assert len(calls) <= 2
+
+
+def test_scanned_terms_are_not_copied_for_queries(spark, monkeypatch):
+    """Terms of rows meet pairs of queries and rows in cells; each pair used to carry the row's terms through joins."""
+    monkeypatch.setattr(CE, "CELL", 10)
+    rng = random.Random(5)
+    docs = [(f"D{i}", rng.sample("abcdefgh", rng.randint(0, 5)) * 2) for i in range(60)]
+    groups = sorted({(q, p, w) for q in range(9) for p in range(3) for w in rng.sample("abcdefxy", 2)})
+    held = sorted({(q, f"D{rng.randrange(70)}") for q in range(10) for _ in range(25)})
+    terms, want = dict(docs), set()
+    for q, i in held:
+        hits = len({p for k, p, w in groups if k == q and w in terms.get(i, ())})
+        want |= {(q, i, hits)} if hits else set()
+    got = CE.groups_met(spark.createDataFrame(groups, "query_id long, place int, word string"), spark.createDataFrame(held, "query_id long, id string"), spark.createDataFrame(docs, "id string, terms array<string>"), 60)
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
